@@ -1,11 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import substring_dedup
+from . import ngram_join, substring_dedup
 
 QUERIES = {
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 ORACLES = {
+    "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
