@@ -1,13 +1,16 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import ngram_join, substring_dedup
+from . import mixing, ngram_join, quality_rules, substring_dedup
 
 QUERIES = {
+    "op2_entropy_balancing": mixing.op2_entropy_balancing,
+    "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 
 ORACLES = {
+    "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
