@@ -19,7 +19,7 @@ from pyspark.taskcontext import TaskContext
 
 #: Hashes per bucket aimed at, and bytes of text gathered before blobs are cut.
 BUCKET_ITEMS = 256 << 10
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 8 << 20
 
 BLOBS = pa.schema(
     [("bucket", pa.int64()), ("flush", pa.int64()), ("kind", pa.int8()), ("refs", pa.binary()), ("hashes", pa.binary())]
