@@ -64,12 +64,20 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes (ASCII-lowered on request)."""
-        data = _tables()[1][self.data] if lower else self.data
+        return SpanHashes(_tables()[1][self.data] if lower else self.data)(self.starts, self.ends)
+
+
+class SpanHashes:
+    """Hashes of any byte spans of one buffer."""
+
+    def __init__(self, data: np.ndarray) -> None:
         n = len(data)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * powers(_BASE_INV, n + 1)[self.starts]
-        return mix64(value)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, n), out=self.sums[1:])
+        self.back = powers(_BASE_INV, n + 1)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix64((self.sums[ends] - self.sums[starts]) * self.back[starts])
 
 
 def _slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -81,8 +89,23 @@ def _slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def words(column: pa.Array, slice_bytes: int = 1 << 20) -> Iterator[Words]:
-    """The words of every row; a null row has none."""
+def latin_lower(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the two-byte Latin-1 capitals of UTF-8."""
+    out = _tables()[1][data]
+    second = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+    out[second] += 0x20
+    return out
+
+
+def letter_bytes() -> np.ndarray:
+    """ASCII letters and every byte of a longer character."""
+    table = np.zeros(256, dtype=bool)
+    table[65:91] = table[97:123] = table[128:] = True
+    return table
+
+
+def words(column: pa.Array, slice_bytes: int = 1 << 20, ink_table: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of every row; a null row has none.  ``ink_table``: the bytes that make words, if others."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
@@ -91,11 +114,11 @@ def words(column: pa.Array, slice_bytes: int = 1 << 20) -> Iterator[Words]:
     _, at, buf = column.buffers()
     offsets = np.frombuffer(at, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     whole = np.frombuffer(buf, dtype=np.uint8) if buf is not None else np.zeros(0, np.uint8)
-    space = _tables()[0]
+    inky = ~_tables()[0] if ink_table is None else ink_table
     for first, last in _slices(offsets, slice_bytes):
         data = whole[offsets[first] : offsets[last]]
         row_at = offsets[first : last + 1] - offsets[first]
-        ink = ~space[data]
+        ink = inky[data]
         n = len(data)
         begin = np.empty(n, dtype=bool)
         stop = np.empty(n, dtype=bool)
