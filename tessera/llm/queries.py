@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import langid, mixing, ngram_join, quality_rules, substring_dedup, toxicity
+from . import langid, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_language_id": langid.op3_language_id,
     "op4_toxicity_crf": toxicity.op4_toxicity_crf,
     "op2_entropy_balancing": mixing.op2_entropy_balancing,
