@@ -1,4 +1,469 @@
 """The registered queries over the test tables, each with its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+import tempfile
+from collections.abc import Callable
+from urllib.parse import urlparse
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.names import ROW_ID
+from ..functions.storage import fresh_path
+from ..functions.types import convert, spark_type
+from ..operators import columns, edits, filters, stats, tables
+from ..operators.catalog import Catalog
+from ..sources import readers, sqlite, writers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *skip: str) -> DataFrame:
+    """Computed doubles to four places, without negative zero."""
+    return df.select(*[(F.round(F.col(f"`{c}`"), 4) + 0.0).alias(c) if t == "double" and c not in skip else F.col(f"`{c}`") for c, t in df.dtypes])
+
+
+# --- summaries and statistics -------------------------------------------------
+
+_SEVEN = ("COUNT({c}) AS {c}_N, round(AVG({c}), 4) + 0 AS {c}_Mean, round(STDDEV_SAMP({c}), 4) + 0 AS {c}_Std, round(MIN({c}), 4) + 0 AS {c}_Min, "
+          "round(MAX({c}), 4) + 0 AS {c}_Max, round(SUM({c}), 4) + 0 AS {c}_Sum, round(MEDIAN({c}), 4) + 0 AS {c}_Median")
+
+
+@query("summary_grouped", "SELECT l_returnflag, l_linestatus, " + ", ".join(_SEVEN.format(c=c) for c in ("l_quantity", "l_extendedprice", "l_discount")) + " FROM lineitem GROUP BY ALL")
+def _(spark, d):
+    return rounded(tables.summary(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]))
+
+
+@query("summary_global", "SELECT " + _SEVEN.format(c="c_acctbal") + " FROM customer")
+def _(spark, d):
+    return rounded(tables.summary(table(spark, d, "customer"), ["c_acctbal"]))
+
+
+@query("summary_groups_only", "SELECT p_brand, p_type FROM part GROUP BY ALL")
+def _(spark, d):
+    return tables.summary(table(spark, d, "part"), [], ["p_brand", "p_type"], [])
+
+
+@query("summary_null_group", "SELECT nullif(c_nationkey % 5, 0) AS g, COUNT(c_acctbal) AS c_acctbal_N, MIN(c_mktsegment) AS c_mktsegment_Min, COUNT(c_mktsegment) AS c_mktsegment_N, MIN(c_acctbal) AS c_acctbal_Min FROM customer GROUP BY ALL")
+def _(spark, d):
+    df = table(spark, d, "customer").withColumn("g", F.nullif(F.col("c_nationkey") % 5, F.lit(0)))
+    return tables.summary(df, ["c_acctbal", "c_mktsegment"], ["g"], ["n", "min", "unknown"])
+
+
+def _stats_sql(column: str, source: str) -> str:
+    return (f"SELECT '{column}' AS column_name, COUNT(*) AS count, COUNT(*) - COUNT({column}) AS missing, round(AVG({column}), 4) + 0 AS mean, round(MEDIAN({column}), 4) + 0 AS median, "
+            f"round(STDDEV_SAMP({column}), 4) + 0 AS std_dev, round(MIN({column})::DOUBLE, 4) + 0 AS min, round(MAX({column})::DOUBLE, 4) + 0 AS max, round(QUANTILE_CONT({column}, 0.25), 4)::DOUBLE + 0 AS q1, "
+            f"round(QUANTILE_CONT({column}, 0.75), 4)::DOUBLE + 0 AS q3, COUNT(DISTINCT {column}) AS unique_count FROM {source}")
+
+
+@query("column_stats", _stats_sql("o_totalprice", "orders"))
+def _(spark, d):
+    return rounded(stats.column_stats(table(spark, d, "orders"), "o_totalprice"))
+
+
+@query("descriptive_stats", " UNION ALL ".join(_stats_sql(c, "customer") for c in ("c_custkey", "c_nationkey", "c_acctbal")))
+def _(spark, d):
+    return rounded(stats.descriptive_stats(table(spark, d, "customer")))
+
+
+@query("descriptive_stats_missing", " UNION ALL ".join(_stats_sql(c, "(SELECT nullif(l_linenumber, 3) AS a, l_quantity AS b FROM lineitem)") for c in ("a", "b")))
+def _(spark, d):
+    return rounded(stats.descriptive_stats(table(spark, d, "lineitem").select(F.nullif("l_linenumber", F.lit(3)).alias("a"), F.col("l_quantity").alias("b"))))
+
+
+_BLOCK = "(SELECT * FROM supplier ORDER BY s_suppkey LIMIT 5)"
+
+
+@query("selection_stats", f"SELECT COUNT(*) AS count, round(SUM(x), 4) AS sum, round(AVG(x), 4) AS avg, round(MIN(x), 4) AS min, round(MAX(x), 4) AS max FROM (SELECT s_suppkey::DOUBLE AS x FROM {_BLOCK} UNION ALL SELECT s_nationkey FROM {_BLOCK} UNION ALL SELECT s_acctbal FROM {_BLOCK})")
+def _(spark, d):
+    ranked = readers.numbered(table(spark, d, "supplier").select("s_name", "s_suppkey", "s_nationkey", "s_acctbal"), "s_suppkey")
+    return rounded(stats.selection_stats(filters.slice_block(ranked, 5, 1, 2, 4)))
+
+
+@query("selection_stats_text", "SELECT COUNT(*) AS count, NULL::DOUBLE AS sum, NULL::DOUBLE AS avg, NULL::DOUBLE AS min, NULL::DOUBLE AS max FROM (SELECT r_name FROM region UNION ALL SELECT r_regionkey::VARCHAR FROM region)")
+def _(spark, d):
+    return stats.selection_stats(table(spark, d, "region"))
+
+
+@query("describe_dataset", "SELECT 0 AS col_index, 'n_nationkey' AS col_name, 'INTEGER' AS col_type, COUNT(*) AS row_count, 0::BIGINT AS missing_count FROM nation UNION ALL SELECT 1, 'n_name', 'VARCHAR', COUNT(*), 0 FROM nation UNION ALL SELECT 2, 'n_regionkey', 'INTEGER', COUNT(*), COUNT_IF(n_regionkey = 1)::BIGINT FROM nation")
+def _(spark, d):
+    return stats.describe_dataset(table(spark, d, "nation").withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(1))))
+
+
+@query("dataset_counts", "SELECT COUNT(*) AS row_count, 6 AS col_count FROM orders")
+def _(spark, d):
+    return stats.dataset_counts(table(spark, d, "orders"))
+
+
+# --- sort, page, subset, filters ------------------------------------------------
+
+
+@query("sort_multi", "SELECT row_number() OVER (ORDER BY p_size DESC NULLS LAST, p_retailprice NULLS LAST, p_partkey) AS _row_id, * FROM part")
+def _(spark, d):
+    return tables.sort(table(spark, d, "part"), ["p_size", "p_retailprice", "p_partkey"], ["DESC", "asc", "asc"])
+
+
+@query("sort_nulls_last", "SELECT row_number() OVER (ORDER BY x DESC NULLS LAST, c_custkey) AS _row_id, * FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS x FROM customer)")
+def _(spark, d):
+    return tables.sort(table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("x")), ["x", "c_custkey"], ["desc", "asc"])
+
+
+@query("row_ids", "SELECT row_number() OVER (ORDER BY event_id) AS _row_id, event_id, user_id FROM events")
+def _(spark, d):
+    return readers.numbered(table(spark, d, "events").select("event_id", "user_id"), "event_id")
+
+
+@query("page", "SELECT o_orderkey AS _row_id, o_totalprice, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100")
+def _(spark, d):
+    return tables.page(table(spark, d, "orders").select(F.col("o_orderkey").alias(ROW_ID), "o_totalprice", "o_custkey"), 2, 50, "o_totalprice", "desc")
+
+
+@query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def _(spark, d):
+    return tables.top_k(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 20, F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey"))
+
+
+@query("subset_rows_cols", "SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice FROM lineitem WHERE l_discount > 0.05 AND l_returnflag IN ('A', 'R') AND l_shipdate >= DATE '1995-01-01'")
+def _(spark, d):
+    return tables.subset(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_quantity", "l_extendedprice"], "l_discount > 0.05 AND l_returnflag IN ('A', 'R') AND l_shipdate >= DATE '1995-01-01'")
+
+
+@query("filter_discrete", "SELECT o_orderkey, o_orderstatus FROM orders WHERE coalesce(nullif(o_orderstatus, 'O'), '') IN ('', 'F')")
+def _(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.nullif("o_orderstatus", F.lit("O")).alias("s"))
+    return df.where(filters.discrete("s", ["", "F"])).select("o_orderkey", "o_orderstatus")
+
+
+@query("filter_discrete_large", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_totalprice > 200000)")
+def _(spark, d):
+    wanted = table(spark, d, "orders").where("o_totalprice > 200000").select("o_orderkey")
+    return filters.discrete_rows(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", wanted)
+
+
+@query("filter_range", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20.5")
+def _(spark, d):
+    return table(spark, d, "lineitem").where(filters.value_range("l_quantity", "10", 20.5)).select("l_orderkey", "l_quantity")
+
+
+@query("filter_both", "SELECT l_orderkey, l_quantity, l_returnflag FROM lineitem WHERE l_quantity >= 40 AND l_returnflag IN ('N')")
+def _(spark, d):
+    both = filters.all_of([filters.value_range("l_quantity", 40, "x"), filters.discrete("l_returnflag", ["N"])])
+    return table(spark, d, "lineitem").where(both).select("l_orderkey", "l_quantity", "l_returnflag")
+
+
+@query("filter_counts", "SELECT COUNT_IF(l_tax <= 0.02)::BIGINT AS filtered, COUNT(*) AS total FROM lineitem")
+def _(spark, d):
+    return filters.filter_counts(table(spark, d, "lineitem"), [filters.value_range("l_tax", None, 0.02)])
+
+
+@query("distinct_values", "SELECT DISTINCT coalesce(CAST(nullif(p_size, 7) AS VARCHAR), '') AS value FROM part")
+def _(spark, d):
+    return filters.distinct_values(table(spark, d, "part").select(F.nullif("p_size", F.lit(7)).alias("p_size")), "p_size")
+
+
+@query("slice_block", "SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) WHERE k BETWEEN 3 AND 8")
+def _(spark, d):
+    return filters.slice_block(readers.numbered(table(spark, d, "nation"), "n_nationkey"), 8, 3, 1, 2)
+
+
+# --- joins and updates ------------------------------------------------------------
+
+
+@query("join_inner", "SELECT o_orderkey, o_custkey, o_totalprice, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+def _(spark, d):
+    return tables.join(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), table(spark, d, "customer").select("c_custkey", "c_name"), "o_custkey", "c_custkey", "inner")
+
+
+@query("join_left", "SELECT c_custkey, x, n_nationkey, n_name FROM (SELECT c_custkey, c_nationkey + 5 AS x FROM customer) LEFT JOIN nation ON x = n_nationkey")
+def _(spark, d):
+    return tables.join(table(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + 5).alias("x")), table(spark, d, "nation").select("n_nationkey", "n_name"), "x", "n_nationkey", "left")
+
+
+@query("join_right", "SELECT l_orderkey, l_quantity, o_orderkey, o_totalprice FROM lineitem RIGHT JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, d):
+    return tables.join(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "l_orderkey", "o_orderkey", "right")
+
+
+@query("join_full", "SELECT a.k, a.s_name, b.k AS k_r, b.s_name AS s_name_r FROM (SELECT s_suppkey AS k, s_name FROM supplier) a FULL JOIN (SELECT nullif(s_suppkey + 20, 30) AS k, s_name FROM supplier) b ON a.k = b.k")
+def _(spark, d):
+    s = table(spark, d, "supplier")
+    return tables.join(s.select(F.col("s_suppkey").alias("k"), "s_name"), s.select(F.nullif(F.col("s_suppkey") + 20, F.lit(30)).alias("k"), "s_name"), "k", "k", "full")
+
+
+@query("update_keyed", "SELECT c_custkey, CASE WHEN r.k IS NOT NULL THEN r.seg ELSE c_mktsegment END AS c_mktsegment, CASE WHEN r.k IS NOT NULL THEN r.bal ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN (SELECT c_custkey * 3 AS k, nullif(c_mktsegment, 'BUILDING') AS seg, c_acctbal + 1 AS bal FROM customer) r ON c_custkey = r.k")
+def _(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    new = c.select((F.col("c_custkey") * 3).alias("c_custkey"), F.nullif("c_mktsegment", F.lit("BUILDING")).alias("c_mktsegment"), (F.col("c_acctbal") + 1).alias("c_acctbal"))
+    return tables.update(c, new, "c_custkey", ["c_mktsegment", "c_acctbal"])
+
+
+@query("update_duplicates", "SELECT n_nationkey, coalesce(m, n_name) AS n_name FROM nation LEFT JOIN (SELECT c_nationkey AS k, arg_max(c_name, c_custkey) AS m FROM customer WHERE c_nationkey > 4 GROUP BY 1) ON k = n_nationkey")
+def _(spark, d):
+    new = table(spark, d, "customer").where("c_nationkey > 4").select(F.col("c_custkey").alias(ROW_ID), F.col("c_nationkey").alias("n_nationkey"), F.col("c_name").alias("n_name"))
+    return tables.update(table(spark, d, "nation").select("n_nationkey", "n_name"), new, "n_nationkey", ["n_name"])
+
+
+# --- concatenate and reshape --------------------------------------------------------
+
+
+@query("concat_same", "SELECT * FROM nation UNION ALL SELECT * FROM nation")
+def _(spark, d):
+    n = table(spark, d, "nation")
+    return tables.concatenate([n, n])
+
+
+@query("concat_missing_cols", "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    return tables.concatenate([c, s])
+
+
+@query("concat_widen", "SELECT n_regionkey::DOUBLE AS a, n_nationkey::VARCHAR AS b FROM nation UNION ALL SELECT s_acctbal, s_name FROM supplier")
+def _(spark, d):
+    a = table(spark, d, "nation").select(F.col("n_regionkey").alias("a"), F.col("n_nationkey").alias("b"))
+    return tables.concatenate([a, table(spark, d, "supplier").select(F.col("s_acctbal").alias("a"), F.col("s_name").alias("b"))])
+
+
+@query("stack_numeric", "SELECT p_partkey, 'p_size' AS \"Label\", p_size::DOUBLE AS \"Value\" FROM part UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice FROM part")
+def _(spark, d):
+    return tables.stack(table(spark, d, "part"), ["p_size", "p_retailprice"], ["p_partkey"])
+
+
+@query("stack_mixed", "SELECT s_suppkey, 's_name' AS \"Label\", s_name AS \"Value\" FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', nullif(s_nationkey, 2)::VARCHAR FROM supplier")
+def _(spark, d):
+    return tables.stack(table(spark, d, "supplier").withColumn("s_nationkey", F.nullif("s_nationkey", F.lit(2))), ["s_name", "s_nationkey"], ["s_suppkey"])
+
+
+@query("stack_numbered", "SELECT row_number() OVER (ORDER BY p, n_nationkey) AS _row_id, n_name, \"Label\", \"Value\" FROM (SELECT 1 AS p, n_nationkey, n_name, 'n_nationkey' AS \"Label\", n_nationkey AS \"Value\" FROM nation UNION ALL SELECT 2, n_nationkey, n_name, 'n_regionkey', n_regionkey FROM nation)")
+def _(spark, d):
+    return tables.stack(readers.numbered(table(spark, d, "nation"), "n_nationkey"), ["n_nationkey", "n_regionkey"], ["n_name"], number_rows=True)
+
+
+
+def _split_sql(source: str, ids: str, labels) -> str:
+    cells = ", ".join(f"MAX(CASE WHEN s = '{x}' THEN v END) AS \"{x}\"" for x in labels)
+    return f"SELECT {ids}, {cells} FROM (SELECT *, row_number() OVER (PARTITION BY {ids}, s ORDER BY r) AS n FROM ({source})) GROUP BY {ids}, n"
+
+
+@query("split_basic", _split_sql("SELECT n_regionkey, CAST(n_nationkey % 3 AS VARCHAR) AS s, n_name AS v, n_nationkey AS r FROM nation", "n_regionkey", ("0", "1", "2")))
+def _(spark, d):
+    return tables.split(table(spark, d, "nation").select(F.col("n_nationkey").alias(ROW_ID), "n_regionkey", (F.col("n_nationkey") % 3).alias("s"), F.col("n_name").alias("v")), "s", "v")
+
+
+@query("split_duplicates", _split_sql("SELECT c_nationkey, c_mktsegment AS s, c_acctbal AS v, c_custkey AS r FROM customer", "c_nationkey", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
+def _(spark, d):
+    df = table(spark, d, "customer").select(F.col("c_custkey").alias(ROW_ID), "c_nationkey", F.col("c_mktsegment").alias("s"), F.col("c_acctbal").alias("v"))
+    return tables.split(df, "s", "v", ["c_nationkey"])
+
+
+@query("split_null_label", _split_sql("SELECT s_nationkey, nullif(CAST(s_suppkey % 3 AS VARCHAR), '0') AS s, s_acctbal AS v, s_suppkey AS r FROM supplier", "s_nationkey", ("1", "2")))
+def _(spark, d):
+    df = table(spark, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), "s_nationkey", F.nullif((F.col("s_suppkey") % 3).cast("string"), F.lit("0")).alias("s"), F.col("s_acctbal").alias("v"))
+    return tables.split(df, "s", "v", ["s_nationkey"])
+
+
+@query("transpose", "SELECT 'r_regionkey' AS \"Label\", " + ", ".join(f"MAX(CASE WHEN k = {i} THEN r_regionkey::VARCHAR END) AS Row{i}" for i in range(1, 6)) + " FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS k FROM region) UNION ALL SELECT 'r_name', " + ", ".join(f"MAX(CASE WHEN k = {i} THEN r_name END)" for i in range(1, 6)) + " FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS k FROM region)")
+def _(spark, d):
+    return tables.transpose(readers.numbered(table(spark, d, "region"), "r_regionkey"))
+
+
+# --- column operations --------------------------------------------------------------
+
+
+@query("change_type_ok", "SELECT o_orderkey, CAST(CAST(o_totalprice AS VARCHAR) AS DOUBLE) AS x FROM orders")
+def _(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("string").alias("x"))
+    return columns.change_type(df, {"x": "DOUBLE"})
+
+
+@query("change_type_report", "SELECT 'o_orderpriority' AS column_name, 'INTEGER' AS target, COUNT_IF(TRY_CAST(o_orderpriority AS INTEGER) IS NULL)::BIGINT AS failed FROM orders UNION ALL SELECT 'o_custkey', 'DOUBLE', 0 FROM region WHERE r_regionkey = 0")
+def _(spark, d):
+    return columns.conversion_failures(table(spark, d, "orders"), {"o_orderpriority": "INTEGER", "o_custkey": "DOUBLE"})
+
+
+@query("convert_rounding", "SELECT o_orderkey, CAST(o_totalprice AS INTEGER) AS a, CAST(o_orderkey / 2 AS INTEGER) AS b, o_orderkey // 2 + CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END AS c FROM orders")
+def _(spark, d):
+    half = F.col("o_orderkey") / 2
+    text, dbl = spark_type("VARCHAR"), spark_type("DOUBLE")
+    return table(spark, d, "orders").select("o_orderkey", convert(F.col("o_totalprice"), dbl, "INTEGER").alias("a"), convert(half, dbl, "INTEGER").alias("b"), convert(half.cast("string"), text, "BIGINT").alias("c"))
+
+
+@query("detect_types", "SELECT unnest(['event_id', 'value', 'event_type', 'flag', 'day', 'blank']) AS column_name, unnest(['INTEGER', 'DOUBLE', 'VARCHAR', 'BOOLEAN', 'DATE', 'VARCHAR']) AS detected")
+def _(spark, d):
+    df = table(spark, d, "events")
+    flag = F.when(F.col("event_id") % 2 == 0, "yes").otherwise("True")
+    return columns.detect_types(df.select(F.col("event_id").cast("string"), F.col("value").cast("string"), "event_type", flag.alias("flag"), F.date_format("ts", "yyyy/M/d").alias("day"), F.lit(" ").alias("blank")))
+
+
+@query("validate", "SELECT 'event_type' AS column_name, COUNT_IF(NOT regexp_full_match(event_type, '-?[0-9]+'))::BIGINT AS n_invalid, MIN(event_type) AS sample FROM events UNION ALL SELECT 'half', COUNT_IF(event_id % 2 = 1)::BIGINT, MIN(CASE WHEN event_id % 2 = 1 THEN CAST(event_id / 2 AS VARCHAR) END) FROM events")
+def _(spark, d):
+    half = F.when(F.col("event_id") % 2 == 0, (F.col("event_id") / 2).cast("long").cast("string")).otherwise((F.col("event_id") / 2).cast("string"))
+    return columns.validate(table(spark, d, "events").select("event_type", half.alias("half")), {"event_type": "INTEGER", "half": "INTEGER"})
+
+
+@query("format_fixed", "SELECT l_orderkey, l_linenumber, l_partkey, printf('%.3f', l_quantity) AS l_quantity FROM lineitem")
+def _(spark, d):
+    return columns.format_columns(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), {"l_quantity": {"kind": "fixed", "decimals": 3}})
+
+
+@query("format_percent", "SELECT p_partkey, printf('%.1f', p_size * 100.0) || '%' AS p_size FROM part")
+def _(spark, d):
+    return columns.format_columns(table(spark, d, "part").select("p_partkey", "p_size"), {"p_size": {"kind": "percent", "decimals": 1}})
+
+
+@query("format_currency", "SELECT o_orderkey, '$' || printf('%.2f', o_custkey::DOUBLE) AS o_custkey, '' AS gone, o_orderstatus FROM orders")
+def _(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(None).cast("double").alias("gone"), "o_orderstatus")
+    return columns.format_columns(df, {"o_custkey": {"kind": "currency", "currency": "USD"}, "gone": {"kind": "fixed"}, "o_orderstatus": {"kind": "currency", "currency": "USD"}})
+
+
+@query("format_scientific", "SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN '0e+0' WHEN n_nationkey < 10 THEN n_nationkey || 'e+3' WHEN n_nationkey % 10 = 0 THEN (n_nationkey // 10) || 'e+4' ELSE (n_nationkey // 10) || '.' || (n_nationkey % 10) || 'e+4' END AS x FROM nation")
+def _(spark, d):
+    return columns.format_columns(table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 1000.0).alias("x")), {"x": {"kind": "scientific"}})
+
+
+@query("add_col", "SELECT *, NULL::DOUBLE AS score, NULL::VARCHAR AS \"列1\" FROM nation")
+def _(spark, d):
+    return columns.add_columns(columns.add_column(table(spark, d, "nation"), "score", "DOUBLE"), 1)
+
+
+@query("drop_col", "SELECT n_nationkey, n_regionkey FROM nation")
+def _(spark, d):
+    return columns.delete_column(table(spark, d, "nation"), "n_name")
+
+
+@query("rename_col", "SELECT n_nationkey, n_name AS \"full name\", n_regionkey FROM nation")
+def _(spark, d):
+    return columns.rename_column(table(spark, d, "nation"), "n_name", "full name")
+
+
+# --- edits ------------------------------------------------------------------------------
+
+
+def _customers(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias(ROW_ID), "c_name", "c_acctbal", "c_nationkey")
+
+
+_CUSTOMERS = "(SELECT c_custkey AS _row_id, c_name, c_acctbal, c_nationkey FROM customer)"
+
+
+@query("append_rows", f"SELECT * FROM {_CUSTOMERS} UNION ALL SELECT (SELECT max(c_custkey) FROM customer) + i, NULL, NULL, NULL FROM range(1, 4) t(i)")
+def _(spark, d):
+    return edits.append_rows(_customers(spark, d), 3)
+
+
+@query("apply_edits", f"SELECT _row_id, CASE WHEN _row_id % 10 = 0 THEN NULL WHEN _row_id % 10 = 1 THEN 'new' ELSE c_name END AS c_name, CASE WHEN _row_id % 10 = 2 THEN _row_id + 0.5 ELSE c_acctbal END AS c_acctbal, CASE WHEN _row_id % 10 = 3 THEN NULL ELSE c_nationkey END AS c_nationkey FROM {_CUSTOMERS}")
+def _(spark, d):
+    c = _customers(spark, d)
+    k = F.col(ROW_ID)
+    edit = lambda m, column, value, seq: F.struct(F.lit(m).alias("m"), F.lit(column).alias("column"), value.alias("value"), F.lit(seq).alias("seq"))
+    cells = F.array(
+        edit(0, "c_name", F.lit(""), 1), edit(1, "c_name", F.lit("old"), 1), edit(1, "c_name", F.lit("new"), 2), edit(2, "c_acctbal", (k + 0.5).cast("string"), 1),
+        edit(3, "c_nationkey", F.lit("no number"), 1), edit(4, "no column", F.lit("x"), 1),
+    )
+    new = c.select(ROW_ID, F.inline(cells)).where(k % 10 == F.col("m")).select(ROW_ID, "column", "value", "seq")
+    return edits.apply_cell_edits(c, new)
+
+
+@query("delete_rows", f"SELECT * FROM {_CUSTOMERS} WHERE _row_id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+def _(spark, d):
+    return edits.delete_rows(_customers(spark, d), table(spark, d, "orders").where("o_totalprice > 300000").select("o_custkey"))
+
+
+@query("patch_block", "WITH b AS (SELECT n_nationkey * 2 AS _row_id, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation), p AS (SELECT row_number() OVER (ORDER BY r_regionkey) + 22 AS k, CASE WHEN r_regionkey = 1 THEN '' ELSE r_name END AS a, r_regionkey + 100 AS c FROM region) SELECT coalesce(_row_id, p.k - 25 + 48)::INTEGER AS _row_id, coalesce(nullif(a, ''), n_name) AS name, coalesce(c, n_regionkey) AS n_regionkey FROM b FULL JOIN p ON b.k = p.k")
+def _(spark, d):
+    base = table(spark, d, "nation").select((F.col("n_nationkey") * 2).alias(ROW_ID), "n_name", "n_regionkey")
+    patch = table(spark, d, "region").select(F.col("r_regionkey").alias(ROW_ID), F.when(F.col("r_regionkey") == 1, "").otherwise(F.col("r_name")).alias("a"), (F.col("r_regionkey") + 100).cast("string").alias("c"))
+    return edits.patch_block(base, patch, 23, 1, ["VARCHAR", "INTEGER"], ["name", ""])
+
+
+@query("check_patch", "SELECT 'n_name' AS column_name, TRUE AS compatible, 3::BIGINT AS conflicts UNION ALL SELECT 'n_regionkey', FALSE, 3")
+def _(spark, d):
+    base = table(spark, d, "nation").select(F.col("n_nationkey").alias(ROW_ID), "n_name", "n_regionkey")
+    patch = table(spark, d, "region").select(F.col("r_regionkey").alias(ROW_ID), F.lit("x").alias("a"), F.lit("1.5").alias("b"))
+    return edits.check_patch(base, patch, 23, 1, ["VARCHAR", "DOUBLE"])
+
+
+# --- round trips ---------------------------------------------------------------------------
+
+
+@query("csv_roundtrip", "SELECT * FROM orders")
+def _(spark, d):
+    df = table(spark, d, "orders")
+    path = fresh_path(spark, "csv")
+    writers.write_csv(df, path)
+    return readers.read_csv(spark, path, schema=df.schema, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").drop(ROW_ID)
+
+
+@query("tsv_roundtrip", "SELECT CAST(s_suppkey AS VARCHAR) AS c1, s_name AS c2, CAST(s_nationkey AS VARCHAR) AS c3, CAST(s_acctbal AS VARCHAR) AS c4 FROM supplier")
+def _(spark, d):
+    path = fresh_path(spark, "tsv")
+    writers.write_tsv(table(spark, d, "supplier"), path)
+    return readers.read_tsv(spark, path).drop(ROW_ID)
+
+
+@query("copy_block", "SELECT n_nationkey || chr(9) || n_name AS value FROM nation WHERE n_nationkey BETWEEN 1 AND 4")
+def _(spark, d):
+    return writers.tsv_lines(filters.slice_block(readers.numbered(table(spark, d, "nation"), "n_nationkey"), 2, 5, 1, 2))
+
+
+@query("project_roundtrip", "SELECT * FROM customer")
+def _(spark, d):
+    path = fresh_path(spark, "project")
+    writers.save_project(spark, "p", {"a": table(spark, d, "customer"), "b": table(spark, d, "region")}, path)
+    return writers.open_project(spark, path)["a"]
+
+
+@query("sqlite_roundtrip", "SELECT row_number() OVER () AS _row_id, s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM (SELECT * FROM supplier ORDER BY s_suppkey)")
+def _(spark, d):
+    folder = tempfile.mkdtemp(dir=urlparse(fresh_path(spark, "x").rpartition("/")[0]).path)
+    sqlite.export_sqlite({"supplier": table(spark, d, "supplier").orderBy("s_suppkey").coalesce(1)}, f"{folder}/a.db")
+    return sqlite.read_sqlite(spark, f"{folder}/a.db")["supplier"]
+
+
+@query("snapshot_restore", "SELECT r_regionkey AS _row_id, r_name FROM region")
+def _(spark, d):
+    catalog = Catalog(spark)
+    catalog.materialize(table(spark, d, "region").select(F.col("r_regionkey").alias(ROW_ID), "r_name"), "r")
+    catalog.snapshot("first")
+    catalog.materialize(catalog.get("r").where("false"), "r")
+    catalog.restore("first")
+    return catalog.get("r")
+
+
+@query("version_undo", "SELECT n_nationkey AS _row_id, n_name FROM nation WHERE n_nationkey > 3")
+def _(spark, d):
+    catalog = Catalog(spark)
+    base = table(spark, d, "nation").select(F.col("n_nationkey").alias(ROW_ID), "n_name")
+    catalog.materialize(base, "n")
+    catalog.record("import")
+    catalog.materialize(base.where(f"{ROW_ID} > 3"), "n")
+    catalog.record("delete")
+    catalog.undo()
+    catalog.redo()
+    return catalog.get("n")
+
+
+@query("import_csv_infer", "SELECT row_number() OVER (ORDER BY p_partkey) AS _row_id, p_partkey::INTEGER AS p_partkey, p_name, p_size, p_retailprice FROM part")
+def _(spark, d):
+    path = fresh_path(spark, "csv")
+    writers.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").orderBy("p_partkey").coalesce(1), path)
+    return readers.read_csv(spark, path)
