@@ -1,8 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import langid, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity
+from . import ann, langid, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
+    "op5_hnsw": ann.op5_hnsw,
+    "op9_token_attribution": token_counts.op9_token_attribution,
+    "op10_arc_to_warc": warc.op10_arc_to_warc,
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op3_language_id": langid.op3_language_id,
     "op4_toxicity_crf": toxicity.op4_toxicity_crf,
@@ -13,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_arc_to_warc": warc.ORACLE_SQL,
     "op6_quality_rules": quality_rules.ORACLE_SQL,
     "op7_ngram_jaccard_join": ngram_join.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
