@@ -19,7 +19,8 @@ def in_file_order(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, schema: T.StructType | None = None, **options) -> DataFrame:
     """A CSV file or folder with inferred (or given) types and row ids in file order."""
-    reader = spark.read.option("header", header).option("multiLine", False).option("escape", '"').options(**options)
+    # A null value that no file holds tells an empty cell (null) from a quoted empty text.
+    reader = spark.read.option("nullValue", "\u0001").option("emptyValue", "").option("header", header).option("multiLine", False).option("escape", '"').options(**options)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).option("preferDate", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
     distinct_names(df.columns)
     return in_file_order(df)
