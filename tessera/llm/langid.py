@@ -104,7 +104,7 @@ def train(texts: list[str], langs: list[str]) -> Model | None:
         of = family if kind == "family" else y
         rows = np.flatnonzero((of == a) | (of == b))
         weights.append(_svm(x[rows], np.where(of[rows] == a, 1.0, -1.0)))
-    return Model(names, families, pairs, np.array(weights, dtype=np.float32).reshape(len(pairs), -1))
+    return Model(names, families, pairs, np.array(weights, dtype=np.float32).reshape(len(pairs), (1 << BITS) + 1))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
@@ -139,7 +139,7 @@ def _vote(margins: np.ndarray, members: list[int], pairs: list[tuple[int, int, i
 
 def decide(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Language number and score (0 to 1) of each row of pair margins."""
-    squash = lambda m: 1 / (1 + np.exp(-np.clip(SLOPE * m, -30, 30)))
+    squash = lambda m: 1 / (1 + np.exp(-np.clip(SLOPE * m, -40, 40)))
     of = [(i, a, b) for i, (kind, a, b) in enumerate(model.pairs) if kind == "family"]
     family, least = _vote(margins, list(range(len(model.families))), of)
     lang, score = np.zeros(len(margins), dtype=np.int64), squash(least)

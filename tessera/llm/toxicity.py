@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .wordbytes import SpanHashes, Words, latin_lower, letter_bytes, mix64, windows, words
 
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 800, 2400, 16 << 10
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 600, 1600, 16 << 10
 DIMS = 1 << 18
 #: Leading bytes of a token that are features, and its last bytes.
 PREFIXES, SUFFIX = (4, 5, 6), 3
@@ -60,7 +60,7 @@ def _features(part: Words) -> np.ndarray:
 
 
 def _index(features: np.ndarray) -> np.ndarray:
-    return (features >> np.uint64(40)).astype(np.int64) & (DIMS - 1)
+    return (features >> np.uint64(40)).astype(np.int32) & np.int32(DIMS - 1)
 
 
 def _scan(mats: np.ndarray, block: int = 64) -> np.ndarray:
@@ -172,6 +172,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     key, doc, begin = key[:, mine], doc[mine], begin[mine]
     tag = _token_labels(key, doc, toxic)
     index = _index(key)
+    del key, keys
     model = Model(np.zeros(DIMS), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
     inner = np.flatnonzero(~begin)
     seen_pairs = np.bincount(2 * tag[inner - 1] + tag[inner], minlength=4).reshape(2, 2)
@@ -194,7 +195,8 @@ def train(texts: list[str], toxic: np.ndarray) -> Model | None:
     for _ in range(50):  # Newton steps of a ridge logistic fit
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         hess = x.T @ (x * (q * (1 - q))[:, None]) + 0.1 * np.eye(3)
-        w = w + np.linalg.solve(hess, x.T @ (toxic - q) - 0.1 * w)
+        step = np.linalg.solve(hess, x.T @ (toxic - q) - 0.1 * w)
+        w = w + step * min(1.0, 2.0 / max(np.linalg.norm(step), 1e-12))
     model.doc = w
     return model
 
