@@ -29,7 +29,7 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
     ("mean_word_chars", 2.0, 14.0),
     ("symbol_ratio", None, 0.1),
     ("stop_word_ratio", 0.02, None),
-    ("dup_line_ratio", None, 0.3),
+    ("dup_line_ratio", None, 0.5),
     ("bullet_line_ratio", None, 0.9),
     ("ellipsis_line_ratio", None, 0.3),
 )
@@ -153,6 +153,6 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
   n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
   NOT base_failed AND word_chars / n_words BETWEEN 2 AND 14 AND n_symbols / n_words <= 0.1 AND n_stop / n_words >= 0.02
-  AND n_dup_lines / n_lines <= 0.3 AND n_bullet / n_lines <= 0.9 AND n_ellipsis / n_lines <= 0.3 AS kept
+  AND n_dup_lines / n_lines <= 0.5 AND n_bullet / n_lines <= 0.9 AND n_ellipsis / n_lines <= 0.3 AS kept
 FROM b
 """.replace("{stops}", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
