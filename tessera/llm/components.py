@@ -30,7 +30,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # Small star: each node hands itself and its smaller neighbours to the smallest.
-        large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         now = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")

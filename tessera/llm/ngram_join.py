@@ -12,12 +12,14 @@ documents link when ``100 * |A & B| >= percent * |A | B|``.
 4. Prefix n-grams are joined.  Length, positional and suffix filters (the
    suffix split into four hash ranges) bound the overlap of each pair before
    the pair is verified, once, on the whole sets.
-5. Pairs come in two rounds.  First each set meets a leader of each of its
-   prefix n-grams, and the links found form components.  Then only prefix
-   n-grams that still meet in different components give pairs across those
-   components, all of them.  A link between sets of one component changes
+5. Pairs come in rounds.  First each set meets a leader of each of its prefix
+   n-grams, and the links found form components.  Then only prefix n-grams that
+   still meet in different components go on; their sets meet a few other leaders.
+   At last all pairs across components that pass the filters are verified.  A link between sets of one component changes
    nothing, so the components are those of all links, without all pairs of a
-   large group of near copies.
+   large group of near copies.  From the second round on, the suffix filter is
+   sharper: parity sketches of ``_BITS`` bits bound the symmetric difference from
+   below (each differing n-gram flips one bit), which never drops a link.
 
 Defined cases: null or blank text has an empty set and links with nothing, not
 even with another; a text with fewer than ``n`` words is one n-gram; null ids
@@ -43,6 +45,8 @@ from .wordbytes import mix64, windows, words
 NGRAM, PERCENT = 5, 75
 _HASH_BYTES = 6
 _RANGES = 4
+_BITS = 1024
+_LEADERS = 4
 _PREFIX = np.dtype([("h", "<i8"), ("pos", "<i4"), *((f"s{k}", "<i4") for k in range(_RANGES))])
 
 
@@ -119,10 +123,11 @@ def _sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
         lo, hi = np.searchsorted(ref, at, side="left"), np.searchsorted(ref, at, side="right")
         shared: list[bytes | None] = []
         prefix: list[bytes | None] = []
+        sketch: list[np.ndarray | None] = []
         for n, r, a, b in zip(ns.tolist(), at.tolist(), lo.tolist(), hi.tolist()):
             need = -(-n * percent // 100)
             if r < 0 or b - a < max(need, 1):
-                shared.append(None), prefix.append(None)
+                shared.append(None), prefix.append(None), sketch.append(None)
                 continue
             mine = gram[a:b]
             alone = n - (b - a)
@@ -133,11 +138,13 @@ def _sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
             for k in range(_RANGES):
                 after = (part == k)[::-1].cumsum()[::-1]
                 rows[f"s{k}"] = np.append(after, 0)[1 : take + 1]
+            bit = np.bincount((mix64(mine.view(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.int64) % _BITS, minlength=_BITS) & 1
+            sketch.append(np.packbits(bit.astype(np.uint8)).view("<i8"))
             shared.append(np.sort(mine).tobytes()), prefix.append(rows.tobytes())
-        return pa.table({"id": own["id"], "n": own["n"], "c1": own["c1"], "c2": own["c2"], "shared": pa.array(shared, pa.binary()), "prefix": pa.array(prefix, pa.binary())})
+        return pa.table({"id": own["id"], "n": own["n"], "c1": own["c1"], "c2": own["c2"], "shared": pa.array(shared, pa.binary()), "prefix": pa.array(prefix, pa.binary()), "sketch": pa.array(sketch, pa.list_(pa.int64()))})
 
     found = repeats(scan(docs, task), _HASH_BYTES, with_counts=True)
-    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(k, T.LongType()) for k in ("n", "c1", "c2")), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.BinaryType())])
+    schema = T.StructType([T.StructField("id", id_type), *(T.StructField(k, T.LongType()) for k in ("n", "c1", "c2")), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     return found.groupBy("flush").applyInArrow(settle, schema)
 
 
@@ -163,6 +170,22 @@ def _can_link(percent: int):
     return length & positional & suffix
 
 
+def _sketches_can_link(percent: int):
+    """Whether the sketches of rows ``a`` and ``b`` leave room for a link."""
+    a, b = (lambda k: F.col(f"a.{k}")), (lambda k: F.col(f"b.{k}"))
+    apart = a("alone") + b("alone") + sum((F.bit_count(a(f"k{i}").bitwiseXOR(b(f"k{i}"))) for i in range(_BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (a("n") + b("n")) * (100 - percent)
+
+
+def _to_leaders(rows: DataFrame, salts: list[int], condition, columns: list[str]) -> DataFrame:
+    """Distinct pairs of each row's set and the leaders of its n-gram, one leader a salt."""
+    ranks = [F.struct(F.xxhash64(F.lit(salt), "key.c1", "key.c2").alias("rank"), *columns) for salt in salts]
+    least = rows.groupBy("h").agg(F.array(*map(F.min, ranks)).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    leaders = least.select("h", F.explode(F.array_distinct(F.transform("x", lambda x: x.dropFields("rank")))).alias("x")).select("h", "x.*")
+    pairs = rows.alias("a").join(leaders.alias("b"), F.col("a.h") == F.col("b.h")).where((F.col("a.key") != F.col("b.key")) & condition)
+    return pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of class keys whose whole sets reach the threshold."""
     rows = sets.select(F.struct("c1", "c2").alias("key"), "n", "shared")
@@ -183,26 +206,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, ``n_shingles`` and ``component_id`` (the smallest id reachable by links)."""
     rows = durable(_sets(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")), ngram, percent), "sets")
-    sets = durable(rows.where("prefix is not null").groupBy("c1", "c2", "n").agg(F.first("shared").alias("shared"), F.first("prefix").alias("prefix")), "classes")
+    sets = durable(rows.where("prefix is not null").groupBy("c1", "c2", "n").agg(F.first("shared").alias("shared"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "classes")
     kinds = "c1 long, c2 long, n long, h long, pos int, " + ", ".join(f"s{k} int" for k in range(_RANGES))
     spread = sets.select("c1", "c2", "n", "prefix").mapInArrow(_unpack_prefix, kinds)
     prefix = durable(spread, "prefix").withColumn("key", F.struct("c1", "c2"))
 
-    # Round 1: the leader of a prefix n-gram is the set with the least salted key; one of two salts by n-gram.
-    order = F.struct(F.when(F.col("h") % 2 == 0, F.xxhash64("c1", "c2")).otherwise(F.xxhash64("c2", "c1")), "key")
     slim = ["key", "n", "pos", *(f"s{k}" for k in range(_RANGES))]
-    leaders = prefix.groupBy("h").agg(F.min(F.struct(order.alias("rank"), *slim)).alias("x"), F.count(F.lit(1)).alias("size")).where("size > 1").select("h", "x.*").drop("rank")
-    near = prefix.alias("a").join(leaders.alias("b"), F.col("a.h") == F.col("b.h")).where(F.col("a.key") != F.col("b.key")).where(_can_link(percent))
-    links = durable(_verified(near.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), sets, percent), "links")
+    links = durable(_verified(_to_leaders(prefix, [0], _can_link(percent), slim), sets, percent), "links")
     labels = connected_components(links)
-
-    # Round 2: prefix n-grams that still meet in several components.
-    own = prefix.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).select("h", "label", *slim)
-    mixed = own.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    open_rows = durable(own.join(mixed, "h", "left_semi"), "mixed")
-    cross = open_rows.alias("a").join(open_rows.alias("b"), F.col("a.h") == F.col("b.h")).where((F.col("a.key") < F.col("b.key")) & (F.col("a.label") != F.col("b.label"))).where(_can_link(percent))
-    more = durable(_verified(cross.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), sets, percent), "links")
-    labels = connected_components(links.union(more))
+    bits = [f"k{i}" for i in range(_BITS // 64)]
+    sketches = sets.select(F.struct("c1", "c2").alias("key"), (F.col("n") - F.octet_length("shared") / 8).cast("int").alias("alone"), *[F.get("sketch", F.lit(i)).alias(k) for i, k in enumerate(bits)])
+    apart = _can_link(percent) & (F.col("a.label") != F.col("b.label")) & _sketches_can_link(percent)
+
+    def unsettled() -> DataFrame:
+        """The rows of n-grams that meet in several components."""
+        own = prefix.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key")).select("h", "label", *slim)
+        mixed = own.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
+        return durable(own.join(mixed, "h", "left_semi").join(sketches, "key").select("h", "label", *slim, "alone", *bits), "mixed")
+
+    def join_in(pairs: DataFrame) -> None:
+        """Verify pairs and add the links."""
+        nonlocal links, labels
+        found = durable(_verified(pairs, sets, percent), "links")
+        if not found.isEmpty():
+            links = links.unionAll(found)
+            labels = connected_components(links)
+
+    rows_left = unsettled()
+    join_in(_to_leaders(rows_left, list(range(1, 1 + _LEADERS)), apart, ["label", *slim, "alone", *bits]))
+    rows_left = unsettled()
+    cross = rows_left.alias("a").join(rows_left.alias("b"), F.col("a.h") == F.col("b.h")).where((F.col("a.key") < F.col("b.key")) & apart)
+    join_in(cross.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct())
 
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("first_id"))
     classes = classes.join(labels.select("node.c1", "node.c2", "label"), ["c1", "c2"], "left").withColumn("label", F.coalesce("label", F.struct("c1", "c2")))
