@@ -55,6 +55,13 @@ def unpack_hashes(blob: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def unpack_counted(blob: bytes, width: int, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (their bucket above their low bytes) and counts of one blob of ``repeats``."""
+    n = len(blob) // (width + 1)
+    low = unpack_hashes(blob[: n * width], width)
+    return (low | (np.uint64(bucket) << np.uint64(8 * width))).view("<i8"), np.frombuffer(blob, dtype=np.uint8, offset=n * width)
+
+
 class Flusher:
     """Collects ``(hash, ref)`` of one task and cuts them into blobs by bucket."""
 
@@ -103,9 +110,9 @@ def n_buckets(items: int) -> int:
 def repeats(blobs: DataFrame, width: int, with_counts: bool) -> DataFrame:
     """References whose hash is met at least twice, by flush, and the directories.
 
-    With counts, ``hashes`` holds, for each reference, the hash (its bucket
-    above its low bytes) and how often it is met, as little-endian 8 byte
-    numbers; without, it is empty.
+    With counts, ``hashes`` holds the low bytes of each reference's hash, then a
+    byte each for how often it is met (255 and more alike); ``unpack_counted``
+    reads it.  Without, it is empty.
     """
 
     def find(table: pa.Table) -> pa.Table:
@@ -121,7 +128,6 @@ def repeats(blobs: DataFrame, width: int, with_counts: bool) -> DataFrame:
         count = np.empty(len(every), dtype=np.int64)
         count[order] = np.repeat(np.diff(edges, append=len(ranked)), np.diff(edges, append=len(ranked)))
         out_flush, out_kind, out_refs, out_hashes = [], [], [], []
-        bucket = np.uint64(table["bucket"][0].as_py())
         at = 0
         for flush, kind, ref, own, blob in zip(flushes, kinds, refs, hashes, raw):
             if kind == 1:
@@ -133,12 +139,12 @@ def repeats(blobs: DataFrame, width: int, with_counts: bool) -> DataFrame:
             if hit.any():
                 out_flush.append(flush), out_kind.append(0), out_refs.append(pack_refs(ref[hit]))
                 if with_counts:
-                    full = own[hit] | ((bucket << np.uint64(8 * width)) if width < 8 else np.uint64(0))
-                    out_hashes.append(full.tobytes() + own_count[hit].tobytes())
+                    out_hashes.append(pack_hashes(own[hit], width) + np.minimum(own_count[hit], 255).astype(np.uint8).tobytes())
                 else:
                     out_hashes.append(b"")
         return pa.table(
             {
+                "bucket": pa.array([table["bucket"][0].as_py()] * len(out_flush), pa.int64()),
                 "flush": pa.array(out_flush, pa.int64()),
                 "kind": pa.array(out_kind, pa.int8()),
                 "refs": pa.array(out_refs, pa.binary()),
@@ -146,7 +152,7 @@ def repeats(blobs: DataFrame, width: int, with_counts: bool) -> DataFrame:
             }
         )
 
-    return blobs.groupBy("bucket").applyInArrow(find, "flush long, kind byte, refs binary, hashes binary")
+    return blobs.groupBy("bucket").applyInArrow(find, "bucket long, flush long, kind byte, refs binary, hashes binary")
 
 
 def scan(docs: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .components import connected_components
 from .durable import durable
-from .gramcount import FLUSH_BYTES, Flusher, n_buckets, repeats, scan, unpack_refs
+from .gramcount import FLUSH_BYTES, Flusher, n_buckets, repeats, scan, unpack_counted, unpack_refs
 from .wordbytes import mix64, windows, words
 
 NGRAM, PERCENT = 5, 75
@@ -106,16 +106,15 @@ def _sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
             yield from flush()
 
     def settle(table: pa.Table) -> pa.Table:
-        refs, grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        refs, grams, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         own = None
-        for kind, ref, blob in zip(table["kind"].to_pylist(), table["refs"].to_pylist(), table["hashes"].to_pylist()):
+        for kind, bucket, ref, blob in zip(*(table[c].to_pylist() for c in ("kind", "bucket", "refs", "hashes"))):
             if kind == 1:
                 own = pa.ipc.open_stream(blob).read_all()
                 continue
-            values = np.frombuffer(blob, dtype="<i8")
             refs.append(unpack_refs(ref))
-            grams.append(values[: len(values) // 2])
-            counts.append(values[len(values) // 2 :])
+            found, often = unpack_counted(blob, _HASH_BYTES, bucket)
+            grams.append(found), counts.append(often)
         ref, gram, count = map(np.concatenate, (refs, grams, counts))
         order = np.lexsort((gram, count, ref))
         ref, gram = ref[order], gram[order]
