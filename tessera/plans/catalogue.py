@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import ROW_ID
 from ..functions.storage import fresh_path
 from ..functions.types import convert, spark_type
-from ..operators import columns, edits, filters, stats, tables
+from ..operators import columns, edits, explore, filters, stats, tables
 from ..operators.catalog import Catalog
 from ..sources import readers, sqlite, writers
 
@@ -467,3 +467,48 @@ def _(spark, d):
     path = fresh_path(spark, "csv")
     writers.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").orderBy("p_partkey").coalesce(1), path)
     return readers.read_csv(spark, path)
+
+
+# --- exploration -------------------------------------------------------------------------------
+
+
+def _shape_sql(c: str) -> str:
+    return (f"SELECT '{c}' AS column_name, round((avg(x*x*x) - 3*avg(x)*avg(x*x) + 2*pow(avg(x), 3)) / pow(var_pop(x), 1.5), 4) + 0 AS skewness, "
+            f"round((avg(x*x*x*x) - 4*avg(x)*avg(x*x*x) + 6*pow(avg(x), 2)*avg(x*x) - 3*pow(avg(x), 4)) / pow(var_pop(x), 2) - 3, 4) + 0 AS kurtosis FROM (SELECT {c}::DOUBLE / 100 AS x FROM customer)")
+
+
+@query("shape_stats", " UNION ALL ".join(_shape_sql(c) for c in ("c_acctbal", "c_nationkey")))
+def _(spark, d):
+    return rounded(explore.shape_stats(table(spark, d, "customer"), ["c_acctbal", "c_nationkey"]))
+
+
+@query("correlations", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 4) + 0 AS r FROM lineitem" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_tax"), ("l_extendedprice", "l_tax"))))
+def _(spark, d):
+    return rounded(explore.correlations(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_tax"]))
+
+
+@query("frequencies", "SELECT event_type AS value, COUNT(*) AS count, round(100.0 * COUNT(*) / (SELECT COUNT(*) FROM events), 4) + 0 AS percent FROM events GROUP BY 1")
+def _(spark, d):
+    return rounded(explore.frequencies(table(spark, d, "events"), "event_type"))
+
+
+@query("histogram", "WITH b AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 7 AS w FROM lineitem), n AS (SELECT least(floor((l_quantity - lo) / w)::INTEGER + 1, 7) AS bin, COUNT(*) AS count FROM lineitem, b GROUP BY 1) SELECT i::INTEGER AS bin, round(lo + (i - 1) * w, 4) + 0 AS low, coalesce(count, 0)::BIGINT AS count FROM range(1, 8) t(i) CROSS JOIN b LEFT JOIN n ON bin = i")
+def _(spark, d):
+    return rounded(explore.histogram(table(spark, d, "lineitem"), "l_quantity", 7))
+
+
+@query("typed_filters", "SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND p_size <> 12 AND contains(p_type, 'A') AND p_brand IS NOT NULL")
+def _(spark, d):
+    tests = [("p_size", "gte", 10), ("p_size", "neq", 12), ("p_type", "contains", "A"), ("p_brand", "not_null", None)]
+    return table(spark, d, "part").where(filters.all_of([explore.predicate(*t) for t in tests])).select("p_partkey", "p_name")
+
+
+@query("fill_and_drop_missing", "SELECT c_custkey, coalesce(nullif(c_nationkey, 3), -1)::INTEGER AS a, c_acctbal FROM customer WHERE c_acctbal > 0")
+def _(spark, d):
+    df = table(spark, d, "customer").select("c_custkey", F.nullif("c_nationkey", F.lit(3)).alias("a"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("c_acctbal"))
+    return explore.drop_missing(explore.fill_missing(df, {"a": -1}), ["c_acctbal"])
+
+
+@query("computed_column", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount), 4) + 0 AS net FROM lineitem")
+def _(spark, d):
+    return rounded(explore.computed_column(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_discount"), "net", "l_extendedprice * (1 - l_discount)").drop("l_extendedprice", "l_discount"))
