@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixing, ngram_join, packing, substring_dedup
-from tessera.llm.durable import fresh_path
+from tessera.llm.durable import durable, fresh_path
 
 #: A document is rejected below this score, besides those without any letter.
 LEAST_LANG_SCORE = 0.05
+#: Ids broadcast at most (about 60 MB as a hash table); more are joined by shuffle.
+MOST_BROADCAST_IDS = 2_000_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +21,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE)).select(*docs.columns)
 
 
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with a table of ids, broadcast only if it is counted to be small; texts then stay where they are."""
+    ids = ids.select(F.col("doc_id").alias("listed"))
+    side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["listed"]), how)
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it, once."""
-    classes = ngram_join.near_duplicate_classes(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
-    out = docs.join(stay, docs["doc_id"].eqNullSafe(stay["stay_id"]), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group: the one that names it, once; documents without id can't be told apart and stay unless a group has an id."""
+    classes = durable(ngram_join.near_duplicate_classes(docs).select("doc_id", "component_id"), "members")
+    out = _by_id(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct(), "left_anti")
+    repeated = durable(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return out
+    return _by_id(out, repeated, "left_anti").unionByName(_by_id(out, repeated, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
