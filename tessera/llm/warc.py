@@ -199,10 +199,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
     """Per record the page it is of, its whole payload's length and digest, and the page a revisit refers to."""
     response = records.where("record_type != 'revisit'").groupBy("record_id").agg(F.first(F.struct("page_id", "payload_bytes", "payload_digest")).alias("r"))
-    both = records.join(response.withColumnRenamed("record_id", "response_id"), F.col("refers_to_id") == F.col("response_id"), "left")
+    # A response refers to itself here: no null keys, which would all meet in one task.
+    whole = F.coalesce("refers_to_id", "record_id")
+    both = records.withColumn("whole_id", whole).join(response.withColumnRenamed("record_id", "response_id"), F.col("whole_id") == F.col("response_id"), "left")
     return both.select(
         F.col("page_id").cast(id_type).alias("page_id"), F.coalesce("payload_bytes", "r.payload_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "r.payload_digest").alias("payload_digest"), "record_type", F.col("r.page_id").cast(id_type).alias("refers_to"),
+        F.coalesce("payload_digest", "r.payload_digest").alias("payload_digest"), "record_type",
+        F.when(F.col("refers_to_id").isNotNull(), F.col("r.page_id")).cast(id_type).alias("refers_to"),
     )
 
 
