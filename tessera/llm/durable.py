@@ -1,5 +1,19 @@
-"""Intermediate tables that outlive an executor."""
+"""Intermediate tables that outlive an executor, and batches of bounded size."""
+
+from pyspark.sql import SparkSession
 
 from ..functions.storage import durable, fresh_path, shared_folder
 
-__all__ = ["durable", "fresh_path", "shared_folder"]
+__all__ = ["durable", "fresh_path", "shared_folder", "text_batches"]
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python ``rows`` at a time; a session with its own setting keeps it.
+
+    Spark's default of 10,000 rows means tens of megabytes of text in each
+    buffer on both sides of a task.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(rows))

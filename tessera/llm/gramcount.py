@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.taskcontext import TaskContext
 
+from .durable import text_batches
+
 #: Hashes per bucket aimed at, and bytes of text gathered before blobs are cut.
 BUCKET_ITEMS = 256 << 10
 FLUSH_BYTES = 8 << 20
@@ -156,4 +158,5 @@ def repeats(blobs: DataFrame, width: int, with_counts: bool) -> DataFrame:
 
 
 def scan(docs: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(task, BLOBS_DDL)

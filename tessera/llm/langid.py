@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .durable import text_batches
 from .wordbytes import latin_lower, letter_bytes, words
 
 PER_LANG, MAX_LANGS, MAX_BYTES = 400, 200, 16 << 10
@@ -153,6 +154,7 @@ def decide(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.langs, model.families, model.pairs, model.weights))
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
     where, at = [docs.columns.index(c) for c in names], docs.columns.index(text_col)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import text_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's publisher splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -68,6 +70,7 @@ _KINDS = "section int, section_start long, section_end long, n_tokens long, firs
 
 def _rows(docs: DataFrame, vocabulary: str, fields: int) -> DataFrame:
     """Rows of ``docs (id, c1 .. cn)`` by section: lines of the one text, or the texts of a record."""
+    text_batches(docs.sparkSession)
     with open(vocabulary, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())  # about a megabyte, whatever the corpus
     id_type = docs.schema["id"].dataType.simpleString()

@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .durable import text_batches
 from .wordbytes import SpanHashes, Words, latin_lower, letter_bytes, mix64, windows, words
 
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 600, 1600, 16 << 10
@@ -225,6 +226,7 @@ def tag(docs: DataFrame, model: Model | None, text_col: str = "text", spans: boo
     last excluded) and ``p``, the tokens whose marginal is at least ``least``.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     shared = spark.sparkContext.broadcast(model and (model.weights.astype(np.float32), model.trans, model.start, model.doc))
     at = docs.columns.index(text_col)
     names = [c for i, c in enumerate(docs.columns) if i != at and c not in ("score", "predicted", "spans")]
