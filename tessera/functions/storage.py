@@ -21,8 +21,26 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by ``durable`` and not discarded yet.
+_written: list[str] = []
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tables_written() -> int:
+    """How many tables ``durable`` has written that are still there; a mark for ``discard_tables``."""
+    return len(_written)
+
+
+def discard_tables(spark: SparkSession, mark: int) -> None:
+    """Delete the tables written after ``mark``; for callers that have stored every result built on them."""
+    jvm = spark._jvm
+    while len(_written) > mark:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
