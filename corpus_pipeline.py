@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.storage import discard_tables, tables_written
 from tessera.llm import langid, mixing, ngram_join, packing, substring_dedup
 from tessera.llm.durable import durable, fresh_path
 
@@ -12,10 +13,13 @@ from tessera.llm.durable import durable, fresh_path
 LEAST_LANG_SCORE = 0.05
 #: Ids broadcast at most (about 60 MB as a hash table); more are joined by shuffle.
 MOST_BROADCAST_IDS = 2_000_000
+#: Tables written before the first stage; later ones go when the stage that needs them is stored.
+_mark = [0]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    _mark[0] = tables_written()
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.identify(docs.select("text", *[c for c in docs.columns if c != "text"]), model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE)).select(*docs.columns)
@@ -30,6 +34,7 @@ def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one that names it, once; documents without id can't be told apart and stay unless a group has an id."""
+    discard_tables(spark, _mark[0])  # the stage before is written
     classes = durable(ngram_join.near_duplicate_classes(docs).select("doc_id", "component_id"), "members")
     out = _by_id(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct(), "left_anti")
     repeated = durable(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
@@ -40,17 +45,20 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages cut out of the texts; documents of which nothing is left go."""
+    discard_tables(spark, _mark[0])  # the stage before is written
     out = substring_dedup.remove_repeats(docs)
     return out.where("n_removed < n_words").select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
+    discard_tables(spark, _mark[0])  # the stage before is written
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and the sequences that hold them."""
+    discard_tables(spark, _mark[0])  # the stage before is written
     return packing.best_fit_pack(docs)
 
 
