@@ -11,8 +11,8 @@ from tessera.llm.durable import durable, fresh_path
 
 #: A document is rejected below this score, besides those without any letter.
 LEAST_LANG_SCORE = 0.05
-#: Ids broadcast at most (about 60 MB as a hash table); more are joined by shuffle.
-MOST_BROADCAST_IDS = 2_000_000
+#: Row hashes broadcast at most (about 60 MB as a hash table of two longs a row); more are joined by shuffle.
+MOST_BROADCAST_ROWS = 600_000
 #: Tables written before the first stage; later ones go when the stage that needs them is stored.
 _mark = [0]
 
@@ -25,22 +25,31 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE)).select(*docs.columns)
 
 
-def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join with a table of ids, broadcast only if it is counted to be small; texts then stay where they are."""
-    ids = ids.select(F.col("doc_id").alias("listed"))
-    side = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["listed"]), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a 128-bit hash of the row (``k1``, ``k2``), so that only rows equal in every column share it."""
+    cols = [docs[f"`{c}`"] for c in docs.columns]
+    nulls = [c.isNull() for c in cols]  # a hash passes over null values
+    return docs.withColumns({"k1": F.xxhash64(*cols, *nulls), "k2": F.xxhash64(F.lit("2"), *nulls, *reversed(cols))})
+
+
+def _by_key(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join with a table of row hashes, broadcast only if it is counted to be small; texts then stay where they are."""
+    side = F.broadcast(keys) if keys.count() <= MOST_BROADCAST_ROWS else keys
+    return keyed.join(side, ["k1", "k2"], how)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one that names it, once; documents without id can't be told apart and stay unless a group has an id."""
+    """One row of each near-duplicate group: that of the smallest id, null last, and of the smallest row hash among equal ids; texts without words belong to no group and stay."""
     discard_tables(spark, _mark[0])  # the stage before is written
-    classes = durable(ngram_join.near_duplicate_classes(docs).select("doc_id", "component_id"), "members")
-    out = _by_id(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).distinct(), "left_anti")
-    repeated = durable(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return out
-    return _by_id(out, repeated, "left_anti").unionByName(_by_id(out, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    keyed = _keyed(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
+    classes = ngram_join.near_duplicate_classes(keyed.select(row.alias("row"), "text"), "row")
+    members = durable(classes.select("row.k1", "row.k2", (F.col("row") != F.col("component_id")).alias("goes"), (F.col("n_shingles") > 0).alias("grouped")), "members")
+    out = _by_key(keyed, durable(members.where("goes").select("k1", "k2").distinct(), "goes"), "left_anti")
+    repeated = durable(members.where("grouped and not goes").groupBy("k1", "k2").count().where("count > 1").select("k1", "k2"), "repeated")
+    if not repeated.isEmpty():
+        out = _by_key(out, repeated, "left_anti").unionByName(_by_key(out, repeated, "left_semi").dropDuplicates(["k1", "k2"]))
+    return out.select(*docs.columns)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

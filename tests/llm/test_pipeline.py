@@ -50,6 +50,27 @@ def test_stages(spark, tmp_path):
     assert sum(r.n_tokens for r in seen["best_fit_packing"]) == total(seen["mixing"])
 
 
+def test_join_decides_by_row(spark):
+    rng = random.Random(11)
+    fresh = lambda: " ".join(prose("aa", rng, 40))
+    a, b, c, e, f = (fresh() for _ in range(5))
+    lone = [fresh() for _ in range(6)]
+    data = [(2, a), (None, a), (6, a + " ka"), (6, lone[0]), (None, lone[1]), (None, lone[2])]  # a null id and half of id 6 go with id 2
+    data += [(7, lone[3]), (7, lone[4]), (7, lone[5])]  # one id, unrelated texts
+    data += [(8, b), (8, b), (9, c), (9, c + " ra"), (None, e), (None, e), (None, e + " li"), (None, f)]
+    data += [(10, None), (10, None), (None, ""), (None, "")]  # without words: no group
+    rows = [(i, t, "aa", f"s{k}" if t == b else "s", 0) for k, (i, t) in enumerate(data)]
+    rows += [(None, None, "aa", "s", 5), (5, None, "aa", "s", None), rows[11], (12, lone[0] + " x", "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    runs = [sorted(map(tuple, corpus_pipeline.ngram_jaccard_join(spark, df, "").collect()), key=str) for df in (docs, docs.repartition(3))]
+    assert runs[0] == runs[1] and set(runs[0]) <= set(rows)
+    got = [(i, t) for i, t, *_ in runs[0]]
+    assert sorted(i for i, t in got if t == a or t == a + " ka") == [2]
+    assert [got.count((i, t)) for i, t in ((6, lone[0]), (None, lone[1]), (None, lone[2]), (7, lone[3]), (7, lone[4]), (7, lone[5]), (8, b), (None, f))] == [1] * 8
+    assert sum(i == 9 for i, _ in got) == 1 and sum(bool(t) and t.startswith(e) for _, t in got) == 1 and 12 not in [i for i, _ in got]
+    assert sorted((r for r in runs[0] if not r[1]), key=str) == sorted((r for r in rows if not r[1]), key=str)
+
+
 def test_registration():
     names = __spark_entry__.queries()
     assert "pipeline" in names
