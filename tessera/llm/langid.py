@@ -7,7 +7,8 @@ machines (squared hinge) separate the families first, then the languages of the
 family chosen; most votes win, ties go to the larger sum of margins.
 
 Learning uses a bounded sample: of the permitted rows the ``PER_LANG`` of each
-language with the smallest hash of their id, texts of at most ``MAX_BYTES``.
+language with the smallest hash of their id, then of their text (equal rows
+count once), texts of at most ``MAX_BYTES``.
 Every text is then predicted whole; the text alone decides.
 
 Defined cases: null text, or text without any letter, is ``und`` with score 0;
@@ -112,9 +113,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model from the bounded sample of ``docs``."""
     rows = docs.select(docs[f"`{id_col}`"].cast("string").alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_BYTES) & F.col("text").rlike(r"\p{L}"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    some = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANG).select("id", "lang").limit(PER_LANG * MAX_LANGS)
-    got = sorted({(r.lang, r.id or "", r.text) for r in rows.join(F.broadcast(some), ["id", "lang"]).collect()})
+    null = F.col("id").isNull()
+    rows = rows.withColumns({"k1": F.xxhash64("id", null, "text"), "k2": F.xxhash64("text", F.lit("2"), null, "id")})
+    keys = rows.select("id", "lang", "k1", "k2").distinct()
+    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "k1", "k2")
+    some = keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANG).select("lang", "k1", "k2").limit(PER_LANG * MAX_LANGS)
+    once = rows.join(F.broadcast(some), ["lang", "k1", "k2"]).groupBy("lang", "k1", "k2").agg(F.min("id").alias("id"), F.min("text").alias("text"))
+    got = sorted({(r.lang, r.id or "", r.text) for r in once.collect()})
     return train([r[2] for r in got], [r[0] for r in got])
 
 

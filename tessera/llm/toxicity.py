@@ -11,7 +11,8 @@ a logistic fit on the training documents.
 
 The model learns from a bounded sample: of the permitted labelled documents of
 at most ``MAX_BYTES`` the ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean ones with
-the smallest hash of their id.  Every document is then scored whole.
+the smallest hash of their id, one text an id (that of the smallest hash where
+an id is repeated).  Every document is then scored whole.
 
 Defined cases: null text scores as empty text; a text without letters has no
 tokens and scores as clean; null or contradictory labels: null ones are left
@@ -214,7 +215,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.join(docs.select(docs[f"`{id_col}`"].alias("id"), F.octet_length(docs[f"`{text_col}`"]).alias("bytes")).where(f"bytes <= {MAX_BYTES}").select("id").distinct(), "id", "left_semi")
     order = F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string")
     some = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(some), "id").select("id", "text", "toxic").collect()
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(some), "id")
+    rows = rows.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
     rows = sorted({(str(r.id), r.text, r.toxic) for r in rows})
     return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=int)) if rows else None
 

@@ -89,6 +89,28 @@ def test_toxicity(spark):
     assert data[300][1].encode()[span.first : span.last].lower().startswith(b"vile")
 
 
+@pytest.fixture
+def collected(spark, monkeypatch):
+    """The number of rows of every ``collect()`` so far."""
+    kind, counts = type(spark.range(1)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: counts.append(len(rows := collect(df))) or rows)
+    return counts
+
+
+def test_samples_are_bounded_in_rows(spark, collected, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(langid, "PER_LANG", 5)
+    many = [(1, text("aa", rng), "aa") for _ in range(60)] + [(2, "ösch ent", "ba")] * 60 + [(None, text("ba", rng), "ba") for _ in range(60)]
+    docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    models = [langid.fit(df) for df in (docs, docs.repartition(3))]
+    assert models[0].langs == ["aa", "ba"] and collected == [10, 10] and (models[0].weights == models[1].weights).all()
+    collected.clear()
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    models = [toxicity.fit(df, labels) for df in (docs, docs.repartition(3))]
+    assert collected == [2, 2] and (models[0].weights == models[1].weights).all()
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
