@@ -4,43 +4,73 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folder of each application that names none itself.
+_local: dict[str, str] = {}
+#: The list that the tables of the work in hand are noted in, if anybody asked for it.
+_noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+    return _local[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: Tables written by ``durable`` and not discarded yet.
-_written: list[str] = []
-
-
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
+    note_table(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def tables_written() -> int:
-    """How many tables ``durable`` has written that are still there; a mark for ``discard_tables``."""
-    return len(_written)
+def note_table(path: str) -> None:
+    """Let the surrounding ``noted_tables``, if any, know of a table."""
+    if (paths := _noted.get()) is not None:
+        paths.append(path)
+
 
+@contextmanager
+def noted_tables() -> Iterator[list[str]]:
+    """Collects the paths of the intermediate tables that the code within writes, and of no others."""
+    paths: list[str] = []
+    token = _noted.set(paths)
+    try:
+        yield paths
+    finally:
+        _noted.reset(token)
 
-def discard_tables(spark: SparkSession, mark: int) -> None:
-    """Delete the tables written after ``mark``; for callers that have stored every result built on them."""
-    jvm = spark._jvm
-    while len(_written) > mark:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+
+def delete_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables written within; results must be stored or shown by then."""
+    with noted_tables() as paths:
+        try:
+            yield
+        finally:
+            delete_tables(spark, paths)
