@@ -2,9 +2,9 @@
 
 from pyspark.sql import SparkSession
 
-from ..functions.storage import durable, fresh_path, shared_folder
+from ..functions.storage import delete_tables, durable, fresh_path, note_table, noted_tables, shared_folder
 
-__all__ = ["durable", "fresh_path", "shared_folder", "text_batches"]
+__all__ = ["delete_tables", "durable", "fresh_path", "note_table", "noted_tables", "shared_folder", "text_batches"]
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -13,7 +13,8 @@ def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python ``rows`` at a time; a session with its own setting keeps it.
 
     Spark's default of 10,000 rows means tens of megabytes of text in each
-    buffer on both sides of a task.
+    buffer on both sides of a task.  Spark has no setting for bytes here;
+    corpora of very long texts want a smaller number of their own.
     """
     if spark.conf.get(_BATCH) == "10000":
         spark.conf.set(_BATCH, str(rows))

@@ -6,16 +6,21 @@ profiles are closest form families.  One-versus-one linear support vector
 machines (squared hinge) separate the families first, then the languages of the
 family chosen; most votes win, ties go to the larger sum of margins.
 
-Learning uses a bounded sample: of the permitted rows the ``PER_LANG`` of each
-language with the smallest hash of their id, then of their text (equal rows
-count once), texts of at most ``MAX_BYTES``.
-Every text is then predicted whole; the text alone decides.
+Learning uses a bounded sample of labelled rows: of the permitted ones the
+``PER_LANG`` of each language with the smallest hash of id and text (equal rows
+count once), of the ``MAX_LANGS`` languages with the most rows (ties: by name).
+Tasks turn the whole texts of the sample into profiles, whatever their length,
+and train each pair's machine; the driver sees a mean profile per language and
+the weights (32 KB a language and a pair).  A family of many languages takes its
+share of rows from each, so no pair learns from more than about
+``4 * PER_LANG`` rows.  Every text is then predicted whole; the text alone
+decides.
 
 Defined cases: null text, or text without any letter, is ``und`` with score 0;
-languages with few texts learn from those; with no learnable text everything is
-``und``; with one language everything else is that language with score 1;
-repeated rows are predicted each; other columns pass through unless named like a
-result column.
+languages with few texts learn from those; null ids are learned from like
+others; with no learnable text everything is ``und``; with one language
+everything else is that language with score 1; repeated rows are predicted each;
+other columns pass through unless named like a result column.
 """
 
 from __future__ import annotations
@@ -31,10 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .durable import text_batches
+from .durable import durable, text_batches
 from .wordbytes import latin_lower, letter_bytes, words
 
-PER_LANG, MAX_LANGS, MAX_BYTES = 400, 200, 16 << 10
+PER_LANG, MAX_LANGS = 400, 200
+#: Parts in which the rows of a language are ranked before they are ranked together.
+_SALTS = 16
 BITS = 13
 SLOPE = 2.0
 
@@ -62,6 +69,7 @@ def _grams(data: np.ndarray) -> list[np.ndarray]:
 
 
 def _profile(text: str) -> np.ndarray:
+    """Frequencies of the n-grams of a text, and a one for the bias."""
     out = np.zeros((1 << BITS) + 1, dtype=np.float32)
     for g in _grams(np.frombuffer(text.encode(), dtype=np.uint8)):
         out[:-1] += np.bincount(g, minlength=1 << BITS) * (10.0 / max(len(g), 1))
@@ -69,15 +77,30 @@ def _profile(text: str) -> np.ndarray:
     return out
 
 
+def _packed(profile: np.ndarray) -> bytes:
+    """The features of a profile that are not zero, with their values."""
+    at = np.flatnonzero(profile)
+    return at.astype("<u2").tobytes() + profile[at].astype("<f4").tobytes()
+
+
+def _unpacked(blobs: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(blobs), (1 << BITS) + 1), dtype=np.float32)
+    for row, blob in zip(out, blobs):
+        n = len(blob) // 6
+        row[np.frombuffer(blob, "<u2", n)] = np.frombuffer(blob, "<f4", n, 2 * n)
+    return out
+
+
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, ridge: float = 1e-3) -> np.ndarray:
-    """Squared-hinge SVM by accelerated gradient steps; classes count alike."""
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    top = float((share * (x * x).sum(axis=1)).sum()) * 2 + ridge
-    w = v = np.zeros(x.shape[1])
+    """Squared-hinge SVM by accelerated gradient steps in single precision; classes count alike."""
+    y = y.astype(np.float32)
+    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)).astype(np.float32)
+    top = np.float32(float((share * np.einsum("ij,ij->i", x, x)).sum()) * 2 + ridge)
+    w = v = np.zeros(x.shape[1], dtype=np.float32)
     for k in range(rounds):
-        miss = np.maximum(0, 1 - y * (x @ v))
-        new = v + (x.T @ (2 * share * miss * y) - ridge * v) / top
-        w, v = new, new + (k / (k + 3)) * (new - w)
+        miss = np.maximum(np.float32(0), 1 - y * (x @ v))
+        new = v + ((2 * share * miss * y) @ x - np.float32(ridge) * v) / top
+        w, v = new, new + np.float32(k / (k + 3)) * (new - w)
     return w
 
 
@@ -92,35 +115,82 @@ def _families(profiles: np.ndarray) -> list[list[int]]:
     return sorted(groups)
 
 
-def train(texts: list[str], langs: list[str]) -> Model | None:
-    names = sorted(set(langs))
-    if not names:
-        return None
-    x, y = np.stack([_profile(t) for t in texts]), np.array([names.index(v) for v in langs])
-    families = _families(np.stack([x[y == i, :-1].mean(axis=0) for i in range(len(names))]))
-    family = np.array([next(k for k, g in enumerate(families) if i in g) for i in range(len(names))])[y]
+def _sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """``(lang, k, text)``: the labelled rows to learn from, numbered within their language."""
+    rows = docs.select(docs[f"`{id_col}`"].cast("string").alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    null = F.col("id").isNull()
+    rows = rows.withColumns({"k1": F.xxhash64("id", null, "text"), "k2": F.xxhash64("text", F.lit("2"), null, "id")}).select("lang", "k1", "k2", "text")
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
+    order = [F.col("k1"), F.col("k2")]
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    keys = rows.select("lang", "k1", "k2").distinct().withColumn("salt", F.pmod("k2", F.lit(_SALTS)))
+    few = keys.withColumn("k", rank("lang", "salt")).where(F.col("k") <= PER_LANG)
+    some = few.withColumn("k", rank("lang")).where(F.col("k") <= PER_LANG).join(F.broadcast(often), "lang").select("lang", "k", "k1", "k2")
+    # At most PER_LANG * MAX_LANGS keys are broadcast; equal rows become one.
+    return rows.join(F.broadcast(some), ["lang", "k1", "k2"]).groupBy("lang", "k").agg(F.first("text").alias("text"))
+
+
+def _pairs(families: list[list[int]]) -> list[tuple[str, int, int]]:
     pairs = [("family", a, b) for a, b in itertools.combinations(range(len(families)), 2)]
-    pairs += [("lang", a, b) for g in families for a, b in itertools.combinations(g, 2)]
-    weights = []
-    for kind, a, b in pairs:
-        of = family if kind == "family" else y
-        rows = np.flatnonzero((of == a) | (of == b))
-        weights.append(_svm(x[rows], np.where(of[rows] == a, 1.0, -1.0)))
-    return Model(names, families, pairs, np.array(weights, dtype=np.float32).reshape(len(pairs), (1 << BITS) + 1))
+    return pairs + [("lang", a, b) for g in families for a, b in itertools.combinations(g, 2)]
+
+
+def _roles(families: list[list[int]], pairs: list[tuple[str, int, int]]) -> dict[int, list[tuple[int, int, int]]]:
+    """For each language its pairs: number, side (1 or -1), and how many of its rows take part."""
+    family = {i: k for k, g in enumerate(families) for i in g}
+    out: dict[int, list[tuple[int, int, int]]] = {i: [] for i in family}
+    for at, (kind, a, b) in enumerate(pairs):
+        for i in family:
+            own = family[i] if kind == "family" else i
+            if own in (a, b):
+                most = -(-2 * PER_LANG // len(families[own])) if kind == "family" else PER_LANG
+                out[i].append((at, 1 if own == a else -1, most))
+    return out
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from the bounded sample of ``docs``."""
-    rows = docs.select(docs[f"`{id_col}`"].cast("string").alias("id"), docs[f"`{text_col}`"].alias("text"), docs[f"`{lang_col}`"].alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") <= MAX_BYTES) & F.col("text").rlike(r"\p{L}"))
-    null = F.col("id").isNull()
-    rows = rows.withColumns({"k1": F.xxhash64("id", null, "text"), "k2": F.xxhash64("text", F.lit("2"), null, "id")})
-    keys = rows.select("id", "lang", "k1", "k2").distinct()
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "k1", "k2")
-    some = keys.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANG).select("lang", "k1", "k2").limit(PER_LANG * MAX_LANGS)
-    once = rows.join(F.broadcast(some), ["lang", "k1", "k2"]).groupBy("lang", "k1", "k2").agg(F.min("id").alias("id"), F.min("text").alias("text"))
-    got = sorted({(r.lang, r.id or "", r.text) for r in once.collect()})
-    return train([r[2] for r in got], [r[0] for r in got])
+    text_batches(docs.sparkSession)
+
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [_packed(_profile(t.as_py())) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["lang", "k", "profile"])
+
+    def mean(table: pa.Table) -> pa.Table:
+        total = np.zeros((1 << BITS) + 1)
+        for blob in table["profile"].to_pylist():
+            total += _unpacked([blob])[0]
+        return pa.table({"lang": [table["lang"][0].as_py()], "mean": pa.array([(total[:-1] / table.num_rows).astype("<f4").tobytes()], pa.binary())})
+
+    sample = durable(_sample(docs, id_col, text_col, lang_col).mapInArrow(profile, "lang string, k int, profile binary"), "profiles")
+    means = sorted((r.lang, r["mean"]) for r in sample.groupBy("lang").applyInArrow(mean, "lang string, mean binary").collect())
+    if not means:
+        return None
+    names = [lang for lang, _ in means]
+    families = _families(np.stack([np.frombuffer(m, "<f4") for _, m in means]))
+    pairs = _pairs(families)
+    roles = {names[i]: r for i, r in _roles(families, pairs).items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(at, side, lang, k, blob) for lang, k, blob in zip(*(batch.column(i).to_pylist() for i in range(3))) for at, side, most in roles[lang] if k <= most]
+            for at in range(0, len(rows), 1000):
+                columns = list(zip(*rows[at : at + 1000]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.binary()))], names=["pair", "side", "lang", "k", "profile"])
+
+    def learn(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("lang", "ascending"), ("k", "ascending")])
+        weights = _svm(_unpacked(table["profile"].to_pylist()), table["side"].to_numpy())
+        return pa.table({"pair": pa.array([table["pair"][0].as_py()], pa.int32()), "weights": pa.array([weights.astype("<f4").tobytes()], pa.binary())})
+
+    dealt = sample.mapInArrow(deal, "pair int, side int, lang string, k int, profile binary")
+    got = dict(map(tuple, dealt.groupBy("pair").applyInArrow(learn, "pair int, weights binary").collect())) if pairs else {}
+    weights = np.zeros((len(pairs), (1 << BITS) + 1), dtype=np.float32)
+    for at, blob in got.items():
+        weights[at] = np.frombuffer(blob, "<f4")
+    return Model(names, families, pairs, weights)
 
 
 def _vote(margins: np.ndarray, members: list[int], pairs: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:

@@ -44,6 +44,41 @@ def test_language_id_of_odd_tables(spark):
     assert langid.identify(one, None).first().lang_pred == "und" and langid.identify(none, langid.fit(one)).count() == 0
 
 
+def test_languages_of_long_texts_and_null_ids_are_learned(spark):
+    rng = random.Random(9)
+    data = [(None, text("aa", rng), "aa") for _ in range(20)] + [(None, text("ba", rng, 8000), "ba") for _ in range(6)]
+    model = langid.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "ba"]
+    new = spark.createDataFrame([(1, text("aa", rng)), (2, text("ba", rng)), (3, text("ba", rng, 9000))], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(new, model).orderBy("doc_id").collect()] == ["aa", "ba", "ba"]
+
+
+def brute_language(t, model):
+    """Votes of single machines on the profile of one text: the family first, then its languages."""
+    x = langid._profile(t).astype(float)
+
+    def elect(members, pairs):
+        votes, sums = {m: 0 for m in members}, {m: 0.0 for m in members}
+        for w, a, b in pairs:
+            m = float(x @ w)
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+        return max(members, key=lambda m: (votes[m], sums[m], -m))
+
+    of = lambda kind, group: [(w, a, b) for w, (k, a, b) in zip(model.weights, model.pairs) if k == kind and a in group and b in group]
+    family = elect(range(len(model.families)), of("family", range(len(model.families))))
+    return model.langs[elect(model.families[family], of("lang", model.families[family]))]
+
+
+def test_votes_match_single_machines(spark):
+    rng = random.Random(10)
+    model = langid.fit(spark.createDataFrame([(i, text(lang, rng), lang) for i, lang in enumerate(list(SYLLABLES) * 30)], "doc_id long, text string, lang string"))
+    mixed = [" ".join(text(rng.choice(list(SYLLABLES)), rng, rng.randrange(1, 6)) for _ in range(3)) for _ in range(60)]
+    got = langid.identify(spark.createDataFrame(list(enumerate(mixed)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == [brute_language(t, model) for t in mixed]
+
+
 def brute_marginals(score, model):
     n, total, one = len(score), 0.0, np.zeros(len(score))
     for tags in itertools.product((0, 1), repeat=n):
@@ -103,8 +138,11 @@ def test_samples_are_bounded_in_rows(spark, collected, monkeypatch):
     monkeypatch.setattr(langid, "PER_LANG", 5)
     many = [(1, text("aa", rng), "aa") for _ in range(60)] + [(2, "ösch ent", "ba")] * 60 + [(None, text("ba", rng), "ba") for _ in range(60)]
     docs = spark.createDataFrame(many, "doc_id long, text string, lang string")
+    assert {r.lang: r["count"] for r in langid._sample(docs, "doc_id", "text", "lang").groupBy("lang").count().collect()} == {"aa": 5, "ba": 5}
+    collected.clear()
     models = [langid.fit(df) for df in (docs, docs.repartition(3))]
-    assert models[0].langs == ["aa", "ba"] and collected == [10, 10] and (models[0].weights == models[1].weights).all()
+    # A mean per language and the weights of a pair, nothing else, come to the driver.
+    assert models[0].langs == ["aa", "ba"] and collected == [2, 1] * 2 and (models[0].weights == models[1].weights).all()
     collected.clear()
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     models = [toxicity.fit(df, labels) for df in (docs, docs.repartition(3))]
