@@ -10,8 +10,11 @@ size class, so that each source's words come within a few documents of its
 target.  Sums are exact (decimal or integer), so reruns agree.
 
 Only rows per *source* reach the driver; more than ``MAX_SOURCES`` sources are
-refused.  Nothing partitions by source alone: documents are ranked within
-(source, size class, salt).
+refused.  What the driver found per source goes back as a literal, so that no
+Python worker takes part.  Nothing partitions by source alone: documents are
+ranked within (source, size class, salt); the table of those cells (one per
+20,000 documents, class and source) is broadcast only while Catalyst finds it
+below ``spark.sql.autoBroadcastJoinThreshold``.
 
 Defined cases: null or empty text has size 0 and is taken at rate 1 (0 words);
 null source is a source, ordered last; equal rows (id, source and size) get equal
@@ -21,12 +24,12 @@ unless they are named like a result column.
 
 from __future__ import annotations
 
+import json
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from .durable import durable
@@ -63,8 +66,8 @@ def _solve(hist: DataFrame, goals: dict, sizes: dict, scale: dict, cap: int) ->
     for _ in range(60):
         if not lam:
             break
-        rows = [(s, l, scale[s]) for s, l in lam.items()]
-        now = hist.join(hist.sparkSession.createDataFrame(rows, _LAMBDAS), hist["source"].eqNullSafe(F.col("key")))
+        known = _literal(hist.sparkSession, [{"key": s, "lam": at, "scale": scale[s]} for s, at in lam.items()], "key string, lam double, scale double")
+        now = hist.join(known, hist["source"].eqNullSafe(known["key"]))
         x = F.col("size") / F.col("scale")
         raw = F.exp(F.least(F.col("lam") * x, F.lit(700.0)))
         words = (F.col("n") * F.col("size")).cast("double")
@@ -87,7 +90,9 @@ def _solve(hist: DataFrame, goals: dict, sizes: dict, scale: dict, cap: int) ->
     return {s: None if goals[s] >= cap * sizes[s] else round(done.get(s, lam.get(s, 0.0)), 12) for s in goals}
 
 
-_LAMBDAS = T.StructType([T.StructField("key", T.StringType()), T.StructField("lam", T.DoubleType()), T.StructField("scale", T.DoubleType())])
+def _literal(spark: SparkSession, rows: list[dict], kinds: str) -> DataFrame:
+    """A small table as one literal of the plan."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kinds}>>")))
 
 
 def _class(size: Column) -> Column:
@@ -106,14 +111,14 @@ def copies(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> Da
     goals = targets(sizes, weights, share, cap)
     hist = durable(rows.groupBy("source", "size").agg(F.sum("m").alias("n")), "hist")
     lam = _solve(hist, goals, sizes, scale, cap)
-    kinds = T.StructType([*_LAMBDAS.fields, T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    known = spark.createDataFrame([(s, lam[s], scale[s], sizes[s], float(goals[s])) for s in goals], kinds)
+    rows_known = [{"key": s, "lam": lam[s], "scale": scale[s], "source_size": sizes[s], "target": float(goals[s])} for s in goals]
+    known = _literal(spark, rows_known, "key string, lam double, scale double, source_size bigint, target double")
     salts = max(16, sum(r[2] for r in per) // _SALT_ROWS)
     rate = F.when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0)))))
     rated = rows.join(known, rows["source"].eqNullSafe(known["key"])).select(
         "id", "source", "size", "m", "source_size", "target",
         F.round(rate * _ONE).cast("long").alias("rate"), _class(F.col("size")).alias("c"),
-        F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(salts)).alias("b"),
+        F.pmod(F.xxhash64(F.col("id").cast("string"), "size"), F.lit(salts)).alias("b"),
     )
     cells = rated.groupBy("source", "c", "b").agg(F.sum("rate").alias("rate"))
     strata = cells.groupBy("source", "c").agg(F.sum("rate").alias("rate"))
@@ -131,8 +136,8 @@ def copies(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> Da
 
     words = F.col("size") * F.col("m")
     tried = placed.groupBy("source").agg(*[F.sum(words * count(F.lit(j * _ONE // _OFFSETS))).alias(f"w{j}") for j in range(_OFFSETS)]).collect()
-    best = [(r[0], min(range(_OFFSETS), key=lambda j: (abs(r[j + 1] - goals[r[0]]), j)) * _ONE // _OFFSETS) for r in tried]
-    shift = spark.createDataFrame(best, T.StructType([T.StructField("key", T.StringType()), T.StructField("shift", T.LongType())]))
+    best = [{"key": r[0], "shift": min(range(_OFFSETS), key=lambda j: (abs(r[j + 1] - goals[r[0]]), j)) * _ONE // _OFFSETS} for r in tried]
+    shift = _literal(spark, best, "key string, shift bigint")
     return placed.join(shift, placed["source"].eqNullSafe(shift["key"])).select("id", "source", "size", "m", "source_size", "target", count(F.col("shift")).alias("copies"))
 
 
