@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .gramcount import FLUSH_BYTES, Flusher, n_buckets, repeats, scan, unpack_refs
+from .gramcount import FLUSH_BYTES, Flusher, n_buckets, pack_refs, repeats, scan, unpack_refs
 from .wordbytes import inside, windows, words
 
 #: Words in a window of the production query.
@@ -45,8 +45,9 @@ def _marks(keyed: DataFrame, width: int) -> DataFrame:
         at = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            table = np.stack([*(np.concatenate([k[i] for k in keys]) for i in (0, 1)), np.concatenate(starts)]) if keys else np.zeros((3, 0))
-            yield from out.cut(table.astype(np.int64).tobytes())
+            table = np.stack([*(np.concatenate([k[i] for k in keys]) for i in (0, 1)), np.concatenate(starts)]).astype(np.int64)
+            # Windows met again in this very flush are known to repeat; only the rest need an answer.
+            yield from out.cut(lambda _, refs, __: len(table[0]).to_bytes(8, "little") + table.tobytes() + pack_refs(np.sort(refs)))
 
         for batch in batches:
             k1, k2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -67,8 +68,9 @@ def _marks(keyed: DataFrame, width: int) -> DataFrame:
         kinds = table["kind"].to_pylist()
         refs = [unpack_refs(x) for k, x in zip(kinds, table["refs"].to_pylist()) if k == 0]
         directory = next(x for k, x in zip(kinds, table["hashes"].to_pylist()) if k == 1)
-        k1, k2, starts = np.frombuffer(directory, dtype=np.int64).reshape(3, -1)
-        hit = np.sort(np.concatenate(refs)) if refs else np.zeros(0, np.int64)
+        rows_held = int.from_bytes(directory[:8], "little")
+        k1, k2, starts = np.frombuffer(directory, dtype=np.int64, count=3 * rows_held, offset=8).reshape(3, -1)
+        hit = np.sort(np.concatenate([*refs, unpack_refs(directory[8 + 24 * rows_held :])]))
         row = np.searchsorted(starts, hit, side="right") - 1
         rows, first = np.unique(row, return_index=True)
         out = []
