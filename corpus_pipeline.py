@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.storage import discard_tables, tables_written
 from tessera.llm import langid, mixing, ngram_join, packing, substring_dedup
-from tessera.llm.durable import durable, fresh_path
+from tessera.llm.durable import delete_tables, durable, fresh_path, noted_tables
 
-#: A document is rejected below this score, besides those without any letter.
-LEAST_LANG_SCORE = 0.05
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Row hashes broadcast at most (about 60 MB as a hash table of two longs a row); more are joined by shuffle.
 MOST_BROADCAST_ROWS = 600_000
-#: Tables written before the first stage; later ones go when the stage that needs them is stored.
-_mark = [0]
+#: What the last stage of a run (application and input) wrote besides its result.
+_held: dict[tuple[str, str], list[str]] = {}
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage that first deletes the intermediate tables of the stage before it in the same run: that one's result is stored, or this one had no input."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        run_of = (spark.sparkContext.applicationId, sf_dir)
+        delete_tables(spark, _held.pop(run_of, []))
+        with noted_tables() as paths:
+            out = f(spark, docs, sf_dir)
+        _held[run_of] = paths
+        return out
+
+    return run_stage
 
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
-    _mark[0] = tables_written()
+    """Documents whose language can be told: all that have a letter, where any language could be learned."""
     model = langid.fit(docs.where(~langid.held_out()))
     found = langid.identify(docs.select("text", *[c for c in docs.columns if c != "text"]), model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANG_SCORE)).select(*docs.columns)
+    return found.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -38,9 +54,9 @@ def _by_key(keyed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return keyed.join(side, ["k1", "k2"], how)
 
 
+@_stage
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that of the smallest id, null last, and of the smallest row hash among equal ids; texts without words belong to no group and stay."""
-    discard_tables(spark, _mark[0])  # the stage before is written
     keyed = _keyed(docs)
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k1", "k2")
     classes = ngram_join.near_duplicate_classes(keyed.select(row.alias("row"), "text"), "row")
@@ -52,22 +68,22 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return out.select(*docs.columns)
 
 
+@_stage
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages cut out of the texts; documents of which nothing is left go."""
-    discard_tables(spark, _mark[0])  # the stage before is written
     out = substring_dedup.remove_repeats(docs)
     return out.where("n_removed < n_words").select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    discard_tables(spark, _mark[0])  # the stage before is written
     return mixing.mix(docs)
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and the sequences that hold them."""
-    discard_tables(spark, _mark[0])  # the stage before is written
     return packing.best_fit_pack(docs)
 
 
@@ -88,4 +104,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    delete_tables(spark, _held.pop((spark.sparkContext.applicationId, sf_dir), []))
     return docs
