@@ -7,15 +7,23 @@ record into an equivalent WARC record with a synthesised identifier, timestamp,
 type and digest.  A payload met before becomes a revisit of the record with the
 smallest page id.
 
-Archives are written and read by Spark: records are UTF-8 text whose line
-separator is the blank line that ends a WARC record, so ``write_archives`` makes
-standard (gzipped) WARC files on any file system Spark knows, and
-``read_archives`` splits them by declared content lengths.
+Archives are written and read by Spark: the records of a file are one UTF-8 text
+whose line separator is the blank line that ends a WARC record, so
+``write_archives`` makes standard (gzipped) WARC files on any file system Spark
+knows, and ``read_archives`` splits them by declared content lengths.  A file
+ends with the record that fills it: it holds ``FILE_BYTES`` and one record at
+most before packing.
+
+Payloads that several pages share are found by digest and length; only their
+first pages are joined back, by broadcast up to ``MOST_BROADCAST_ROWS`` of them
+(60 MB), else by a salted shuffle, so a payload of a third of all pages is split.
 
 Defined cases: null html is an empty payload, null url is ``about:blank``;
 white space in a url is percent-encoded; equal payloads with the same smallest
-id are all responses; a null id comes after all others; pages of any length are
-kept whole; other columns take no part.
+id are all responses; a null id comes after all others; ids may be of any type,
+and repeated with other urls or payloads (a record's identifier has its payload's
+digest); pages of any length are kept whole, each a file of its own at least from
+``FILE_BYTES`` on; other columns take no part.
 """
 
 from __future__ import annotations
@@ -29,10 +37,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import fresh_path
+from .durable import durable, fresh_path, text_batches
 
 CRAWL_DATE = "20240101000000"
 FILE_BYTES = 16 << 20
+ARC_BYTES = 1 << 20
+MOST_BROADCAST_ROWS = 300_000
+_SALTS = 32
 
 #: The fields of an ARC record line by version of the archive.
 ARC_FIELDS = {
@@ -79,12 +90,13 @@ def _uuid(hexadecimal: str) -> str:
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
 
 
-def record_id(url: str, date: str, page: str) -> str:
-    return _uuid(hashlib.md5(f"{url} {date} {page}".encode()).hexdigest())
+def record_id(url: str, date: str, page: str, sha: str) -> str:
+    """Of a record by all it is told apart by; ``sha``: the SHA-1 of its payload in hexadecimal."""
+    return _uuid(hashlib.md5(f"{url} {date} {page} {sha}".encode()).hexdigest())
 
 
-def _record_id_column(url: Column, date: str, page: Column) -> Column:
-    h = F.md5(F.concat_ws(" ", url, F.lit(date), page).cast("binary"))
+def _record_id_column(url: Column, date: str, page: Column, sha: Column) -> Column:
+    h = F.md5(F.concat_ws(" ", url, F.lit(date), page, sha).cast("binary"))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
@@ -105,7 +117,7 @@ def to_warc(fields: dict[str, str], block: bytes, refers_to: str | None) -> str:
     lines = [
         "WARC/1.0", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Target-URI: {fields['url']}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-IP-Address: {fields['ip']}",
-        f"WARC-Record-ID: <urn:uuid:{record_id(fields['url'], d, page)}>", f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Record-ID: <urn:uuid:{record_id(fields['url'], d, page, hashlib.sha1(payload).hexdigest())}>", f"WARC-Payload-Digest: sha1:{digest(payload)}",
         "Content-Type: application/http; msgtype=response",
     ]
     body = block
@@ -130,7 +142,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + length + 4
 
 
-def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
     """Pages through ARC archives of about a megabyte to WARC records; the version alternates."""
     version = 1
     for batch in batches:
@@ -139,36 +151,60 @@ def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             arc, owner = [arc_header(version)], []
             size = 0
-            while at < batch.num_rows and size < 1 << 20:
+            while at < batch.num_rows and size < ARC_BYTES:
                 head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {pages[at].as_py()}\r\n\r\n"
                 block = head.encode() + htmls[at].as_py().encode()
                 arc.append(arc_record(version, urls[at].as_py(), block, offset=size))
                 owner.append(refs[at].as_py())
                 size += len(arc[-1])
                 at += 1
-            made = [to_warc(fields, block, ref) for (fields, block), ref in zip(parse_arc(b"".join(arc)), owner, strict=True)]
+            for (fields, block), ref in zip(parse_arc(b"".join(arc)), owner, strict=True):
+                yield to_warc(fields, block, ref)
             version = 3 - version
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], names=["value"])
+
+
+def _first_pages(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """Of payloads that more than one page has: digest, length and the first page."""
+    key = F.struct(F.col("id").isNull().alias("last"), "id", "url")
+    shared = rows.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return durable(shared.select(F.col("sha").alias("first_sha"), F.col("bytes").alias("size"), "first"), "payloads")
 
 
 def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``value``: a WARC record per page.  Equal payloads of at least ``least_bytes`` revisit the one with the smallest id."""
+    """``(id, url, html, refers)`` a page, ready to be written.  Equal payloads of at least ``least_bytes`` revisit the one with the smallest id."""
     html = F.coalesce(pages[f"`{html_col}`"], F.lit(""))
     url = F.regexp_replace(F.coalesce(pages[f"`{url_col}`"], F.lit("about:blank")), r"\s", "%20")
     rows = pages.select(pages[f"`{id_col}`"].alias("id"), F.when(url == "", "about:blank").otherwise(url).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("bytes"))
-    key = F.struct(F.col("id").isNull().alias("last"), "id", "url")
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.min(key).alias("first"))
-    both = rows.join(first.withColumnRenamed("bytes", "size").withColumnRenamed("sha", "first_sha"), (F.col("sha") == F.col("first_sha")) & (F.col("bytes") == F.col("size")), "left")
+    first = _first_pages(rows, least_bytes)
+    same = (F.col("sha") == F.col("first_sha")) & (F.col("bytes") == F.col("size"))
+    if first.count() <= MOST_BROADCAST_ROWS:
+        both = rows.join(F.broadcast(first), same, "left")
+    else:
+        salted = first.withColumn("first_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        both = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(_SALTS))).join(salted, same & (F.col("salt") == F.col("first_salt")), "left")
     page = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     later = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
-    refers = F.when(later, _record_id_column(F.col("first.url"), CRAWL_DATE, page(F.col("first.id"))))
-    return both.select(page(F.col("id")).alias("id"), "url", "html", refers.alias("refers")).mapInArrow(_convert, "value string")
+    refers = F.when(later, _record_id_column(F.col("first.url"), CRAWL_DATE, page(F.col("first.id")), F.col("sha")))
+    return both.select(page(F.col("id")).alias("id"), "url", "html", refers.alias("refers"))
 
 
 def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
-    """WARC files under ``path``, cut at about ``file_bytes`` of text when records are of usual size."""
-    per_file = max(1, file_bytes // (64 << 10))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file * 8).text(path)
+    """Gzipped WARC files under ``path``, each of ``file_bytes`` and one record at most before packing."""
+    text_batches(records.sparkSession)
+
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        size = 0
+        for record in _converted(batches):
+            held.append(record)
+            size += len(record.encode())
+            if size >= file_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(held)], pa.string())], names=["value"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(held)], pa.string())], names=["value"])
+
+    records.mapInArrow(files, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -196,24 +232,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, ", ".join(f"c{i} {k.split()[1]}" for i, k in enumerate(kinds.split(", ")))).toDF(*names)
 
 
-def resolved(records: DataFrame, id_type: str = "bigint") -> DataFrame:
-    """Per record the page it is of, its whole payload's length and digest, and the page a revisit refers to."""
-    response = records.where("record_type != 'revisit'").groupBy("record_id").agg(F.first(F.struct("page_id", "payload_bytes", "payload_digest")).alias("r"))
-    # A response refers to itself here: no null keys, which would all meet in one task.
-    whole = F.coalesce("refers_to_id", "record_id")
-    both = records.withColumn("whole_id", whole).join(response.withColumnRenamed("record_id", "response_id"), F.col("whole_id") == F.col("response_id"), "left")
-    return both.select(
-        F.col("page_id").cast(id_type).alias("page_id"), F.coalesce("payload_bytes", "r.payload_bytes").alias("payload_bytes"),
-        F.coalesce("payload_digest", "r.payload_digest").alias("payload_digest"), "record_type",
-        F.when(F.col("refers_to_id").isNotNull(), F.col("r.page_id")).cast(id_type).alias("refers_to"),
-    )
+def resolved(records: DataFrame, id_type: str = "string") -> DataFrame:
+    """Per record the page it is of, its whole payload's length and digest, and the page a revisit refers to; ids of ``id_type`` (null where one is no such value)."""
+    page = lambda c: F.col(c).try_cast(id_type)
+    own = records.where("refers_to_id is null").select(page("page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(id_type).alias("refers_to"))
+    revisits = records.where("refers_to_id is not null").select("page_id", "refers_to_id", "record_type")
+    whole = records.where("refers_to_id is null").groupBy("record_id").agg(F.first(F.struct("page_id", "payload_bytes", "payload_digest")).alias("r"))
+    found = revisits.join(whole, F.col("refers_to_id") == F.col("record_id"), "left")
+    return own.unionAll(found.select(page("page_id").alias("page_id"), "r.payload_bytes", "r.payload_digest", "record_type", page("r.page_id").alias("refers_to")))
 
 
 def op10_arc_to_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = fresh_path(spark, "warc")
     write_archives(warc_records(pages), path)
-    return resolved(read_archives(spark, path))
+    records = durable(read_archives(spark, path), "records")  # the archives are unpacked once
+    return resolved(records, pages.schema["page_id"].dataType.simpleString())
 
 
 ORACLE_SQL = """
