@@ -1,13 +1,22 @@
 """Approximate nearest neighbours by cosine: one HNSW graph per shard.
 
-Equal vectors are one node: it carries the smallest ids of its rows, as many as
-an answer can use, so a vector that a third of all rows share neither fills a
-shard nor disconnects a graph, and no answer is lost.  Nodes are dealt by hash to
-shards of about ``SHARD_NODES``.  Each shard's navigable small-world graph is
-stored as flat neighbour arrays (one matrix a level) beside its vectors.  Queries
-travel in blocks; every block meets every shard once, and the shard results are
-merged by exact score (double precision, original vectors), ties to the smaller
-id.
+Vectors of one direction (unit components equal to ``GRAIN``) are one node: it
+carries the rows with the smallest ids, as many as an answer can use, with their
+own vectors.  So a vector that a third of all rows share neither fills a shard
+nor disconnects a graph, and of parallel vectors, which tie, the smallest ids are
+found.  Nodes are dealt by hash to shards of ``SHARD_NODES``, more where there
+are many nodes (up to ``MOST_NODES``).  Each shard's navigable small-world graph
+is stored as flat neighbour arrays (one matrix a level, and its filled lengths)
+beside its vectors.  Queries of one vector are searched once.  They travel in
+blocks; every block meets every shard, and the shard results are merged by exact
+score (double precision, original vectors, at most 1), ties (to 12 places, since
+the same angle can come out an ulp apart) to the smaller id.
+
+Every query meets every shard because nothing routes it: on vectors without
+clusters the nearest five lie scattered over most cells of any coarse partition
+(the README has figures).  Work is queries times shards; larger shards slow its
+growth until ``MOST_NODES``, from where on it is quadratic if the queries are a
+share of the rows.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components take no part; vectors of different lengths never meet; rows with
@@ -27,8 +36,10 @@ from pyspark.sql.window import Window as W
 
 from .durable import durable
 
-SHARD_NODES, QUERY_BLOCK = 4096, 512
-M, EF_BUILD, EF_SEARCH = 12, 80, 160
+SHARD_NODES, MOST_NODES, SHARDS, QUERY_BLOCK = 4096, 32_768, 256, 16_384
+M, EF_BUILD, EF_SEARCH = 12, 80, 120
+#: Unit components are equal if they round to the same multiple of this.
+GRAIN = 1e-7
 
 
 def _search_layer(unit: np.ndarray, q: np.ndarray, entry: list[int], ef: int, links: np.ndarray, sizes: np.ndarray) -> list[tuple[float, int]]:
@@ -71,8 +82,8 @@ def _select(unit: np.ndarray, near: list[int], sims: np.ndarray, most: int) -> l
     return [near[i] for i in kept]
 
 
-def build(vectors: np.ndarray, m: int = M, ef: int = EF_BUILD) -> tuple[np.ndarray, list[np.ndarray], int]:
-    """Levels of the nodes, a neighbour matrix per level (-1 where empty), and the entry node."""
+def build(vectors: np.ndarray, m: int = M, ef: int = EF_BUILD) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """A neighbour matrix per level (-1 where empty), how many neighbours each node has there, and the entry node."""
     unit = _unit(vectors)
     n = len(unit)
     draw = np.random.default_rng(n).random(n)
@@ -108,15 +119,15 @@ def build(vectors: np.ndarray, m: int = M, ef: int = EF_BUILD) -> tuple[np.ndarr
                 sizes[level][other] = len(keep)
         if top > levels[entry]:
             entry = node
-    return levels, links, entry
+    return links, sizes, entry
 
 
-def search(unit: np.ndarray, links: list[np.ndarray], entry: int, q: np.ndarray, ef: int = EF_SEARCH) -> list[int]:
+def search(unit: np.ndarray, links: list[np.ndarray], sizes: list[np.ndarray], entry: int, q: np.ndarray, ef: int = EF_SEARCH) -> list[int]:
     """Nodes near the unit vector ``q``, nearest first."""
     at = [entry]
     for level in range(len(links) - 1, 0, -1):
-        at = [_search_layer(unit, q, at, 1, links[level], (links[level] >= 0).sum(axis=1))[0][1]]
-    return [e for _, e in _search_layer(unit, q, at, ef, links[0], (links[0] >= 0).sum(axis=1))]
+        at = [_search_layer(unit, q, at, 1, links[level], sizes[level])[0][1]]
+    return [e for _, e in _search_layer(unit, q, at, ef, links[0], sizes[0])]
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -131,76 +142,85 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.where(F.col("id").isNotNull() & (F.col("dim") > 0) & whole & F.exists("v", lambda x: x != 0))
 
 
+def shard_count(nodes: int) -> int:
+    """Shards of ``SHARD_NODES`` nodes, beyond ``SHARDS`` of them larger ones, up to ``MOST_NODES``."""
+    each = min(max(SHARD_NODES, -(-nodes // SHARDS)), MOST_NODES)
+    return max(1, -(-nodes // each))
+
+
 def build_index(rows: DataFrame, k: int) -> DataFrame:
-    """A row per shard of ``rows (id, v, dim)``: its vectors, ids and flat neighbour arrays."""
-    order = W.partitionBy("v").orderBy("id")
-    few = rows.distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    nodes = durable(few.groupBy("v", "dim").agg(F.sort_array(F.collect_list("id")).alias("ids")), "nodes")
-    counts = {r.dim: -(-r["count"] // SHARD_NODES) for r in nodes.groupBy("dim").count().collect()}
+    """A row per shard of ``rows (id, v, dim)``: its nodes with their rows, and flat neighbour arrays."""
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x))
+    direction = F.transform("v", lambda x: F.round(x / length / GRAIN).cast("long"))
+    order = W.partitionBy("d1", "d2").orderBy("id", F.xxhash64("v"))
+    keyed = rows.distinct().withColumn("d", direction).select("id", "v", "dim", F.xxhash64("d").alias("d1"), F.xxhash64(F.lit("2"), "d").alias("d2"))
+    few = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    nodes = durable(few.groupBy("d1", "d2", "dim").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("held")), "nodes")
+    counts = {r.dim: shard_count(r["count"]) for r in nodes.groupBy("dim").count().collect()}
     if not counts:
         counts = {0: 1}
     shards = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("dim"))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), shards))
+    dealt = nodes.withColumn("shard", F.pmod("d1", shards).cast("long"))
 
     def run(table: pa.Table) -> pa.Table:
-        n, dim = table.num_rows, table["dim"][0].as_py()
-        vectors = np.array(table["v"].combine_chunks().flatten().to_numpy(), dtype=np.float64).reshape(n, dim)
-        order = np.lexsort(vectors.T)
-        vectors = vectors[order]
-        ids = np.full((n, k + 1), -1, dtype=np.int64)
-        held = table["ids"].to_pylist()
-        for row, at in enumerate(order.tolist()):
-            ids[row, : len(held[at])] = held[at]
-        amount = np.array([len(held[at]) for at in order.tolist()], dtype=np.int32)
-        levels, links, entry = build(vectors)
+        table = table.sort_by([("d1", "ascending"), ("d2", "ascending")])
+        dim = table["dim"][0].as_py()
+        held = table["held"].combine_chunks()
+        ends = np.cumsum(held.value_lengths().to_numpy())
+        each = held.flatten()
+        vectors = np.array(each.field("v").flatten().to_numpy(), dtype=np.float64).reshape(-1, dim)
+        links, sizes, entry = build(vectors[np.concatenate([[0], ends[:-1]])])
         return pa.table(
             {
-                "dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int64()), "n": pa.array([n], pa.int32()), "entry": pa.array([entry], pa.int32()),
-                "vectors": pa.array([vectors.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "amount": pa.array([amount.tobytes()], pa.binary()),
-                "links": pa.array([[m.tobytes() for m in links]], pa.list_(pa.binary())),
+                "dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int64()), "entry": pa.array([entry], pa.int32()),
+                "ends": pa.array([ends.astype("<i4").tobytes()], pa.binary()), "ids": pa.array([each.field("id").to_numpy().astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary()),
+                "links": pa.array([[m.tobytes() for m in links]], pa.list_(pa.binary())), "sizes": pa.array([[m.tobytes() for m in sizes]], pa.list_(pa.binary())),
             }
         )
 
-    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard long, n int, entry int, vectors binary, ids binary, amount binary, links array<binary>")
+    return dealt.groupBy("dim", "shard").applyInArrow(run, "dim int, shard long, entry int, ends binary, ids binary, vectors binary, links array<binary>, sizes array<binary>")
 
 
 def nearest(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest found of each query ``(id, v, dim)``: query_id, rank, vec_id, score."""
     index = durable(index, "hnsw")
-    queries = durable(queries.distinct(), "queries")
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = durable(queries.distinct().select("id", "v", "dim", F.xxhash64("v").alias("q1"), F.xxhash64(F.lit("2"), "v").alias("q2")), "queries")
+    once = asked.groupBy("q1", "q2", "dim").agg(F.first("v").alias("v"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     shards = index.select(F.col("dim").alias("of_dim"), F.col("shard").alias("to_shard"))
-    dealt = queries.join(shards, F.col("dim") == F.col("of_dim")).select("id", "v", "dim", F.col("to_shard").alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    dealt = once.join(shards, F.col("dim") == F.col("of_dim")).select("q1", "q2", "v", "dim", F.col("to_shard").alias("shard"), F.pmod("q1", F.lit(blocks)).cast("int").alias("block"))
 
     def run(key, shard: pa.Table, block: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        kinds = {"q1": pa.int64(), "q2": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
         if not shard.num_rows or not block.num_rows:
-            return none
-        n, dim, entry = (shard[c][0].as_py() for c in ("n", "dim", "entry"))
-        vectors = np.frombuffer(shard["vectors"][0].as_py(), np.float64).reshape(n, dim)
-        ids = np.frombuffer(shard["ids"][0].as_py(), np.int64).reshape(n, -1)
-        amount = np.frombuffer(shard["amount"][0].as_py(), np.int32)
-        links = [np.frombuffer(x, np.int32).reshape(n, -1) for x in shard["links"][0].as_py()]
-        unit, length = _unit(vectors), np.sqrt((vectors * vectors).sum(axis=1))
+            return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
+        dim, entry = shard["dim"][0].as_py(), shard["entry"][0].as_py()
+        ends, ids = np.frombuffer(shard["ends"][0].as_py(), "<i4"), np.frombuffer(shard["ids"][0].as_py(), "<i8")
+        begins = np.concatenate([[0], ends[:-1]])
+        vectors = np.frombuffer(shard["vectors"][0].as_py(), np.float64).reshape(-1, dim)
+        links = [np.frombuffer(x, np.int32).reshape(len(ends), -1) for x in shard["links"][0].as_py()]
+        sizes = [np.frombuffer(x, np.int32) for x in shard["sizes"][0].as_py()]
+        unit, length = _unit(vectors[begins]), np.sqrt((vectors * vectors).sum(axis=1))
         raw = np.array(block["v"].combine_chunks().flatten().to_numpy(), dtype=np.float64).reshape(block.num_rows, dim)
-        out: list[tuple[int, int, float]] = []
-        for query, v, q in zip(block["id"].to_pylist(), raw, _unit(raw)):
-            near = np.array(search(unit, links, entry, q)[: 4 * k])
-            score = (vectors[near] * v).sum(axis=1) / (length[near] * np.sqrt((v * v).sum()))
-            best: list[tuple[float, int]] = []
-            for s, node in zip(score.tolist(), near.tolist()):
-                best += [(-s, i) for i in ids[node, : amount[node]].tolist() if i != query]
-            out += [(query, i, -s) for s, i in sorted(best)[:k]]
-        if not out:
-            return none
-        return pa.table({"query_id": pa.array([r[0] for r in out], pa.int64()), "vec_id": pa.array([r[1] for r in out], pa.int64()), "score": pa.array([r[2] for r in out], pa.float64())})
+        out = []
+        for row, (v, q) in enumerate(zip(raw, _unit(raw))):
+            near = search(unit, links, sizes, entry, q)
+            rows = np.concatenate([np.arange(begins[n], ends[n]) for n in near[: 4 * k]])
+            score = np.clip((vectors[rows] * v).sum(axis=1) / (length[rows] * np.sqrt((v * v).sum())), -1.0, 1.0)
+            best = np.lexsort((ids[rows], -np.round(score, 12)))[: k + 1]  # one of them may be the query's own row
+            out.append((np.full(len(best), row), ids[rows][best], score[best]))
+        row, found, score = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"q1": block["q1"].combine_chunks().take(pa.array(row)), "q2": block["q2"].combine_chunks().take(pa.array(row)), "vec_id": pa.array(found), "score": pa.array(score)})
 
     keys = ["dim", "shard", "block"]
-    found = left.groupBy(*keys).cogroup(dealt.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = left.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(run, "q1 long, q2 long, vec_id long, score double")
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.round("score", 12).desc(), "vec_id"))
+    # A vec_id on several rows counts once, by its best score; k + 1 are left of each query vector for the ids that ask.
+    found = found.groupBy("q1", "q2", "vec_id").agg(F.max("score").alias("score")).withColumn("r", rank("q1", "q2")).where(F.col("r") <= k + 1)
+    both = asked.select(F.col("id").alias("query_id"), "q1", "q2").join(found, ["q1", "q2"]).where(F.col("query_id") != F.col("vec_id"))
+    pairs = both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return pairs.withColumn("rank", rank("query_id")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_hnsw(spark, sf_dir: str) -> DataFrame:
