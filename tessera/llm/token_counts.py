@@ -10,13 +10,16 @@ the earlier one of equals.
 
 Defined cases: null text has no sections and gives one row with section null
 and no tokens; empty text has one empty section; special-token strings in a text
-are ordinary text; very long texts are encoded whole; repeated rows count each;
-null fields are empty.
+are ordinary text; very long texts are encoded whole (a long run of blanks is
+handed to the merges as the one piece that the splitting pattern makes of it: the
+pattern itself overflows its stack there); repeated rows count each; null fields
+are empty; an id column named like a result column is refused.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,29 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Runs of white space from this length on don't go through the pattern.
+_LONG = 2048
+_LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % _LONG)
+
+
+def encode(text: str, split, whole) -> list[int]:
+    """The tokens of a text: ``split`` has the pattern, ``whole`` takes its text as one piece.
+
+    Of a run of white space the pattern makes one piece up to its last character,
+    which goes to what follows; at the end of a text the whole run is a piece.
+    """
+    out: list[int] = []
+    at = 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += split.encode_ordinary(text[at : run.start()])
+        out += whole.encode_ordinary(text[run.start() : end])
+        at = end
+    return out + split.encode_ordinary(text[at:]) if at else split.encode_ordinary(text)
+
+
 def _encoding(data: bytes):
-    """The encoding and the byte length of every token; kept for the life of a worker."""
+    """The encoding, one that takes a text as one piece, and the byte length of every token; kept for the life of a worker."""
     import tiktoken
 
     kept = tiktoken.registry.ENCODINGS
@@ -42,7 +66,8 @@ def _encoding(data: bytes):
         lengths = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
-        kept[key] = (tiktoken.Encoding(key, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths)
+        kinds = [tiktoken.Encoding(f"{key}-{i}", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for i, p in enumerate((PATTERN, r"(?s:.+)"))]
+        kept[key] = (*kinds, lengths)
     return kept[key]
 
 
@@ -65,18 +90,21 @@ def line_ends(text: bytes) -> np.ndarray:
     return ends if len(ends) and ends[-1] == len(text) else np.append(ends, len(text))
 
 
+_RESULT = ("section", "section_start", "section_end", "n_tokens", "first_token", "field")
 _KINDS = "section int, section_start long, section_end long, n_tokens long, first_token long"
 
 
-def _rows(docs: DataFrame, vocabulary: str, fields: int) -> DataFrame:
+def _rows(docs: DataFrame, vocabulary: str, fields: int, id_name: str) -> DataFrame:
     """Rows of ``docs (id, c1 .. cn)`` by section: lines of the one text, or the texts of a record."""
     text_batches(docs.sparkSession)
+    if id_name in _RESULT:
+        raise ValueError(f"{id_name} is the name of a result column; rename the id column")
     with open(vocabulary, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())  # about a megabyte, whatever the corpus
     id_type = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, lengths = _encoding(data.value)
+        split, one_piece, lengths = _encoding(data.value)
         for batch in batches:
             rows, parts = [], []
             for row in range(batch.num_rows):
@@ -88,7 +116,7 @@ def _rows(docs: DataFrame, vocabulary: str, fields: int) -> DataFrame:
                 pieces = [(t or "").encode() for t in texts]
                 whole = b"".join(pieces)
                 ends = line_ends(whole) if fields == 1 else np.cumsum([len(p) for p in pieces])
-                tokens = np.asarray(encoding.encode_ordinary(whole.decode()), dtype=np.int64)
+                tokens = np.asarray(encode(whole.decode(), split, one_piece), dtype=np.int64)
                 count = np.bincount(allocate(np.cumsum(lengths[tokens]), ends), minlength=len(ends)) if len(tokens) else np.zeros(len(ends), np.int64)
                 lead = np.concatenate([[0], np.cumsum((np.frombuffer(whole, np.uint8) & 0xC0) != 0x80)]) if not whole.isascii() else None
                 at = np.concatenate([[0], ends])
@@ -113,7 +141,7 @@ def _rows(docs: DataFrame, vocabulary: str, fields: int) -> DataFrame:
 
 def line_token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """A row per line: id, ``section``, its span in code points, ``n_tokens`` and the number of its first token."""
-    return _rows(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("c1")), vocabulary, 1).withColumnRenamed("id", id_col)
+    return _rows(docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("c1")), vocabulary, 1, id_col).withColumnRenamed("id", id_col)
 
 
 def field_token_counts(docs: DataFrame, fields: list[str], id_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -122,7 +150,7 @@ def field_token_counts(docs: DataFrame, fields: list[str], id_col: str, vocabula
         raise ValueError("two fields at least")
     rows = docs.select(docs[f"`{id_col}`"].alias("id"), *[docs[f"`{f}`"].cast("string").alias(f"c{i}") for i, f in enumerate(fields)])
     names = F.array(*map(F.lit, fields))
-    return _rows(rows, vocabulary, len(fields)).withColumn("field", F.get(names, F.col("section"))).withColumnRenamed("id", id_col)
+    return _rows(rows, vocabulary, len(fields), id_col).withColumn("field", F.get(names, F.col("section"))).withColumnRenamed("id", id_col)
 
 
 def op9_token_attribution(spark, sf_dir: str) -> DataFrame:
