@@ -3,18 +3,23 @@
 Tokens are runs of letters, lower-cased.  Labels exist for documents only, so
 token labels come from them: a token of a toxic document is toxic if its word or
 a leading part of it is met in toxic documents far more than chance allows
-(binomial log-likelihood over the training sample).  A two-state linear-chain
+(binomial log-likelihood over the training sample) and nearly always there.  How
+nearly follows the labels: the most telling word of all is met in documents that
+are clean by their label only as often as labels are wrong, and the threshold
+falls with its share (``_least_share``).  A two-state linear-chain
 CRF over word, prefix and suffix features learns from these sequences;
 forward-backward marginals then give each token's probability.  The expected
 number of toxic tokens and the largest marginal give a document's score through
 a logistic fit on the training documents.
 
-The model learns from a bounded sample: of the permitted labelled documents of
-at most ``MAX_BYTES`` the ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean ones with
-the smallest hash of their id, one text an id (that of the smallest hash where
-an id is repeated).  Every document is then scored whole.
+The model learns from a bounded sample of the permitted labelled documents: the
+``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean ones with the smallest hash of their
+id, one text an id (the shortest where an id is repeated).  Texts above
+``LONG_BYTES`` are taken only where there are too few others, and of each kind
+none after the first that would bring its bytes above ``MAX_BYTES``.  Every
+document is then scored whole.
 
-Defined cases: null text scores as empty text; a text without letters has no
+Defined cases: rows without id have no label and train nothing; null text scores as empty text; a text without letters has no
 tokens and scores as clean; null or contradictory labels: null ones are left
 out, 1 wins over 0; without a toxic or without a clean example every score is 0;
 repeated rows are scored each; other columns take no part.
@@ -30,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .durable import text_batches
 from .wordbytes import SpanHashes, Words, latin_lower, letter_bytes, mix64, windows, words
 
-MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 600, 1600, 16 << 10
+MAX_TOXIC, MAX_CLEAN, LONG_BYTES, MAX_BYTES = 600, 1600, 16 << 10, 8 << 20
 DIMS = 1 << 18
 #: Leading bytes of a token that are features, and its last bytes.
 PREFIXES, SUFFIX = (4, 5, 6), 3
@@ -124,6 +130,7 @@ def _token_labels(keys: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
     """1 for tokens of toxic documents whose word or prefix marks toxic documents."""
     base = toxic.mean()
     out = np.zeros(keys.shape[1], dtype=bool)
+    kinds = []
     for kind in range(1 + len(PREFIXES)):
         value, inverse = np.unique(keys[kind], return_inverse=True)
         pair = np.unique(inverse.astype(np.int64) * len(toxic) + doc)
@@ -132,10 +139,19 @@ def _token_labels(keys: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.nd
         a = np.bincount(of, weights=is_toxic, minlength=len(value))
         share = np.clip(a / np.maximum(n, 1), 1e-9, 1 - 1e-9)
         gain = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-        out |= ((gain > 10) & (share > 0.97))[inverse]
+        kinds.append((gain * (share > base), share, inverse))
+    best = max(kinds, key=lambda k: k[0].max())
+    least = _least_share(float(best[1][best[0].argmax()]), float(base))
+    for gain, share, inverse in kinds:
+        out |= ((gain > 10) & (share > least))[inverse]
     return out & toxic[doc]
 
 
+def _least_share(best: float, base: float) -> float:
+    """The share of toxic documents that makes a word toxic: 0.97 with clean labels, less as the best word's own share is less, but well above ``base``."""
+    return max(0.97 - 2.5 * (1 - best), (1 + base) / 2)
+
+
 def _first_of_copies(word: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """False for texts that share either of two least hashes of three-word runs with an earlier text: copies would make chance words look telling."""
     out = np.ones(n, dtype=bool)
@@ -209,16 +225,36 @@ def _doc_inputs(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log1p(np.bincount(doc, weights=np.where(p >= 0.1, p, 0.0), minlength=n)), most], axis=1)
 
 
+def _chosen(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple]:
+    """``(id, toxic, bytes, hash)`` of the texts to learn from, at most ``MAX_TOXIC + MAX_CLEAN``."""
+    known = labels.where(labels[f"`{label_col}`"].isin(0, 1)).groupBy(labels[f"`{id_col}`"].alias("id")).agg(F.max(f"`{label_col}`").alias("toxic"))
+    text = docs[f"`{text_col}`"]
+    shortest = docs.where(text.isNotNull()).groupBy(docs[f"`{id_col}`"].alias("id")).agg(F.min(F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))).alias("t"))
+    known = known.join(shortest, "id").select("id", "toxic", "t.bytes", "t.hash")
+    order = (F.col("bytes") > LONG_BYTES), F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string")
+    out = []
+    for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
+        total = 0
+        for row in known.where(F.col("toxic") == kind).orderBy(*order).limit(most).collect():
+            total += row.bytes
+            if total > MAX_BYTES and row.bytes < total:  # the first of a kind is taken whatever its length
+                break
+            out.append(tuple(row))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
     """A model from the bounded sample; only its texts come to the driver."""
-    known = labels.where(labels[f"`{label_col}`"].isin(0, 1)).groupBy(labels[f"`{id_col}`"].alias("id")).agg(F.max(f"`{label_col}`").alias("toxic"))
-    known = known.join(docs.select(docs[f"`{id_col}`"].alias("id"), F.octet_length(docs[f"`{text_col}`"]).alias("bytes")).where(f"bytes <= {MAX_BYTES}").select("id").distinct(), "id", "left_semi")
-    order = F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string")
-    some = known.where("toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_CLEAN))
-    rows = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{text_col}`"].alias("text")).where(F.octet_length("text") <= MAX_BYTES).join(F.broadcast(some), "id")
-    rows = rows.groupBy("id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).collect()
-    rows = sorted({(str(r.id), r.text, r.toxic) for r in rows})
-    return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=int)) if rows else None
+    chosen = _chosen(docs, labels, id_col, text_col, label_col)
+    if not chosen:
+        return None
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("toxic", T.IntegerType()), T.StructField("bytes", T.IntegerType()), T.StructField("hash", T.LongType())])
+    some = docs.sparkSession.createDataFrame([(i, int(t), b, h) for i, t, b, h in chosen], kind)
+    text = docs[f"`{text_col}`"]
+    rows = docs.select(docs[f"`{id_col}`"].alias("id"), text.alias("text"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))
+    rows = rows.join(F.broadcast(some), ["id", "bytes", "hash"]).groupBy("id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows = sorted((str(r.id), r.text, r.toxic) for r in rows)
+    return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=int))
 
 
 def tag(docs: DataFrame, model: Model | None, text_col: str = "text", spans: bool = True, least: float = 0.5) -> DataFrame:
@@ -267,4 +303,4 @@ def op4_toxicity_crf(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     model = fit(docs, labels.where(~held_out))
-    return tag(docs, model, spans=False).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+    return tag(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
