@@ -146,7 +146,42 @@ def test_samples_are_bounded_in_rows(spark, collected, monkeypatch):
     collected.clear()
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
     models = [toxicity.fit(df, labels) for df in (docs, docs.repartition(3))]
-    assert collected == [2, 2] and (models[0].weights == models[1].weights).all()
+    assert collected == [1, 1, 2] * 2 and (models[0].weights == models[1].weights).all()
+
+
+def noisy_recall(spark, flipped):
+    """Recall and false alarms on held-out documents when a share of the training labels is wrong."""
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("aeioumnrst") for _ in range(6)) for _ in range(600)]
+    data, truth, labels = [], [], []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(40)]
+        toxic = int(i % 4 == 0)
+        if toxic:
+            words[7] = words[20] = rng.choice(["vilest,", "Vilely", "vileness!", "brute"])
+        data.append((i, " ".join(words)))
+        truth.append(toxic)
+        labels.append((i, toxic ^ int(rng.random() < flipped)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int"))
+    out = {r.doc_id: r.predicted for r in toxicity.tag(docs.where("doc_id >= 600"), model).collect()}
+    return np.mean([out[i] for i in range(600, 900) if truth[i]]), np.mean([out[i] for i in range(600, 900) if not truth[i]])
+
+
+@pytest.mark.parametrize("flipped", [0.0, 0.02, 0.05, 0.1])
+def test_toxicity_with_wrong_labels(spark, flipped):
+    recall, alarms = noisy_recall(spark, flipped)
+    assert recall >= 0.97 and alarms <= 0.02
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("aeioumnrst") for _ in range(6)) for _ in range(600)]
+    long = lambda *more: " ".join([rng.choice(plain) for _ in range(4000)] + list(more))
+    docs = spark.createDataFrame([(i, long("vilest") if i % 2 else long()) for i in range(60)] + [(None, "vilest river")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1)], "doc_id long, toxic int"))
+    out = toxicity.tag(docs, model).where("doc_id >= 50").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in out)
 
 
 def test_toxicity_of_odd_tables(spark):
@@ -186,6 +221,35 @@ def test_neighbours(spark):
     assert ann.nearest(ann.build_index(empty, 5), empty, 5).count() == 0
 
 
+def test_neighbours_over_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_NODES", 250)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(2400, 32))
+    df = ann.valid_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"), "id", "v")
+    index = ann.build_index(df, 5)
+    assert index.count() == 10
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(index, df.where("id % 20 = 0"), 5).collect()}
+    want = brute_nearest(list(enumerate(v)), [(i, v[i]) for i in range(0, 2400, 20)], 5)
+    assert len(got & {(q, i) for q, _, i in want}) / len(want) >= 0.95
+
+
+def test_parallel_vectors_tie(spark):
+    rng = np.random.default_rng(6)
+    one = rng.normal(size=16)
+    rows = [(i, (one * (1 + i % 37)).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(100)]
+    df = ann.valid_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v")
+    got = ann.nearest(ann.build_index(df, 5), df.where("id in (0, 150, 1000)"), 5).collect()
+    near = lambda q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q]
+    assert sorted(near(0)) == [1, 2, 3, 4, 5] and sorted(near(150)) == [0, 1, 2, 3, 4] and len(near(1000)) == 5
+    assert all(-1 <= r.score <= 1 for r in got)
+
+
+def test_shards_grow_with_the_nodes():
+    assert [ann.shard_count(n) for n in (0, 1, 4096, 4097)] == [1, 1, 1, 2]
+    assert ann.shard_count(10**7) == -(-(10**7) // ann.MOST_NODES) and ann.shard_count(2 * 10**6) == ann.SHARDS
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     blocks = [b"HTTP/1.0 200 OK\r\nX-Page-Id: 4\r\n\r\n" + p for p in (b"", b"a\n\nb\r\n\r\nc", "é".encode() * 9)]
@@ -205,7 +269,7 @@ def test_archives(spark):
     warc.write_archives(warc.warc_records(pages.withColumn("refers", F.lit(1))), path)
     files = [f"{d}/{n}" for d, _, ns in os.walk(path.removeprefix("file://")) for n in ns if n.endswith(".gz")]
     assert sum(gzip.open(f).read().count(b"WARC-Record-ID") for f in files) == len(data)
-    got = sorted(map(tuple, warc.resolved(warc.read_archives(spark, path)).collect()), key=str)
+    got = sorted(map(tuple, warc.resolved(warc.read_archives(spark, path), "bigint").collect()), key=str)
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     first = {3: 1, 2: 1, None: 1, 5: 4}
     want = [(i, len((h or "").encode()), sha(h), "revisit" if i in first else "response", first.get(i)) for i, _, h in data]
@@ -219,7 +283,32 @@ def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     path = fresh_path(spark, "warc")
     warc.write_archives(warc.warc_records(pages, least_bytes=3), path)
-    assert {r.page_id: r.record_type for r in warc.resolved(warc.read_archives(spark, path)).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+    assert {r.page_id: r.record_type for r in warc.resolved(warc.read_archives(spark, path), "bigint").collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def by_page(spark, pages, **options):
+    path = fresh_path(spark, "warc")
+    warc.write_archives(warc.warc_records(pages, **options), path)
+    return path, warc.resolved(warc.read_archives(spark, path), pages.schema["page_id"].dataType.simpleString()).collect()
+
+
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_pages_of_one_id_and_url_keep_their_payloads(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST_ROWS", broadcast)
+    pages = spark.createDataFrame([("p1", "u", "AAAA"), ("p1", "u", "BB"), ("p3", "u", "BB"), ("x", "v", "AAAA"), (None, "u", "BB")], "page_id string, url string, html string")
+    sha = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
+    got = sorted((tuple(r) for r in by_page(spark, pages)[1]), key=str)
+    want = [("p1", 4, sha("AAAA"), "response", None), ("p1", 2, sha("BB"), "response", None), ("p3", 2, sha("BB"), "revisit", "p1"), ("x", 4, sha("AAAA"), "revisit", "p1"), (None, 2, sha("BB"), "revisit", "p1")]
+    assert got == sorted(want, key=str)
+
+
+def test_files_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc.write_archives, "__defaults__", (100_000,))
+    pages = spark.createDataFrame([(i, "u", chr(97 + i % 26) * (i % 7) * 6000) for i in range(80)] + [(900, "u", "z" * 50_000_000)], "page_id long, url string, html string").coalesce(1)
+    path, got = by_page(spark, pages)
+    sizes = [len(gzip.open(f"{d}/{n}").read()) for d, _, ns in os.walk(path.removeprefix("file://")) for n in ns if n.endswith(".gz")]
+    assert len(sizes) > 10 and sum(n > 150_000 for n in sizes) == 1
+    assert {r.page_id: r.payload_bytes for r in got} == {i: (i % 7) * 6000 for i in range(80)} | {900: 50_000_000}
 
 
 def brute_allocate(token_ends, section_ends):
@@ -268,6 +357,41 @@ def test_token_counts(spark):
         assert sum(r.n_tokens for r in rows) == times * len(tokens)
 
 
+def test_long_runs_of_blanks(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    split, whole, _ = token_counts._encoding(open(token_counts.VOCABULARY, "rb").read())
+    rng = random.Random(13)
+    for blank in (" ", "\n", "\t \n", "\u3000 ", "\x85\xa0"):
+        run = "".join(rng.choice(blank) for _ in range(5000))
+        for t in (run, "ab" + run, run + "ab", "ab 1" + run + "!?" + run + " c" + run, "é" + run + "\x1f" + run):
+            assert token_counts.encode(t, split, whole) == enc.encode_ordinary(t)
+    million = 2_000_000
+    texts = [" " * million, "\n" * million, "a" * million, "x" + " " * million + "y", "x" + "\r\n" * million + "y"]
+    out = token_counts.line_token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("n_tokens").alias("n")).orderBy("doc_id").collect()
+    assert [r.lines for r in out] == [1, million, 1, 1, million + 1]
+    assert out[0].n == len(whole.encode_ordinary(texts[0])) and out[2].n == len(enc.encode_ordinary(texts[2])) and out[3].n == 1 + len(whole.encode_ordinary(" " * (million - 1))) + len(enc.encode_ordinary(" y"))
+
+
+def test_every_line_of_a_long_text(spark):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.VOCABULARY, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(14)
+    t = "".join("".join(rng.choice("ab é.\u3000") for _ in range(rng.randrange(9))) + "\n" * rng.randrange(1, 4) for _ in range(900))
+    lengths = [len(enc.decode_single_token_bytes(k)) for k in enc.encode_ordinary(t)]
+    lines = t.split("\n")
+    lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
+    where = brute_allocate(np.cumsum(lengths).tolist(), np.cumsum([len(x.encode()) for x in lines]).tolist())
+    out = token_counts.line_token_counts(spark.createDataFrame([(1, t)], "doc_id long, text string")).orderBy("section").collect()
+    assert [r.n_tokens for r in out] == [where.count(k) for k in range(len(lines))]
+    with pytest.raises(ValueError):
+        token_counts.line_token_counts(spark.createDataFrame([(1, t)], "n_tokens long, text string"), "n_tokens")
+
+
 def test_field_token_counts(spark):
     df = spark.createDataFrame([(1, "title", None, "body text")], "id long, a string, b string, c string")
     out = token_counts.field_token_counts(df, ["a", "b", "c"], "id").orderBy("section").collect()
