@@ -19,6 +19,8 @@ TYPES: dict[str, T.DataType] = {
     "TIMESTAMP": T.TimestampNTZType(),
 }
 
+_WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+_DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _RANK = {"BOOLEAN": 0, "INTEGER": 1, "BIGINT": 2, "DOUBLE": 3}
 
 
@@ -72,7 +74,8 @@ def convert(column: Column, source: T.DataType, target: str) -> Column:
         if isinstance(source, (T.DoubleType, T.FloatType)):
             return F.bround(column).try_cast(kind)
         if isinstance(source, T.StringType):
-            return F.coalesce(column.try_cast(kind), F.round(column.try_cast(T.DecimalType(38, 10))).try_cast(kind))
+            number = F.when(column.rlike(_DECIMAL), column)  # the cast of anything else would fail, slowly
+            return F.coalesce(F.when(column.rlike(_WHOLE), column).try_cast(kind), F.round(number.try_cast(T.DecimalType(38, 10))).try_cast(kind))
     if target in ("DATE", "TIMESTAMP") and isinstance(source, T.StringType):
         return F.replace(F.trim(column), F.lit("/"), F.lit("-")).try_cast(kind)
     if target == "BOOLEAN" and is_numeric(source):

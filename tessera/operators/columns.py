@@ -11,8 +11,9 @@ from ..functions.types import convert, is_numeric, spark_type
 #: The texts that count as Boolean.
 BOOLEAN_WORDS = ("true", "false", "1", "0", "yes", "no")
 #: Currency code -> symbol.
-CURRENCIES = {"CNY": "¥", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "KRW": "₩", "INR": "₹", "RUB": "₽"}
+CURRENCIES = {"CNY": "¥", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "KRW": "₩", "HKD": "HK$", "TWD": "NT$"}
 
+#: What the texts of a type look like.
 INTEGER = r"^-?\d+$"
 NUMBER = r"^([+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|Infinity)|0[xX][0-9a-fA-F]+|0[bB][01]+|0[oO][0-7]+)$"
 DATE = r"^\d{4}[-/]\d{1,2}[-/]\d{1,2}$"
@@ -74,22 +75,32 @@ def _is_date(text: Column) -> Column:
 
 
 def detect_types(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, detected)`` from the non-blank texts of each column; one pass.
+    """``(column_name, detected)`` from the non-blank texts of each column; one aggregation, no row per cell.
 
     The first that all values fit of INTEGER (BIGINT beyond its range), DOUBLE,
     BOOLEAN, DATE; else, or without values, VARCHAR.
     """
     columns = columns or user_columns(df)
     require(df, *columns)
-    cells = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(c).alias("column_name"), F.trim(col(c).cast("string")).alias("t")) for i, c in enumerate(columns)])
-    long = df.select(F.inline(cells)).withColumn("t", F.when(F.col("t") != "", F.col("t")))
-    t = F.col("t")
-    out = long.groupBy("p", "column_name").agg(
-        F.count(t).alias("n"), F.bool_and(t.rlike(INTEGER)).alias("i"), F.bool_and(F.when(t.isNotNull(), t.try_cast("int").isNotNull())).alias("small"),
-        F.bool_and(t.rlike(NUMBER)).alias("d"), F.bool_and(F.lower(t).isin(*BOOLEAN_WORDS)).alias("b"), F.bool_and(F.when(t.isNotNull(), _is_date(t))).alias("dt"),
-    )
-    kind = F.when(F.col("n") == 0, "VARCHAR").when(F.col("i") & F.col("small"), "INTEGER").when(F.col("i"), "BIGINT").when(F.col("d"), "DOUBLE").when(F.col("b"), "BOOLEAN").when(F.col("dt"), "DATE").otherwise("VARCHAR")
-    return out.orderBy("p").select("column_name", kind.alias("detected"))
+    trimmed = df.select(*[F.nullif(F.trim(col(c).cast("string")), F.lit("")).alias(f"t{i}") for i, c in enumerate(columns)])
+    tests = []
+    for i in range(len(columns)):
+        t = F.col(f"t{i}")
+        # Costly parts run only on texts that the pattern before them lets pass.
+        integer = t.rlike(INTEGER)
+        small = F.when(integer, (F.length(t) < 10) | t.try_cast("int").isNotNull()).otherwise(False)
+        number = F.when(integer, True).otherwise(t.rlike(NUMBER))
+        date = F.when(t.rlike(DATE), _is_date(t)).otherwise(False)
+        word = F.when(F.length(t) <= 5, F.lower(t).isin(*BOOLEAN_WORDS)).otherwise(False)
+        seen = lambda c: F.bool_and(F.when(F.col(f"t{i}").isNotNull(), c))  # noqa: E731, B023
+        tests += [F.count(t).alias(f"n{i}"), seen(integer).alias(f"i{i}"), seen(small).alias(f"s{i}"), seen(number).alias(f"d{i}"), seen(word).alias(f"b{i}"), seen(date).alias(f"dt{i}")]
+    one = trimmed.agg(*tests)
+
+    def kind(i: int) -> Column:
+        is_a = lambda name: F.col(f"{name}{i}")
+        return F.when(is_a("n") == 0, "VARCHAR").when(is_a("i") & is_a("s"), "INTEGER").when(is_a("i"), "BIGINT").when(is_a("d"), "DOUBLE").when(is_a("b"), "BOOLEAN").when(is_a("dt"), "DATE").otherwise("VARCHAR")
+
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), kind(i).alias("detected")) for i, c in enumerate(columns)])))
 
 
 def is_valid(text: Column, kind: str) -> Column:

@@ -48,13 +48,14 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """``bin`` (from 1), its lower edge and its count, over equal widths from the least to the greatest value.
 
     Every bin is listed, the last one holds the greatest value; eager: reads the
-    bounds first.  A column without values, or with one value, has one bin.
+    bounds first.  NaN is in no bin.  A column without values, or with one value,
+has one bin.
     """
     (name,) = _numeric(df, [column])
     x = col(name).cast("double")
-    low, high = df.agg(F.min(x), F.max(x)).first()
+    low, high = df.where(~F.isnan(x)).agg(F.min(x), F.max(x)).first()
     if low is None or low == high:
-        return df.select(F.lit(1).alias("bin"), F.lit(low).cast("double").alias("low"), F.when(x.isNotNull(), 1).alias("k")).groupBy("bin", "low").agg(F.count("k").alias("count"))
+        return df.where(x.isNull() | ~F.isnan(x)).select(F.lit(1).alias("bin"), F.lit(low).cast("double").alias("low"), F.when(x.isNotNull(), 1).alias("k")).groupBy("bin", "low").agg(F.count("k").alias("count"))
     width = (high - low) / bins
     place = F.least(F.floor((x - low) / width).cast("int") + 1, F.lit(bins))
     counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -8,16 +8,19 @@ from pyspark.sql import types as T
 
 from ..functions.names import col, require, user_columns
 from ..functions.types import is_numeric, type_name
+from .quantiles import rank_quantiles
+
+_CUTS = (0.25, 0.5, 0.75)
 
 
 def _measures(value: Column, whole: Column | None, approx: bool) -> list[Column]:
-    """The statistics of a double column; ``whole`` holds integers exactly."""
+    """The statistics of a double column but exact quantiles; ``whole`` holds integers exactly."""
     exact = value if whole is None else F.struct(value, whole)
-    cuts = (F.percentile_approx if approx else F.percentile)(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     distinct = (F.approx_count_distinct if approx else F.count_distinct)(F.when(value.isNotNull(), exact))
+    cuts = F.percentile_approx(value, F.array(*map(F.lit, _CUTS))) if approx else F.lit(None)
     return [
-        F.count(F.lit(1)).alias("count"), F.count_if(value.isNull()).alias("missing"), F.avg(value).alias("mean"), cuts.getItem(1).alias("median"),
-        F.stddev_samp(value).alias("std_dev"), F.min(value).alias("min"), F.max(value).alias("max"), cuts.getItem(0).alias("q1"), cuts.getItem(2).alias("q3"), distinct.alias("unique_count"),
+        F.count(F.lit(1)).alias("count"), F.count_if(value.isNull()).alias("missing"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_dev"),
+        F.min(value).alias("min"), F.max(value).alias("max"), cuts.alias("cuts"), distinct.alias("unique_count"),
     ]
 
 
@@ -30,7 +33,7 @@ def column_stats(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
 
 
 def descriptive_stats(df: DataFrame, approx: bool = False) -> DataFrame:
-    """A row of statistics for every numeric column, in one pass over the table."""
+    """A row of statistics for every numeric column: one pass over the table, and one that ranks its values (none, if ``approx``)."""
     names = [c for c in user_columns(df) if is_numeric(df.schema[c].dataType)]
     if not names:
         raise ValueError("no numeric column")
@@ -40,7 +43,11 @@ def descriptive_stats(df: DataFrame, approx: bool = False) -> DataFrame:
         for i, c in enumerate(names)
     ]
     long = df.select(F.inline(F.array(*cells)))
-    return long.groupBy("p", "column_name").agg(*_measures(F.col("v"), F.col("w"), approx)).orderBy("p").drop("p")
+    out = long.groupBy("p", "column_name").agg(*_measures(F.col("v"), F.col("w"), approx))
+    if not approx:
+        out = out.join(rank_quantiles(long.select("p", "v"), ["p"], list(_CUTS)), "p", "left").withColumn("cuts", F.col("q"))
+    cut = lambda i, name: F.get("cuts", F.lit(i)).alias(name)
+    return out.orderBy("p").select("column_name", "count", "missing", "mean", cut(1, "median"), "std_dev", "min", "max", cut(0, "q1"), cut(2, "q3"), "unique_count")
 
 
 def selection_stats(block: DataFrame) -> DataFrame:

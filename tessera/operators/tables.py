@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.names import ROW_ID, col, distinct_names, require, user_columns
 from ..functions.types import common_type, convert, is_numeric, spark_type, type_name
+from .quantiles import rank_quantiles
 from .rowid import assign_row_id
 
 #: Statistic -> (suffix of the result column, aggregate).
@@ -18,7 +22,7 @@ STATISTICS = {
     "min": ("Min", F.min),
     "max": ("Max", F.max),
     "sum": ("Sum", lambda c: F.sum(c.cast("double"))),
-    "median": ("Median", lambda c: F.median(c.cast("double"))),
+    "median": ("Median", None),  # by rank, see quantiles
 }
 
 
@@ -141,13 +145,24 @@ def summary(df: DataFrame, stat_columns: list[str], group_columns: list[str] = (
     for c in stat_columns:
         if set(chosen) & {"mean", "std", "sum", "median"} and not is_numeric(df.schema[c].dataType):
             raise ValueError(f"{c} is not numeric")
-    exprs = [STATISTICS[s][1](col(c)).alias(f"{c}_{STATISTICS[s][0]}") for c in stat_columns for s in chosen]
-    if not exprs and not group_columns:
+    named = [(c, s, f"{c}_{STATISTICS[s][0]}") for c in stat_columns for s in chosen]
+    if not named and not group_columns:
         raise ValueError("nothing to summarise")
-    distinct_names([*group_columns, *(f"{c}_{STATISTICS[s][0]}" for c in stat_columns for s in chosen)])
-    if not exprs:
+    distinct_names([*group_columns, *(n for _, _, n in named)])
+    if not named:
         return df.select(*map(col, group_columns)).distinct()
-    return df.groupBy(*map(col, group_columns)).agg(*exprs) if group_columns else df.agg(*exprs)
+    keys = [f"g{i}" for i in range(len(group_columns))]
+    keyed = df.select(*[col(c).alias(k) for c, k in zip(group_columns, keys)], *[col(c).alias(f"c{i}") for i, c in enumerate(stat_columns)])
+    own = {c: f"c{i}" for i, c in enumerate(stat_columns)}
+    exprs = [STATISTICS[s][1](F.col(own[c])).alias(f"s{i}") for i, (c, s, _) in enumerate(named) if s != "median"] or [F.count(F.lit(1)).alias("rows")]
+    out = keyed.groupBy(*keys).agg(*exprs)
+    if "median" in chosen:
+        cells = F.array(*[F.struct(F.lit(i).alias("p"), F.col(own[c]).cast("double").alias("v")) for i, (c, s, _) in enumerate(named) if s == "median"])
+        halves = rank_quantiles(keyed.select(*keys, F.inline(cells)), [*keys, "p"], [0.5])
+        wide = halves.groupBy(*[F.col(k).alias(f"m_{k}") for k in keys]).agg(*[F.max(F.when(F.col("p") == i, F.get("q", F.lit(0)))).alias(f"s{i}") for i, (_, s, _) in enumerate(named) if s == "median"])
+        # Without groups both sides have one row; a constant joins them.
+        out = out.join(wide, reduce(and_, [out[k].eqNullSafe(wide[f"m_{k}"]) for k in keys]), "left") if keys else out.withColumn("k", F.lit(0)).join(wide.withColumn("k", F.lit(0)), "k", "left")
+    return out.select(*[F.col(k).alias(c) for c, k in zip(group_columns, keys)], *[F.col(f"s{i}").alias(n) for i, (_, _, n) in enumerate(named)])
 
 
 def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:

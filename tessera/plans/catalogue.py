@@ -97,14 +97,14 @@ def _(spark, d):
     return rounded(stats.selection_stats(filters.slice_block(ranked, 5, 1, 2, 4)))
 
 
-@query("selection_stats_text", "SELECT COUNT(*) AS count, NULL::DOUBLE AS sum, NULL::DOUBLE AS avg, NULL::DOUBLE AS min, NULL::DOUBLE AS max FROM (SELECT r_name FROM region UNION ALL SELECT r_regionkey::VARCHAR FROM region)")
+@query("selection_stats_text", "SELECT COUNT(*) AS count, NULL::DOUBLE AS sum, NULL::DOUBLE AS avg, NULL::DOUBLE AS min, NULL::DOUBLE AS max FROM (SELECT p_name FROM part UNION ALL SELECT p_partkey::VARCHAR FROM part)")
 def _(spark, d):
-    return stats.selection_stats(table(spark, d, "region"))
+    return stats.selection_stats(table(spark, d, "part").select("p_name", "p_partkey"))
 
 
-@query("describe_dataset", "SELECT 0 AS col_index, 'n_nationkey' AS col_name, 'INTEGER' AS col_type, COUNT(*) AS row_count, 0::BIGINT AS missing_count FROM nation UNION ALL SELECT 1, 'n_name', 'VARCHAR', COUNT(*), 0 FROM nation UNION ALL SELECT 2, 'n_regionkey', 'INTEGER', COUNT(*), COUNT_IF(n_regionkey = 1)::BIGINT FROM nation")
+@query("describe_dataset", "SELECT 0 AS col_index, 'c_custkey' AS col_name, 'INTEGER' AS col_type, COUNT(*) AS row_count, 0::BIGINT AS missing_count FROM customer UNION ALL SELECT 1, 'c_name', 'VARCHAR', COUNT(*), 0 FROM customer UNION ALL SELECT 2, 'c_nationkey', 'INTEGER', COUNT(*), COUNT_IF(c_nationkey = 1)::BIGINT FROM customer")
 def _(spark, d):
-    return stats.describe_dataset(table(spark, d, "nation").withColumn("n_regionkey", F.nullif("n_regionkey", F.lit(1))))
+    return stats.describe_dataset(table(spark, d, "customer").select(F.col("c_custkey").cast("int"), "c_name", F.nullif(F.col("c_nationkey").cast("int"), F.lit(1)).alias("c_nationkey")))
 
 
 @query("dataset_counts", "SELECT COUNT(*) AS row_count, 6 AS col_count FROM orders")
@@ -178,9 +178,9 @@ def _(spark, d):
     return filters.distinct_values(table(spark, d, "part").select(F.nullif("p_size", F.lit(7)).alias("p_size")), "p_size")
 
 
-@query("slice_block", "SELECT n_nationkey, n_name FROM (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation) WHERE k BETWEEN 3 AND 8")
+@query("slice_block", "SELECT p_partkey, p_name FROM (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) AS k FROM part) WHERE k BETWEEN 3 AND 108")
 def _(spark, d):
-    return filters.slice_block(readers.numbered(table(spark, d, "nation"), "n_nationkey"), 8, 3, 1, 2)
+    return filters.slice_block(readers.numbered(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey"), 108, 3, 1, 2)
 
 
 # --- joins and updates ------------------------------------------------------------
@@ -223,10 +223,10 @@ def _(spark, d):
 # --- concatenate and reshape --------------------------------------------------------
 
 
-@query("concat_same", "SELECT * FROM nation UNION ALL SELECT * FROM nation")
+@query("concat_same", "SELECT * FROM part UNION ALL SELECT * FROM part")
 def _(spark, d):
-    n = table(spark, d, "nation")
-    return tables.concatenate([n, n])
+    p = table(spark, d, "part")
+    return tables.concatenate([p, p])
 
 
 @query("concat_missing_cols", "SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier")
@@ -252,9 +252,10 @@ def _(spark, d):
     return tables.stack(table(spark, d, "supplier").withColumn("s_nationkey", F.nullif("s_nationkey", F.lit(2))), ["s_name", "s_nationkey"], ["s_suppkey"])
 
 
-@query("stack_numbered", "SELECT row_number() OVER (ORDER BY p, n_nationkey) AS _row_id, n_name, \"Label\", \"Value\" FROM (SELECT 1 AS p, n_nationkey, n_name, 'n_nationkey' AS \"Label\", n_nationkey AS \"Value\" FROM nation UNION ALL SELECT 2, n_nationkey, n_name, 'n_regionkey', n_regionkey FROM nation)")
+@query("stack_numbered", "SELECT row_number() OVER (ORDER BY p, c_custkey) AS _row_id, c_name, \"Label\", \"Value\" FROM (SELECT 1 AS p, c_custkey, c_name, 'c_custkey' AS \"Label\", c_custkey::BIGINT AS \"Value\" FROM customer UNION ALL SELECT 2, c_custkey, c_name, 'c_nationkey', c_nationkey FROM customer)")
 def _(spark, d):
-    return tables.stack(readers.numbered(table(spark, d, "nation"), "n_nationkey"), ["n_nationkey", "n_regionkey"], ["n_name"], number_rows=True)
+    df = table(spark, d, "customer").select(F.col("c_custkey").cast("long"), "c_name", F.col("c_nationkey").cast("long"))
+    return tables.stack(readers.numbered(df, "c_custkey"), ["c_custkey", "c_nationkey"], ["c_name"], number_rows=True)
 
 
 
@@ -263,9 +264,9 @@ def _split_sql(source: str, ids: str, labels) -> str:
     return f"SELECT {ids}, {cells} FROM (SELECT *, row_number() OVER (PARTITION BY {ids}, s ORDER BY r) AS n FROM ({source})) GROUP BY {ids}, n"
 
 
-@query("split_basic", _split_sql("SELECT n_regionkey, CAST(n_nationkey % 3 AS VARCHAR) AS s, n_name AS v, n_nationkey AS r FROM nation", "n_regionkey", ("0", "1", "2")))
+@query("split_basic", _split_sql("SELECT p_size, CAST(p_partkey % 3 AS VARCHAR) AS s, p_name AS v, p_partkey AS r FROM part", "p_size", ("0", "1", "2")))
 def _(spark, d):
-    return tables.split(table(spark, d, "nation").select(F.col("n_nationkey").alias(ROW_ID), "n_regionkey", (F.col("n_nationkey") % 3).alias("s"), F.col("n_name").alias("v")), "s", "v")
+    return tables.split(table(spark, d, "part").select(F.col("p_partkey").alias(ROW_ID), "p_size", (F.col("p_partkey") % 3).cast("string").alias("s"), F.col("p_name").alias("v")), "s", "v")
 
 
 @query("split_duplicates", _split_sql("SELECT c_nationkey, c_mktsegment AS s, c_acctbal AS v, c_custkey AS r FROM customer", "c_nationkey", ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")))
@@ -280,9 +281,13 @@ def _(spark, d):
     return tables.split(df, "s", "v", ["s_nationkey"])
 
 
-@query("transpose", "SELECT 'r_regionkey' AS \"Label\", " + ", ".join(f"MAX(CASE WHEN k = {i} THEN r_regionkey::VARCHAR END) AS Row{i}" for i in range(1, 6)) + " FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS k FROM region) UNION ALL SELECT 'r_name', " + ", ".join(f"MAX(CASE WHEN k = {i} THEN r_name END)" for i in range(1, 6)) + " FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS k FROM region)")
+_PRIORITIES = "(SELECT o_orderpriority, COUNT(*) AS n, row_number() OVER (ORDER BY o_orderpriority) AS k FROM orders GROUP BY 1)"
+
+
+@query("transpose", "SELECT 'o_orderpriority' AS \"Label\", " + ", ".join(f"MAX(CASE WHEN k = {i} THEN o_orderpriority END) AS Row{i}" for i in range(1, 6)) + f" FROM {_PRIORITIES} UNION ALL SELECT 'n', " + ", ".join(f"MAX(CASE WHEN k = {i} THEN n::VARCHAR END)" for i in range(1, 6)) + f" FROM {_PRIORITIES}")
 def _(spark, d):
-    return tables.transpose(readers.numbered(table(spark, d, "region"), "r_regionkey"))
+    counted = tables.summary(table(spark, d, "orders").withColumn("n", F.lit(1)), ["n"], ["o_orderpriority"], ["n"]).withColumnRenamed("n_N", "n")
+    return tables.transpose(readers.numbered(counted, "o_orderpriority"))
 
 
 # --- column operations --------------------------------------------------------------
@@ -329,30 +334,33 @@ def _(spark, d):
     return columns.format_columns(table(spark, d, "part").select("p_partkey", "p_size"), {"p_size": {"kind": "percent", "decimals": 1}})
 
 
-@query("format_currency", "SELECT o_orderkey, '$' || printf('%.2f', o_custkey::DOUBLE) AS o_custkey, '' AS gone, o_orderstatus FROM orders")
+_SYMBOLS = {"CNY": "¥", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "KRW": "₩", "HKD": "HK$", "TWD": "NT$"}
+
+
+@query("format_currency", "SELECT o_orderkey, " + ", ".join(f"'{symbol}' || printf('%.2f', o_custkey::DOUBLE) AS {code}" for code, symbol in _SYMBOLS.items()) + ", '' AS gone, o_orderstatus FROM orders")
 def _(spark, d):
-    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(None).cast("double").alias("gone"), "o_orderstatus")
-    return columns.format_columns(df, {"o_custkey": {"kind": "currency", "currency": "USD"}, "gone": {"kind": "fixed"}, "o_orderstatus": {"kind": "currency", "currency": "USD"}})
+    df = table(spark, d, "orders").select("o_orderkey", *[F.col("o_custkey").alias(code) for code in _SYMBOLS], F.lit(None).cast("double").alias("gone"), "o_orderstatus")
+    return columns.format_columns(df, {code: {"kind": "currency", "currency": code} for code in _SYMBOLS} | {"gone": {"kind": "fixed"}, "o_orderstatus": {"kind": "currency", "currency": "USD"}})
 
 
-@query("format_scientific", "SELECT n_nationkey, CASE WHEN n_nationkey = 0 THEN '0e+0' WHEN n_nationkey < 10 THEN n_nationkey || 'e+3' WHEN n_nationkey % 10 = 0 THEN (n_nationkey // 10) || 'e+4' ELSE (n_nationkey // 10) || '.' || (n_nationkey % 10) || 'e+4' END AS x FROM nation")
+@query("format_scientific", "SELECT c_custkey, CASE WHEN x = 0 THEN '0e+0' WHEN x < 10 THEN x || 'e+3' WHEN x % 10 = 0 THEN (x // 10) || 'e+4' ELSE (x // 10) || '.' || (x % 10) || 'e+4' END AS x FROM (SELECT c_custkey, c_custkey % 100 AS x FROM customer)")
 def _(spark, d):
-    return columns.format_columns(table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 1000.0).alias("x")), {"x": {"kind": "scientific"}})
+    return columns.format_columns(table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 100 * 1000.0).alias("x")), {"x": {"kind": "scientific"}})
 
 
-@query("add_col", "SELECT *, NULL::DOUBLE AS score, NULL::VARCHAR AS \"列1\" FROM nation")
+@query("add_col", "SELECT *, NULL::DOUBLE AS score, NULL::VARCHAR AS \"列1\" FROM supplier")
 def _(spark, d):
-    return columns.add_columns(columns.add_column(table(spark, d, "nation"), "score", "DOUBLE"), 1)
+    return columns.add_columns(columns.add_column(table(spark, d, "supplier"), "score", "DOUBLE"), 1)
 
 
-@query("drop_col", "SELECT n_nationkey, n_regionkey FROM nation")
+@query("drop_col", "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier")
 def _(spark, d):
-    return columns.delete_column(table(spark, d, "nation"), "n_name")
+    return columns.delete_column(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), "s_name")
 
 
-@query("rename_col", "SELECT n_nationkey, n_name AS \"full name\", n_regionkey FROM nation")
+@query("rename_col", "SELECT s_suppkey, s_name AS \"full name\", s_acctbal FROM supplier")
 def _(spark, d):
-    return columns.rename_column(table(spark, d, "nation"), "n_name", "full name")
+    return columns.rename_column(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "s_name", "full name")
 
 
 # --- edits ------------------------------------------------------------------------------
@@ -388,11 +396,11 @@ def _(spark, d):
     return edits.delete_rows(_customers(spark, d), table(spark, d, "orders").where("o_totalprice > 300000").select("o_custkey"))
 
 
-@query("patch_block", "WITH b AS (SELECT n_nationkey * 2 AS _row_id, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation), p AS (SELECT row_number() OVER (ORDER BY r_regionkey) + 22 AS k, CASE WHEN r_regionkey = 1 THEN '' ELSE r_name END AS a, r_regionkey + 100 AS c FROM region) SELECT coalesce(_row_id, p.k - 25 + 48)::INTEGER AS _row_id, coalesce(nullif(a, ''), n_name) AS name, coalesce(c, n_regionkey) AS n_regionkey FROM b FULL JOIN p ON b.k = p.k")
+@query("patch_block", "WITH b AS (SELECT c_custkey AS _row_id, c_name, c_nationkey, row_number() OVER (ORDER BY c_custkey) AS k, COUNT(*) OVER () AS n, MAX(c_custkey) OVER () AS top FROM customer), p AS (SELECT row_number() OVER (ORDER BY s_suppkey) + 22 AS k, CASE WHEN s_suppkey = 1 THEN '' ELSE s_name END AS a, s_suppkey + 100 AS c FROM supplier) SELECT coalesce(_row_id, p.k - (SELECT MAX(n) FROM b) + (SELECT MAX(top) FROM b))::BIGINT AS _row_id, coalesce(nullif(a, ''), c_name) AS name, coalesce(c, c_nationkey)::BIGINT AS c_nationkey FROM b FULL JOIN p ON b.k = p.k")
 def _(spark, d):
-    base = table(spark, d, "nation").select((F.col("n_nationkey") * 2).alias(ROW_ID), "n_name", "n_regionkey")
-    patch = table(spark, d, "region").select(F.col("r_regionkey").alias(ROW_ID), F.when(F.col("r_regionkey") == 1, "").otherwise(F.col("r_name")).alias("a"), (F.col("r_regionkey") + 100).cast("string").alias("c"))
-    return edits.patch_block(base, patch, 23, 1, ["VARCHAR", "INTEGER"], ["name", ""])
+    base = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias(ROW_ID), "c_name", F.col("c_nationkey").cast("long"))
+    patch = table(spark, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), F.when(F.col("s_suppkey") == 1, "").otherwise(F.col("s_name")).alias("a"), (F.col("s_suppkey") + 100).cast("string").alias("c"))
+    return edits.patch_block(base, patch, 23, 1, ["VARCHAR", "BIGINT"], ["name", ""])
 
 
 @query("check_patch", "SELECT 'n_name' AS column_name, TRUE AS compatible, 3::BIGINT AS conflicts UNION ALL SELECT 'n_regionkey', FALSE, 3")
@@ -420,9 +428,9 @@ def _(spark, d):
     return readers.read_tsv(spark, path).drop(ROW_ID)
 
 
-@query("copy_block", "SELECT n_nationkey || chr(9) || n_name AS value FROM nation WHERE n_nationkey BETWEEN 1 AND 4")
+@query("copy_block", "SELECT s_suppkey || chr(9) || s_name AS value FROM supplier WHERE s_suppkey BETWEEN 1 AND 89")
 def _(spark, d):
-    return writers.tsv_lines(filters.slice_block(readers.numbered(table(spark, d, "nation"), "n_nationkey"), 2, 5, 1, 2))
+    return writers.tsv_lines(filters.slice_block(readers.numbered(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "s_suppkey"), 2, 90, 1, 2))
 
 
 @query("project_roundtrip", "SELECT * FROM customer")
@@ -439,27 +447,27 @@ def _(spark, d):
     return sqlite.read_sqlite(spark, f"{folder}/a.db")["supplier"]
 
 
-@query("snapshot_restore", "SELECT r_regionkey AS _row_id, r_name FROM region")
+@query("snapshot_restore", "SELECT s_suppkey AS _row_id, s_name FROM supplier")
 def _(spark, d):
     catalog = Catalog(spark)
-    catalog.materialize(table(spark, d, "region").select(F.col("r_regionkey").alias(ROW_ID), "r_name"), "r")
+    catalog.materialize(table(spark, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), "s_name"), "s")
     catalog.snapshot("first")
-    catalog.materialize(catalog.get("r").where("false"), "r")
+    catalog.materialize(catalog.get("s").where("false"), "s")
     catalog.restore("first")
-    return catalog.get("r")
+    return catalog.get("s")
 
 
-@query("version_undo", "SELECT n_nationkey AS _row_id, n_name FROM nation WHERE n_nationkey > 3")
+@query("version_undo", "SELECT c_custkey AS _row_id, c_name FROM customer WHERE c_custkey > 3")
 def _(spark, d):
     catalog = Catalog(spark)
-    base = table(spark, d, "nation").select(F.col("n_nationkey").alias(ROW_ID), "n_name")
-    catalog.materialize(base, "n")
+    base = table(spark, d, "customer").select(F.col("c_custkey").alias(ROW_ID), "c_name")
+    catalog.materialize(base, "c")
     catalog.record("import")
-    catalog.materialize(base.where(f"{ROW_ID} > 3"), "n")
+    catalog.materialize(base.where(f"{ROW_ID} > 3"), "c")
     catalog.record("delete")
     catalog.undo()
     catalog.redo()
-    return catalog.get("n")
+    return catalog.get("c")
 
 
 @query("import_csv_infer", "SELECT row_number() OVER (ORDER BY p_partkey) AS _row_id, p_partkey::INTEGER AS p_partkey, p_name, p_size, p_retailprice FROM part")

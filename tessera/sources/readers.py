@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.names import ROW_ID, col, distinct_names
 from ..functions.types import convert, spark_type
+from ..operators.columns import detect_types
 from ..operators.rowid import assign_row_id
 
 
@@ -17,11 +18,50 @@ def in_file_order(df: DataFrame) -> DataFrame:
     return assign_row_id(kept, F.col("__f"), F.col("__b"), F.col("__i")).drop("__f", "__b", "__i")
 
 
-def read_csv(spark: SparkSession, path: str, header: bool = True, schema: T.StructType | None = None, **options) -> DataFrame:
-    """A CSV file or folder with inferred (or given) types and row ids in file order."""
+_SAMPLE = 1000
+_PLAIN = {"nullValue": "\u0001", "emptyValue": "", "escape": '"'}
+
+
+def has_header(spark: SparkSession, path: str, multi_line: bool = False, **options) -> bool:
+    """Whether the first row of a CSV file names its columns.
+
+    It does if all columns are text, or if it doesn't fit the types of the rows
+    below (of the first ``_SAMPLE`` rows; with one row, its own types).
+    """
+    head = spark.read.options(**_PLAIN).option("header", False).option("multiLine", multi_line).options(**options).csv(path)
+    rows = head.limit(_SAMPLE).collect()
+    if not rows or not head.columns:
+        return True
+    # The sample goes back as one literal; the column rules are those of whole tables.
+    cells = lambda rs: spark.createDataFrame([tuple(r) for r in rs], head.schema)
+    kinds = [r.detected for r in detect_types(cells(rows[1:] or rows)).collect()]
+    own = [r.detected for r in detect_types(cells(rows[:1])).collect()]
+    if all(k == "VARCHAR" for k in kinds):
+        return True
+    fits = lambda k, o, v: k == "VARCHAR" or v is None or o == k or (k in ("BIGINT", "DOUBLE") and o in ("INTEGER", "BIGINT"))
+    return not all(map(fits, kinds, own, rows[0]))
+
+
+def spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell holds a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_csv(spark: SparkSession, path: str, header: bool | None = None, schema: T.StructType | None = None, multi_line: bool | None = None, **options) -> DataFrame:
+    """A CSV file or folder with inferred (or given) types and row ids in file order.
+
+    Unless told, it looks whether there is a header (``column0`` and so on name
+    the columns of a file without one) and whether quoted cells hold line breaks:
+    only then is a file read by one task.
+    """
+    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
+    header = has_header(spark, path, multi_line, **options) if header is None else header
     # A null value that no file holds tells an empty cell (null) from a quoted empty text.
-    reader = spark.read.option("nullValue", "\u0001").option("emptyValue", "").option("header", header).option("multiLine", False).option("escape", '"').options(**options)
+    reader = spark.read.options(**_PLAIN).option("header", header).option("multiLine", multi_line).options(**options)
     df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).option("preferDate", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
+    if not header and not schema:
+        df = df.withColumnsRenamed({c: f"column{i}" for i, c in enumerate(df.columns)})
     distinct_names(df.columns)
     return in_file_order(df)
 

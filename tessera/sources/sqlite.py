@@ -18,7 +18,7 @@ from ..functions.names import ROW_ID, col, user_columns
 from ..functions.types import convert, spark_type
 from ..operators.rowid import assign_row_id
 
-SPLIT_ROWS = 100_000
+SPLIT_ROWS, MOST_SPLITS = 100_000, 10_000
 
 
 def mapped_type(declared: str) -> str:
@@ -61,7 +61,8 @@ class _Reader(DataSourceReader):
             return [_Range(None, None)]
         if low is None:
             return [_Range(0, 0)]
-        return [_Range(a, min(a + SPLIT_ROWS, high + 1)) for a in range(low, high + 1, SPLIT_ROWS)]
+        step = max(SPLIT_ROWS, -(-(high + 1 - low) // MOST_SPLITS))  # row ids may be far apart
+        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         def text(value):

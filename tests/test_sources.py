@@ -116,3 +116,33 @@ def test_versions_and_snapshots(spark):
 def test_row_ids_of_copies(spark):
     df = readers.numbered(spark.range(3).withColumn("k", F.lit(None).cast("int")), "k")
     assert sorted(r._row_id for r in df.collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize(
+    "text, names, rows",
+    [
+        ("1,a\n2,c\n", ["column0", "column1"], [(1, "a"), (2, "c")]),
+        ("a,b\nx,y\n", ["a", "b"], [("x", "y")]),
+        ("id,name\n1,x\n", ["id", "name"], [(1, "x")]),
+        ("a,1\nb,2\n", ["column0", "column1"], [("a", 1), ("b", 2)]),
+        ('id,note,x\n1,"one\nline, ""more""",2.5\n2,,\n', ["id", "note", "x"], [(1, 'one\nline, "more"', 2.5), (2, None, None)]),
+    ],
+)
+def test_csv_header_and_line_breaks(spark, tmp_path, text, names, rows):
+    path = tmp_path / "basic.csv"
+    path.write_text(text)
+    df = readers.read_csv(spark, str(path))
+    assert df.columns == ["_row_id", *names] and [tuple(r)[1:] for r in df.orderBy("_row_id").collect()] == rows
+
+
+def test_far_row_ids_make_few_partitions(tmp_path):
+    import sqlite3
+
+    from tessera.sources import sqlite
+
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE t (x INTEGER)")
+        db.executemany("INSERT INTO t (rowid, x) VALUES (?, 1)", [(1,), (2**60,)])
+    parts = sqlite._Reader(type("schema", (), {"names": ["__rowid", "x"]}), {"path": str(tmp_path / "a.db"), "dbtable": "t"})
+    ranges = parts.partitions()
+    assert len(ranges) <= sqlite.MOST_SPLITS and sum(len(list(parts.read(r))) for r in (ranges[0], ranges[-1])) == 2
