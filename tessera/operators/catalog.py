@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.names import ROW_ID, user_columns
 from ..functions.storage import fresh_path
@@ -21,6 +23,7 @@ class Dataset:
     source_type: str
     created_at: str
     columns: list[str]
+    row_count: int = 0
 
 
 @dataclass
@@ -38,7 +41,8 @@ class Catalog:
         rows = df if ROW_ID in df.columns else assign_row_id(df)
         path = fresh_path(self.spark, "dataset")
         rows.write.parquet(path)
-        self.datasets[name] = Dataset(name, path, source_type, datetime.now(UTC).isoformat(), user_columns(rows))
+        count = self.spark.read.parquet(path).count()  # from the files' footers
+        self.datasets[name] = Dataset(name, path, source_type, datetime.now(UTC).isoformat(), user_columns(rows), count)
         return self.get(name)
 
     def get(self, name: str) -> DataFrame:
@@ -78,12 +82,36 @@ class Catalog:
     def snapshot(self, name: str) -> None:
         self.snapshots[name] = dict(self.datasets)
 
-    def restore(self, name: str) -> None:
-        """All datasets as they were; source types stay as they were, too."""
-        self.datasets = dict(self.snapshots[name])
+    def restore(self, name: str, only: str | None = None) -> None:
+        """All datasets as they were, or one of them; source types as they were, too."""
+        held = self.snapshots[name]
+        if only is None:
+            self.datasets = dict(held)
+        elif only not in held:
+            raise ValueError(f"no dataset {only} in snapshot {name}")
+        else:
+            self.datasets[only] = held[only]
 
     def rename_snapshot(self, old: str, new: str) -> None:
         self.snapshots[new] = self.snapshots.pop(old)
 
     def delete_snapshot(self, name: str) -> None:
         del self.snapshots[name]
+
+    def described(self) -> DataFrame:
+        """A row per dataset: name, source type, rows and columns, newest first."""
+        rows = [(d.name, d.source_type, d.row_count, len(d.columns)) for d in self.list()]
+        return self.spark.createDataFrame(rows, "name string, source_type string, row_count long, col_count int")
+
+    def save(self, path: str) -> None:
+        """Write what the catalog knows (names, snapshots, versions; the tables stay where they are) to ``path``."""
+        flat = lambda sets: {k: asdict(d) for k, d in sets.items()}
+        state = {"datasets": flat(self.datasets), "snapshots": {k: flat(v) for k, v in self.snapshots.items()}, "log": [[label, flat(v)] for label, v in self.log], "at": self.at}
+        self.spark.range(1).select(F.lit(json.dumps(state)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Catalog:
+        """A catalog as another session saved it."""
+        state = json.loads(spark.read.text(path, wholetext=True).where("value != ''").first()[0])
+        sets = lambda held: {k: Dataset(**d) for k, d in held.items()}
+        return cls(spark, sets(state["datasets"]), {k: sets(v) for k, v in state["snapshots"].items()}, [(label, sets(v)) for label, v in state["log"]], state["at"])

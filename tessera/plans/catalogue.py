@@ -470,6 +470,47 @@ def _(spark, d):
     return catalog.get("c")
 
 
+@query("restore_one_table", "SELECT 'customer' AS of, COUNT(*) AS n FROM customer UNION ALL SELECT 'orders', 0")
+def _(spark, d):
+    catalog = Catalog(spark)
+    for name in ("customer", "orders"):
+        catalog.materialize(table(spark, d, name).select(F.monotonically_increasing_id().alias(ROW_ID), F.lit(name).alias("of")), name)
+    catalog.snapshot("first")
+    for name in ("customer", "orders"):
+        catalog.materialize(catalog.get(name).where("false"), name)
+    catalog.restore("first", only="customer")
+    path = fresh_path(spark, "catalog")
+    catalog.save(path)
+    return Catalog.load(spark, path).described().select(F.col("name").alias("of"), F.col("row_count").alias("n"))
+
+
+@query("dataset_list", "SELECT 'p' AS name, 'csv' AS source_type, COUNT(*) AS row_count, 2 AS col_count FROM part UNION ALL SELECT 's', 'manual', COUNT(*), 1 FROM supplier")
+def _(spark, d):
+    catalog = Catalog(spark)
+    catalog.materialize(table(spark, d, "part").select(F.col("p_partkey").alias(ROW_ID), "p_name", "p_size"), "part", "csv")
+    catalog.materialize(table(spark, d, "supplier").select(F.col("s_suppkey").alias(ROW_ID), "s_name"), "s")
+    catalog.rename("part", "p")
+    catalog.materialize(catalog.get("s"), "gone")
+    catalog.drop("gone")
+    return catalog.described()
+
+
+@query("project_snapshots", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey > 5")
+def _(spark, d):
+    path = fresh_path(spark, "project")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    writers.save_project(spark, "p", {"s": s}, path, snapshots={"before": {"s": s.where("s_suppkey > 5")}})
+    return writers.open_snapshots(spark, path)["before"]["s"]
+
+
+@query("export_all", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(spark, d):
+    path = fresh_path(spark, "all")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias(ROW_ID), "o_orderkey", "o_orderstatus")
+    writers.export_all_csv({"all/orders": orders, "suppliers": table(spark, d, "supplier").select("s_name")}, path)
+    return readers.read_csv(spark, f"{path}/all_orders", schema=orders.drop(ROW_ID).schema).drop(ROW_ID)
+
+
 @query("import_csv_infer", "SELECT row_number() OVER (ORDER BY p_partkey) AS _row_id, p_partkey::INTEGER AS p_partkey, p_name, p_size, p_retailprice FROM part")
 def _(spark, d):
     path = fresh_path(spark, "csv")

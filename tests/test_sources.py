@@ -146,3 +146,31 @@ def test_far_row_ids_make_few_partitions(tmp_path):
     parts = sqlite._Reader(type("schema", (), {"names": ["__rowid", "x"]}), {"path": str(tmp_path / "a.db"), "dbtable": "t"})
     ranges = parts.partitions()
     assert len(ranges) <= sqlite.MOST_SPLITS and sum(len(list(parts.read(r))) for r in (ranges[0], ranges[-1])) == 2
+
+
+def test_catalog_outlives_its_session_and_restores_one_table(spark, tmp_path):
+    catalog = Catalog(spark)
+    for name in ("a", "b"):
+        catalog.materialize(spark.range(4).withColumnRenamed("id", "x"), name, "csv")
+    catalog.snapshot("s")
+    catalog.record("two tables")
+    for name in ("a", "b"):
+        catalog.materialize(catalog.get(name).where("x > 2"), name)
+    catalog.restore("s", only="a")
+    catalog.save(str(tmp_path / "state"))
+    again = Catalog.load(spark, str(tmp_path / "state"))
+    assert {(r.name, r.source_type, r.row_count, r.col_count) for r in again.described().collect()} == {("a", "csv", 4, 1), ("b", "manual", 1, 1)}
+    again.jump(0)
+    assert again.get("b").count() == 4
+    with pytest.raises(ValueError):
+        again.restore("s", only="c")
+    with pytest.raises(ValueError):
+        writers.export_all_csv({"x/y": spark.range(1), "x:y": spark.range(1)}, str(tmp_path / "out"))
+
+
+def test_project_keeps_snapshots(spark, tmp_path):
+    root = str(tmp_path / "p")
+    writers.save_project(spark, "p", {"t": spark.range(3)}, root, snapshots={"old": {"t": spark.range(7)}, "none": {}})
+    assert writers.open_project(spark, root)["t"].count() == 3
+    held = writers.open_snapshots(spark, root)
+    assert held["old"]["t"].count() == 7 and held["none"] == {}
