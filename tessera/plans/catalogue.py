@@ -418,7 +418,7 @@ def _(spark, d):
     df = table(spark, d, "orders")
     path = fresh_path(spark, "csv")
     writers.write_csv(df, path)
-    return readers.read_csv(spark, path, schema=df.schema, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").drop(ROW_ID)
+    return readers.read_csv(spark, path, header=True, schema=df.schema, timestampNTZFormat="yyyy-MM-dd HH:mm:ss").drop(ROW_ID)
 
 
 @query("tsv_roundtrip", "SELECT CAST(s_suppkey AS VARCHAR) AS c1, s_name AS c2, CAST(s_nationkey AS VARCHAR) AS c3, CAST(s_acctbal AS VARCHAR) AS c4 FROM supplier")
