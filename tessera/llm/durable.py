@@ -6,15 +6,15 @@ from ..functions.storage import delete_tables, durable, fresh_path, note_table,
 
 __all__ = ["delete_tables", "durable", "fresh_path", "note_table", "noted_tables", "shared_folder", "text_batches"]
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Send texts to Python ``rows`` at a time; a session with its own setting keeps it.
+def text_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Send texts to Python about ``size`` bytes at a time; a session with its own setting keeps it.
 
-    Spark's default of 10,000 rows means tens of megabytes of text in each
-    buffer on both sides of a task.  Spark has no setting for bytes here;
-    corpora of very long texts want a smaller number of their own.
+    Spark's default of 64 MB is held several times over, in buffers on both
+    sides of each task.  A batch ends with the row that reaches the bound, so
+    only a single text can be longer.
     """
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, str(rows))
+    if spark.conf.get(_BATCH) == _DEFAULT:
+        spark.conf.set(_BATCH, str(size))
