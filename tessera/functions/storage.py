@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: The folder of each application that names none itself.
 _local: dict[str, str] = {}
+#: Spark's setting for removing a query's shuffle files when it ends, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The list that the tables of the work in hand are noted in, if anybody asked for it.
 _noted: ContextVar[list[str] | None] = ContextVar("noted", default=None)
 
@@ -34,11 +36,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and its shuffle files go once it is written."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
     note_table(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def note_table(path: str) -> None:

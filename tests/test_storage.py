@@ -48,3 +48,13 @@ def test_temporary_tables(spark):
         kept = storage._noted.get()
         held = [urlparse(p).path for p in kept]
     assert held and not any(map(os.path.exists, held)) and spark.read.parquet(path).count() == 10
+
+
+def test_a_durable_table_leaves_no_setting_changed_and_reads_after_its_shuffles_are_gone(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    grouped = spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count()
+    table = storage.durable(grouped, "grouped")
+    assert spark.conf.get(key) == was
+    assert sorted(table.collect()) == sorted(grouped.collect())
+    assert sorted(storage.durable(grouped, "again").collect()) == sorted(grouped.collect())
