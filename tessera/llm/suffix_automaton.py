@@ -1,8 +1,9 @@
 """Removal of passages that occur in a reference, by broadcast suffix automata.
 
 The reference is cut into shards of at most ``SHARD_WORDS`` words that overlap by
-a window less one word, so every window of the reference lies in a shard.  Each
-shard's suffix automaton is built in a task, and the automata are broadcast; documents are
+a window less one word, so every window of the reference lies in a shard.  The
+shards' word hashes are broadcast, every task builds the suffix automata from
+them (about 20 MB of Python objects a shard of 50,000 words), and documents are
 streamed through each of them for matching statistics (the longest suffix of
 what has been read that occurs in the shard), and every maximal span whose match
 reaches ``width`` words is removed.
