@@ -140,6 +140,29 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_any_shape(spark):
+    draw = random.Random(5)
+    for edges in (
+        [(1, 2), (4, 3), (3, 3), (None, 9), (5, None)],  # pairs at once, a loop and missing ends
+        [(9, k) for k in range(10, 40)] + [(1, 39)],  # a hub that is not the smallest, reached through one leaf
+        [(k, (k + 1) % 12) for k in range(12)] + [(2, 1), (1, 2)],  # a cycle, and one link twice
+        [(draw.randrange(60), draw.randrange(60)) for _ in range(45)],
+    ):
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            if a is not None and b is not None and a != b:
+                a, b = sorted((find(a), find(b)))
+                root[b] = a
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == sorted((x, find(x)) for x in list(root))
+
+
 def brute_quality(text):
     text = text or ""
     w = WORD.findall(text)
