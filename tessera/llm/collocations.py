@@ -322,7 +322,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     level = known.select("id", "lang", F.array("word").alias("words"), none.alias("pre"), none.alias("suf"), F.col("n").alias("a"))
     levels = []
     for length in range(2, longest + 1):
-        pairs = _ranked(durable(rows(count_pairs(sequences, least)), "pairs"), "ranks")
+        pairs = _ranked(durable(rows(count_pairs(sequences.select("ids"), least)), "pairs"), "ranks")
         n = pairs.count()
         left, right = (level.select(*[F.col(c).alias(f"{side}_{c}") for c in level.columns]) for side in "lr")
         ends = pairs.select("id", F.shiftright("key", 32).cast("int").alias("x"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("y"), F.col("n").alias("a"))

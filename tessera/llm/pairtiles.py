@@ -146,16 +146,23 @@ def pairs_in(ids: np.ndarray) -> np.ndarray:
     return pair_keys(ids[ok], ids[ok + 1])
 
 
-def count_pairs(sequences: DataFrame, least: int, column: str = "ids") -> DataFrame:
-    """Adjacent pairs met ``least`` times or more in sequences of ids (int32 blobs), as blobs by bucket."""
+def _read_first(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(blob, np.int32) for blob in batch.column(0).to_pylist())
+
+
+def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _read_first) -> DataFrame:
+    """Adjacent pairs met ``least`` times or more in sequences of ids, as blobs by bucket.
+
+    ``read`` takes the sequences from a batch; ``column`` has about four bytes for each id.
+    """
     size = sequences.select(F.sum(F.octet_length(column))).first()[0] or 0
     buckets = n_buckets(size // 4)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gather = Gather(buckets, tile_counts)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield from gather.add(pairs_in(np.frombuffer(blob, np.int32)))
+            for ids in read(batch):
+                yield from gather.add(pairs_in(ids))
         yield from gather.cut()
 
-    return merged(sequences.select(column).mapInArrow(task, BLOBS), least)
+    return merged(sequences.mapInArrow(task, BLOBS), least)
