@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .wordbytes import mix64
 
 SIDE, HEAD, DENSE_PAIRS = 256, 4096, 8192
-FLUSH_KEYS = 2 << 20
+FLUSH_KEYS = 1 << 20
 BUCKET_KEYS = 256 << 10
 
 BLOBS = "bucket long, keys binary, n binary"
