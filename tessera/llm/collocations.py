@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 from pyspark.taskcontext import TaskContext
@@ -47,7 +47,7 @@ from .wordbytes import Words, mix64, words
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Rows of an id table that is broadcast (12 bytes each).
 MAX_LOOKUP = 4 << 20
-_SEQUENCE = 1 << 20
+_SEQUENCE = 1 << 19
 _WORD = "id int, key long, lang string, word string"
 
 
@@ -161,7 +161,7 @@ def _encoded(docs: DataFrame, known) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
-        seen = np.zeros(len(table[0]), dtype=bool)
+        seen = np.zeros(len(table[0]) + 1, dtype=bool)  # -1 is the last
         total: dict[str, int] = {}
         held: list[np.ndarray] = []
         serial = _serials()
@@ -312,6 +312,13 @@ def _next_level(sequences: DataFrame, table: DataFrame, n: int) -> DataFrame:
     return _asked(sequences.mapInArrow(keyed, "flush long, keys binary"), table, n)
 
 
+def lowest_cut() -> Column:
+    """The lowest score of a phrase's cuts, the words before it, and the counts of its two parts; from ``words, pre, suf, a, n``."""
+    whole = "cast({} as decimal(19, 0))"
+    score = f"(1000bd * {whole.format('a')} * {whole.format('n')}) div ({whole.format('pre[k - 1]')} * {whole.format('suf[size(words) - k - 1]')})"
+    return F.expr(f"array_min(transform(sequence(1, size(words) - 1), k -> struct({score} as score, k, pre[k - 1] as l, suf[size(words) - k - 1] as r)))")
+
+
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """All candidates: ``lang``, ``words``, ``a``, ``l``, ``r``, ``n``, ``score``, and ``k``, the words before the cut."""
     text_batches(docs.sparkSession)
@@ -347,10 +354,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    whole = "cast({} as decimal(19, 0))"
-    score = f"(1000bd * {whole.format('a')} * {whole.format('n')}) div ({whole.format('pre[k - 1]')} * {whole.format('suf[size(words) - k - 1]')})"
-    cut = F.expr(f"array_min(transform(sequence(1, size(words) - 1), k -> struct({score} as score, k, pre[k - 1] as l, suf[size(words) - k - 1] as r)))")
-    out = out.join(langs, "lang").withColumn("cut", cut)
+    out = out.join(langs, "lang").withColumn("cut", lowest_cut())
     return out.select("lang", "words", "a", "cut.l", "cut.r", "n", "cut.score", "cut.k")
 
 

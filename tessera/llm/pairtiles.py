@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .wordbytes import mix64
 
 SIDE, HEAD, DENSE_PAIRS = 256, 4096, 8192
-FLUSH_KEYS = 1 << 20
+FLUSH_KEYS = 1 << 19
 BUCKET_KEYS = 256 << 10
 
 BLOBS = "bucket long, keys binary, n binary"
@@ -93,15 +93,15 @@ def blobs(keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> Iterator[pa.Re
 class Gather:
     """Keys of one task, counted and cut into blobs."""
 
-    def __init__(self, buckets: int, count: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] = run_counts) -> None:
-        self.buckets, self.count = buckets, count
+    def __init__(self, buckets: int, count: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] = run_counts, most: int = FLUSH_KEYS) -> None:
+        self.buckets, self.count, self.most = buckets, count, most
         self.keys: list[np.ndarray] = []
         self.held = 0
 
     def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys)
         self.held += len(keys)
-        if self.held >= FLUSH_KEYS:
+        if self.held >= self.most:
             yield from self.cut()
 
     def cut(self) -> Iterator[pa.RecordBatch]:
@@ -150,16 +150,16 @@ def _read_first(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(blob, np.int32) for blob in batch.column(0).to_pylist())
 
 
-def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _read_first) -> DataFrame:
+def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _read_first, most: int = FLUSH_KEYS) -> DataFrame:
     """Adjacent pairs met ``least`` times or more in sequences of ids, as blobs by bucket.
 
-    ``read`` takes the sequences from a batch; ``column`` has about four bytes for each id.
+    ``read`` takes the sequences from a batch; ``column`` has about four bytes for each id; ``most`` keys are gathered.
     """
     size = sequences.select(F.sum(F.octet_length(column))).first()[0] or 0
     buckets = n_buckets(size // 4)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gather = Gather(buckets, tile_counts)
+        gather = Gather(buckets, tile_counts, most)
         for batch in batches:
             for ids in read(batch):
                 yield from gather.add(pairs_in(ids))
