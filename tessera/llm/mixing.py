@@ -17,9 +17,9 @@ ranked within (source, size class, salt); the table of those cells (one per
 below ``spark.sql.autoBroadcastJoinThreshold``.
 
 Defined cases: null or empty text has size 0 and is taken at rate 1 (0 words);
-null source is a source, ordered last; equal rows (id, source and size) get equal
-copies; an empty table gives an empty result; other columns pass through ``mix``
-unless they are named like a result column.
+null source is a source, ordered last; rows of equal id, source and size share the
+copies of all of them, so that each is taken as often as another or once more; an
+empty table gives an empty result; other columns pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 _ONE = 1 << 20  # a rate of 1 in fixed point
 _OFFSETS = 16
 _SALT_ROWS = 20_000
+#: Numbers in an array that repeats a row.
+_BLOCK = 8192
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, share=SHARE, cap: int = CAP) -> dict[str | None, Fraction]:
@@ -101,7 +103,7 @@ def _class(size: Column) -> Column:
 
 
 def copies(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> DataFrame:
-    """From ``(id, source, size)``: a row per distinct one with ``source_size``, ``target`` and ``copies``."""
+    """From ``(id, source, size)``: a row per distinct one with ``source_size`` and ``target``; of its ``m`` rows, ``more`` are taken ``low + 1`` times and the others ``low`` times."""
     spark = sized.sparkSession
     rows = durable(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m")), "sized")
     per = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("words"), F.sum("m").alias("n")).limit(MAX_SOURCES + 1).collect()
@@ -117,7 +119,7 @@ def copies(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> Da
     rate = F.when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(700.0)))))
     rated = rows.join(known, rows["source"].eqNullSafe(known["key"])).select(
         "id", "source", "size", "m", "source_size", "target",
-        F.round(rate * _ONE).cast("long").alias("rate"), _class(F.col("size")).alias("c"),
+        F.round(rate * _ONE).cast("long").alias("each"), (F.round(rate * _ONE).cast("long") * F.col("m")).alias("rate"), _class(F.col("size")).alias("c"),
         F.pmod(F.xxhash64(F.col("id").cast("string"), "size"), F.lit(salts)).alias("b"),
     )
     cells = rated.groupBy("source", "c", "b").agg(F.sum("rate").alias("rate"))
@@ -128,17 +130,18 @@ def copies(sized: DataFrame, weights=WEIGHTS, share=SHARE, cap: int = CAP) -> Da
     start = cells.join(strata, same(cells, strata, ("source", "c"))).select(cells["source"], cells["c"], cells["b"], (cells["base"] + strata["base"]).alias("base"))
     order = W.partitionBy("source", "c", "b").orderBy("size", F.col("id").cast("string"))
     run = rated.withColumn("run", F.sum("rate").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    placed = run.join(start, same(run, start, ("source", "c", "b"))).select(run["id"], run["source"], "size", "m", "source_size", "target", (F.col("base") + F.col("run")).alias("end"), "rate")
+    placed = run.join(start, same(run, start, ("source", "c", "b"))).select(run["id"], run["source"], "size", "m", "source_size", "target", (F.col("base") + F.col("run")).alias("end"), "rate", "each")
     placed = durable(placed, "placed")
 
     def count(offset: Column) -> Column:
         return F.floor((F.col("end") + offset) / _ONE) - F.floor((F.col("end") - F.col("rate") + offset) / _ONE)
 
-    words = F.col("size") * F.col("m")
-    tried = placed.groupBy("source").agg(*[F.sum(words * count(F.lit(j * _ONE // _OFFSETS))).alias(f"w{j}") for j in range(_OFFSETS)]).collect()
+    tried = placed.groupBy("source").agg(*[F.sum(F.col("size") * count(F.lit(j * _ONE // _OFFSETS))).alias(f"w{j}") for j in range(_OFFSETS)]).collect()
     best = [{"key": r[0], "shift": min(range(_OFFSETS), key=lambda j: (abs(r[j + 1] - goals[r[0]]), j)) * _ONE // _OFFSETS} for r in tried]
     shift = _literal(spark, best, "key string, shift bigint")
-    return placed.join(shift, placed["source"].eqNullSafe(shift["key"])).select("id", "source", "size", "m", "source_size", "target", count(F.col("shift")).alias("copies"))
+    low = F.shiftright("each", 20)
+    dealt = placed.join(shift, placed["source"].eqNullSafe(shift["key"])).withColumn("low", low)
+    return dealt.select("id", "source", "size", "m", "source_size", "target", "low", (count(F.col("shift")) - F.col("low") * F.col("m")).alias("more"))
 
 
 def word_count(text: Column) -> Column:
@@ -149,19 +152,49 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """One row per document: id, ``size``, ``source_size``, ``target``, ``copies``, ``taken``."""
     sized = docs.select(docs[f"`{id_col}`"].alias("id"), docs[f"`{source_col}`"].cast("string").alias("source"), word_count(docs[f"`{text_col}`"]).alias("size"))
     out = copies(sized, **options)
-    each = F.explode(F.sequence(F.lit(1), F.col("m")))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), each.alias("__i")).drop("__i")
+    parts = F.inline(F.array(F.struct((F.col("low") + 1).alias("copies"), F.col("more").alias("times")), F.struct(F.col("low").alias("copies"), (F.col("m") - F.col("more")).alias("times"))))
+    out = _repeated(out.select("id", "size", "source_size", "target", parts), F.col("times")).drop("times")
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Every row ``times`` times; no row holds more than a block of numbers, whatever ``times`` is."""
+    whole = F.ceil(times / _BLOCK).cast("long")
+    blocks = df.withColumn("__times", times).where("__times > 0").withColumn("__block", F.explode(F.sequence(F.lit(1).cast("long"), whole)))
+    left = F.least(F.lit(_BLOCK).cast("long"), F.col("__times") - (F.col("__block") - 1) * _BLOCK)
+    return blocks.withColumn("__one", F.explode(F.sequence(F.lit(1).cast("long"), left))).drop("__times", "__block", "__one")
+
+
+def _ranked_equals(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``place`` among those of equal id, source and size, without a task that holds a whole group.
+
+    The rows are stored with their partition; a place is that within the
+    partition and the counts of the partitions before.
+    """
+    keys = ["__id", "__source", "__size"]
+    at = F.monotonically_increasing_id()
+    kept = durable(rows.select("*", F.shiftright(at, 33).alias("__part"), at.alias("__at")), "equals")
+    counts = kept.groupBy(*keys, "__part").count()
+    counts = counts.select(*[F.col(k).alias(f"b{k}") for k in keys], F.col("__part").alias("b_part"), (F.sum("count").over(W.partitionBy(*keys).orderBy("__part")) - F.col("count")).alias("before"))
+    same = [F.col(k).eqNullSafe(F.col(f"b{k}")) for k in keys]
+    both = kept.join(counts, [*same, F.col("__part") == F.col("b_part")])
+    return both.withColumn("place", F.col("before") + F.row_number().over(W.partitionBy(*keys, "__part").orderBy("__at")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it."""
     keys = {"__id": docs[f"`{id_col}`"], "__source": docs[f"`{source_col}`"].cast("string"), "__size": word_count(docs[f"`{text_col}`"])}
     sized = docs.select(*[c.alias(k[2:]) for k, c in keys.items()])
-    out = copies(sized, **options).where("copies > 0").select("id", "source", "size", "copies")
+    out = copies(sized, **options).where("low > 0 or more > 0").select("id", "source", "size", "m", "low", "more")
     keyed = docs.withColumns(keys)
-    both = keyed.join(out, keyed["__id"].eqNullSafe(out["id"]) & keyed["__source"].eqNullSafe(out["source"]) & (keyed["__size"] == out["size"]))
-    each = F.explode(F.sequence(F.lit(1), out["copies"])).alias("__copy")
-    return both.select(*[keyed[f"`{c}`"] for c in docs.columns], each).drop("__copy")
+    same = lambda t: keyed["__id"].eqNullSafe(t["id"]) & keyed["__source"].eqNullSafe(t["source"]) & (keyed["__size"] == t["size"])
+    alike, split = out.where("more = 0 or more = m"), out.where("more > 0 and more < m")
+    taken = F.col("low") + (F.col("more") > 0).cast("long")
+    whole = keyed.join(alike, same(alike)).select(*[keyed[f"`{c}`"] for c in docs.columns], taken.alias("__copies"))
+    if not split.isEmpty():
+        some = _ranked_equals(keyed.join(split, same(split)).select(*[keyed[f"`{c}`"] for c in keyed.columns], "low", "more"))
+        whole = whole.unionAll(some.select(*[F.col(f"`{c}`") for c in docs.columns], (F.col("low") + (F.col("place") <= F.col("more")).cast("long")).alias("__copies")))
+    return _repeated(whole, F.col("__copies")).drop("__copies")
 
 
 def op2_entropy_balancing(spark, sf_dir: str) -> DataFrame:

@@ -227,6 +227,42 @@ def test_mixture(spark):
     assert mixing.mixture(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def near_targets(rows):
+    """Words taken of each source against its target, within one document or one in a hundred."""
+    by = {}
+    for source, size, taken, target in rows:
+        held = by.setdefault(source, [0, target, 0])
+        held[0] += taken
+        held[2] = max(held[2], size)
+    return all(abs(got - target) <= max(size, target / 100) for got, target, size in by.values())
+
+
+@pytest.mark.parametrize("case", ["no ids, one size", "one id on a third", "two texts of one id"])
+def test_targets_hold_for_equal_rows(spark, monkeypatch, case):
+    monkeypatch.setattr(mixing, "_BLOCK", 64)
+    if case == "no ids, one size":
+        data = [(None, "a " * 10, "s") for _ in range(300)] + [(i, "b " * 7, "t") for i in range(90)]
+    elif case == "one id on a third":
+        data = [(0, "a " * 10, "s") for _ in range(200)] + [(i, "b " * (i % 9), "st"[i % 2]) for i in range(1, 400)]
+    else:
+        data = [(5, f"x{i} " * 4, "s") for i in range(150)] + [(6, "q " * 3, "t")] * 31
+    df = make(spark, data, "doc_id long, text string, source string").repartition(4)
+    source_of = {(i, len(t.split())): s for i, t, s in data}
+    out = mixing.mixture(df).collect()
+    assert Counter(r.doc_id for r in out) == Counter(i for i, _, _ in data)
+    assert near_targets([(source_of[r.doc_id, r["size"]], r["size"], r.taken, r.target) for r in out]) and all(r.taken <= 2 * r["size"] for r in out)
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mixture(df).collect()))
+    mixed = mixing.mix(df).collect()
+    assert Counter(map(tuple, mixed)).keys() <= Counter(data).keys()
+    taken = Counter()
+    for r in out:
+        taken[r.doc_id, r["size"]] += r.copies
+    assert Counter((i, len(t.split())) for i, t, _ in map(tuple, mixed)) == +taken
+    if case == "two texts of one id":
+        assert max(Counter(t for _, t, _ in map(tuple, mixed) if t.startswith("x")).values()) <= 2
+    assert not any("sequence(1, m" in str(x._jdf.queryExecution()) for x in (mixing.mixture(df),))
+
+
 def test_mixture_is_native(spark, monkeypatch, tmp_path):
     made = make(spark, [(i, "a b c", "s") for i in range(40)] + [(99, "a", "t")], "doc_id long, text string, source string")
     made.write.parquet(str(tmp_path / "d"))
