@@ -1,29 +1,35 @@
 """Legacy archives to WARC.
 
-``arc_records`` writes pages as ARC records (version 1 or 2 header line, declared
-length, HTTP response), ``parse_arc`` reads such archives by their
-version-specific header lines and declared lengths, and ``to_warc`` turns each
-record into an equivalent WARC record with a synthesised identifier, timestamp,
-type and digest.  A payload met before becomes a revisit of the record with the
-smallest page id.
-
-Archives are written and read by Spark: the records of a file are one UTF-8 text
-whose line separator is the blank line that ends a WARC record, so
-``write_archives`` makes standard (gzipped) WARC files on any file system Spark
-knows, and ``read_archives`` splits them by declared content lengths.  A file
-ends with the record that fills it: it holds ``FILE_BYTES`` and one record at
-most before packing.
+``read_arc`` reads ARC archives, plain or gzipped (one or many members), of
+version 1 or 2, by their version-specific header lines and declared lengths.
+``convert_archives`` turns them into WARC files: each record becomes an
+equivalent WARC record with a synthesised identifier, timestamp, type and digest.
+For pages of a table, ``warc_records`` and ``write_archives`` write ARC archives
+in memory and convert those.  A payload met before becomes a revisit of the
+record with the smallest id.  Records are bytes from end to end.
+
+Archives are written and read by Spark: the records of a file are one row of a
+text sink whose line separator is the blank line that ends a WARC record, so
+``write_archives`` makes WARC files (each one gzip member) on any file system
+Spark knows, and ``read_archives`` splits them by declared content lengths.  A
+file ends with the record that fills it: it holds ``FILE_BYTES`` and one record
+at most before packing.
 
 Payloads that several pages share are found by digest and length; only their
 first pages are joined back, by broadcast up to ``MOST_BROADCAST_ROWS`` of them
-(60 MB), else by a salted shuffle, so a payload of a third of all pages is split.
+(their ids and urls, with ``MOST_BROADCAST_BYTES`` in all at most), else by a
+salted shuffle, so a payload of a third of all pages is split.
 
 Defined cases: null html is an empty payload, null url is ``about:blank``;
 white space in a url is percent-encoded; equal payloads with the same smallest
-id are all responses; a null id comes after all others; ids may be of any type,
-and repeated with other urls or payloads (a record's identifier has its payload's
-digest); pages of any length are kept whole, each a file of its own at least from
-``FILE_BYTES`` on; other columns take no part.
+id are all responses; a null id comes after all others; ids may be of any type
+and hold any characters (they are percent-encoded in a header, which a null id
+lacks), and repeated with other urls or payloads (a record's identifier has its
+payload's digest); pages of any length are kept whole, each a file of its own at
+least from ``FILE_BYTES`` on; other columns take no part.  In archives, blank
+lines between records are passed over, spaces in a url belong to it, header lines
+that are no UTF-8 are read as Latin-1, a last record shorter than declared is
+kept as it is, and a damaged header line raises an error.
 """
 
 from __future__ import annotations
@@ -32,6 +38,7 @@ import base64
 import gzip
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +49,7 @@ from .durable import durable, fresh_path, text_batches
 CRAWL_DATE = "20240101000000"
 FILE_BYTES = 16 << 20
 ARC_BYTES = 1 << 20
-MOST_BROADCAST_ROWS = 300_000
+MOST_BROADCAST_ROWS, MOST_BROADCAST_BYTES = 300_000, 64 << 20
 _SALTS = 32
 
 #: The fields of an ARC record line by version of the archive.
@@ -66,23 +73,38 @@ def arc_record(version: int, url: str, block: bytes, date: str = CRAWL_DATE, off
     return line.encode() + b"\n" + block + b"\n"
 
 
+def _text(line: bytes) -> str:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
+def _line_end(data: bytes, at: int) -> int:
+    end = data.find(b"\n", at)
+    return len(data) if end < 0 else end
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """``(fields, block)`` of every record of an ARC archive after its version block."""
-    end = data.index(b"\n")
-    first = data[:end].decode().split(" ")
-    length = int(first[-1])
+    """``(fields, block)`` of every record of an ARC archive after its version block; ``fields`` has the ``version``, too."""
+    end = _line_end(data, 0)
+    length = int(_text(data[:end]).split(" ")[-1])
     body = data[end + 1 : end + 1 + length]
     version = int(body.split(b" ", 1)[0])
-    fields, at = ARC_FIELDS[version], end + 1 + length + 1
+    names, at = ARC_FIELDS[version], end + 1 + length
     while at < len(data):
-        end = data.index(b"\n", at)
-        values = data[at:end].decode().split(" ")
-        if len(values) != len(fields):
-            raise ValueError(f"an ARC version {version} record line has {len(fields)} fields, not {len(values)}")
-        record = dict(zip(fields, values))
-        length = int(record["length"])
-        yield record, data[end + 1 : end + 1 + length]
-        at = end + 1 + length + 1
+        if data[at : at + 1] in (b"\n", b"\r"):
+            at += 1
+            continue
+        end = _line_end(data, at)
+        values = _text(data[at:end]).rstrip("\r").split(" ")
+        spare = len(values) - len(names)
+        if spare < 0 or not values[-1].isdigit():
+            raise ValueError(f"no ARC version {version} record line at byte {at}: {len(values)} fields of {len(names)}")
+        fields = dict(zip(names, [" ".join(values[: spare + 1]), *values[spare + 1 :]])) | {"version": str(version)}
+        length = int(fields["length"])
+        yield fields, data[end + 1 : end + 1 + length]
+        at = end + 1 + length
 
 
 def _uuid(hexadecimal: str) -> str:
@@ -90,13 +112,15 @@ def _uuid(hexadecimal: str) -> str:
     return f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:32]}"
 
 
-def record_id(url: str, date: str, page: str, sha: str) -> str:
+def record_id(url: str, date: str, page: str | None, sha: str) -> str:
     """Of a record by all it is told apart by; ``sha``: the SHA-1 of its payload in hexadecimal."""
-    return _uuid(hashlib.md5(f"{url} {date} {page} {sha}".encode()).hexdigest())
+    own = "" if page is None else f"={page}"
+    return _uuid(hashlib.md5(f"{url} {date} {own} {sha}".encode()).hexdigest())
 
 
-def _record_id_column(url: Column, date: str, page: Column, sha: Column) -> Column:
-    h = F.md5(F.concat_ws(" ", url, F.lit(date), page, sha).cast("binary"))
+def _record_id_column(url: Column, date: Column, page: Column, sha: Column) -> Column:
+    own = F.coalesce(F.concat(F.lit("="), page.cast("string")), F.lit(""))
+    h = F.md5(F.concat_ws(" ", url, date, own, sha).cast("binary"))
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
@@ -109,23 +133,35 @@ def _http_fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if x)}
 
 
-def to_warc(fields: dict[str, str], block: bytes, refers_to: str | None) -> str:
-    """The WARC record (without the blank line that ends it) of an ARC record."""
-    head, _, payload = block.partition(b"\r\n\r\n")
-    page = _http_fields(head).get("x-page-id", "")
-    d = fields["date"]
+def _page_id(http: dict[str, str]) -> str | None:
+    return unquote(http["x-page-id"]) if "x-page-id" in http else None
+
+
+def _payload(block: bytes) -> bytes:
+    """What follows the HTTP headers of a block; all of a block without any."""
+    return block.partition(b"\r\n\r\n")[2] if block.startswith(b"HTTP/") else block
+
+
+def to_warc(fields: dict[str, str], block: bytes, refers_to: str | None, page: str | None = None) -> bytes:
+    """The WARC record (without the blank line that ends it) of an ARC record; ``page``: what tells it apart, if its HTTP headers don't say."""
+    http = block.startswith(b"HTTP/")
+    payload = _payload(block)
+    head = block[: len(block) - len(payload)] if http else b""
+    page = _page_id(_http_fields(head)) if page is None else page
+    d = (fields["date"] + "00000000000000")[:14]
+    kind, content = ("response", "application/http; msgtype=response") if http else ("resource", fields["content_type"])
     lines = [
-        "WARC/1.0", f"WARC-Type: {'revisit' if refers_to else 'response'}", f"WARC-Target-URI: {fields['url']}",
+        "WARC/1.0", f"WARC-Type: {'revisit' if refers_to else kind}", f"WARC-Target-URI: {fields['url']}",
         f"WARC-Date: {d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z", f"WARC-IP-Address: {fields['ip']}",
-        f"WARC-Record-ID: <urn:uuid:{record_id(fields['url'], d, page, hashlib.sha1(payload).hexdigest())}>", f"WARC-Payload-Digest: sha1:{digest(payload)}",
-        "Content-Type: application/http; msgtype=response",
+        f"WARC-Record-ID: <urn:uuid:{record_id(fields['url'], fields['date'], page, hashlib.sha1(payload).hexdigest())}>", f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"Content-Type: {content}",
     ]
     body = block
     if refers_to:
-        body = head + b"\r\n\r\n"
+        body = head
         lines += [f"WARC-Refers-To: <urn:uuid:{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     lines.append(f"Content-Length: {len(body)}")
-    return "\r\n".join(lines) + "\r\n\r\n" + body.decode()
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -133,7 +169,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
+        lines = _text(data[at:end]).split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -142,7 +178,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + length + 4
 
 
-def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
+def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
     """Pages through ARC archives of about a megabyte to WARC records; the version alternates."""
     version = 1
     for batch in batches:
@@ -152,8 +188,8 @@ def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
             arc, owner = [arc_header(version)], []
             size = 0
             while at < batch.num_rows and size < ARC_BYTES:
-                head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {pages[at].as_py()}\r\n\r\n"
-                block = head.encode() + htmls[at].as_py().encode()
+                own = "" if pages[at].as_py() is None else f"X-Page-Id: {quote(pages[at].as_py(), safe='')}\r\n"
+                block = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}\r\n".encode() + htmls[at].as_py().encode()
                 arc.append(arc_record(version, urls[at].as_py(), block, offset=size))
                 owner.append(refs[at].as_py())
                 size += len(arc[-1])
@@ -165,46 +201,100 @@ def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
 
 def _first_pages(rows: DataFrame, least_bytes: int) -> DataFrame:
     """Of payloads that more than one page has: digest, length and the first page."""
-    key = F.struct(F.col("id").isNull().alias("last"), "id", "url")
+    key = F.struct(F.col("id").isNull().alias("last"), "id", "url", "date")
     shared = rows.where(F.col("bytes") >= least_bytes).groupBy("sha", "bytes").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return durable(shared.select(F.col("sha").alias("first_sha"), F.col("bytes").alias("size"), "first"), "payloads")
 
 
-def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
-    """``(id, url, html, refers)`` a page, ready to be written.  Equal payloads of at least ``least_bytes`` revisit the one with the smallest id."""
-    html = F.coalesce(pages[f"`{html_col}`"], F.lit(""))
-    url = F.regexp_replace(F.coalesce(pages[f"`{url_col}`"], F.lit("about:blank")), r"\s", "%20")
-    rows = pages.select(pages[f"`{id_col}`"].alias("id"), F.when(url == "", "about:blank").otherwise(url).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("bytes"))
+def _with_revisits(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """``rows`` (``id, url, date, sha, bytes`` and others) with ``refers``, the identifier of the first record with the payload, null for itself."""
     first = _first_pages(rows, least_bytes)
     same = (F.col("sha") == F.col("first_sha")) & (F.col("bytes") == F.col("size"))
-    if first.count() <= MOST_BROADCAST_ROWS:
+    n, size = first.agg(F.count(F.lit(1)), F.sum(F.octet_length("first.url") + F.coalesce(F.octet_length(F.col("first.id").cast("string")), F.lit(0)))).first()
+    if n <= MOST_BROADCAST_ROWS and (size or 0) <= MOST_BROADCAST_BYTES:
         both = rows.join(F.broadcast(first), same, "left")
     else:
         salted = first.withColumn("first_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         both = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(_SALTS))).join(salted, same & (F.col("salt") == F.col("first_salt")), "left")
-    page = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     later = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
-    refers = F.when(later, _record_id_column(F.col("first.url"), CRAWL_DATE, page(F.col("first.id")), F.col("sha")))
-    return both.select(page(F.col("id")).alias("id"), "url", "html", refers.alias("refers"))
+    return both.withColumn("refers", F.when(later, _record_id_column(F.col("first.url"), F.col("first.date"), F.col("first.id"), F.col("sha"))))
+
+
+def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
+    """``(id, url, html, refers)`` a page, ready to be written.  Equal payloads of at least ``least_bytes`` revisit the one with the smallest id."""
+    html = F.coalesce(pages[f"`{html_col}`"], F.lit(""))
+    url = F.regexp_replace(F.coalesce(pages[f"`{url_col}`"], F.lit("about:blank")), r"\s", "%20")
+    rows = pages.select(
+        pages[f"`{id_col}`"].alias("id"), F.when(url == "", "about:blank").otherwise(url).alias("url"), F.lit(CRAWL_DATE).alias("date"), html.alias("html"),
+        F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("bytes"),
+    )
+    return _with_revisits(rows, least_bytes).select(F.col("id").cast("string").alias("id"), "url", "html", "refers")
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """A row per record of the ARC archives under ``path``: archive, place (from 0), version, url, ip, date, content_type, block (bytes), and its payload's SHA-1 and length.
+
+    An archive is read whole by one task, as its gzip members are; archives are split by file.
+    """
+    names = ("url", "ip", "date", "content_type")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = cell.as_py()
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                for place, (fields, block) in enumerate(parse_arc(data) if data else ()):
+                    payload = _payload(block)
+                    columns = [pa.array([name]), pa.array([place], pa.int64()), pa.array([int(fields["version"])], pa.int32()), *(pa.array([fields[n]]) for n in names), pa.array([block], pa.binary())]
+                    columns += [pa.array([hashlib.sha1(payload).hexdigest()]), pa.array([len(payload)], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["archive", "place", "version", *names, "block", "sha", "bytes"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, "archive string, place long, version int, url string, ip string, date string, content_type string, block binary, sha string, bytes long")
+
+
+def convert_archives(spark: SparkSession, source: str, target: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
+    """ARC archives under ``source`` as WARC files under ``target``.
+
+    A record is told apart by its archive's name and its place there; of equal
+    payloads of ``least_bytes`` or more the first in that order stays, the others
+    revisit it.  What is no HTTP response becomes a ``resource``.
+    """
+    text_batches(spark)
+    records = durable(read_arc(spark, source), "arc")
+    name = F.concat(F.element_at(F.split("archive", "/"), -1), F.lit("#"), F.lpad(F.col("place").cast("string"), 12, "0"))
+    rows = records.select(name.alias("id"), "url", "date", "ip", "content_type", "block", "sha", "bytes")
+
+    def warcs(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield to_warc(row, row["block"], row["refers"], row["id"])
+
+    _write(_with_revisits(rows, least_bytes).select("id", "url", "date", "ip", "content_type", "block", "refers"), warcs, target, file_bytes)
 
 
 def write_archives(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """Gzipped WARC files under ``path``, each of ``file_bytes`` and one record at most before packing."""
     text_batches(records.sparkSession)
+    _write(records, _converted, path, file_bytes)
+
 
+def _write(records: DataFrame, convert, path: str, file_bytes: int) -> None:
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
+        held: list[bytes] = []
         size = 0
-        for record in _converted(batches):
+        for record in convert(batches):
             held.append(record)
-            size += len(record.encode())
+            size += len(record)
             if size >= file_bytes:
-                yield pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(held)], pa.string())], names=["value"])
+                yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["value"])
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(["\r\n\r\n".join(held)], pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(held)], pa.binary())], names=["value"])
 
-    records.mapInArrow(files, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    # A cast of bytes to text leaves them as they are, and so does the sink.
+    made = records.mapInArrow(files, "value binary").select(F.col("value").cast("string").alias("value"))
+    made.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -215,11 +305,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
             for cell in batch.column(0):
                 rows = []
                 for headers, block in parse_warc(gzip.decompress(cell.as_py())):
-                    head, _, payload = block.partition(b"\r\n\r\n")
                     own = headers["warc-type"] != "revisit"
+                    head, _, payload = (b"", b"", block) if headers["warc-type"] == "resource" else block.partition(b"\r\n\r\n")
                     ident = lambda v: v and v.removeprefix("<urn:uuid:").removesuffix(">")
                     rows.append((
-                        ident(headers["warc-record-id"]), headers["warc-type"], _http_fields(head).get("x-page-id", "") or None, headers["warc-target-uri"],
+                        ident(headers["warc-record-id"]), headers["warc-type"], _page_id(_http_fields(head)), headers["warc-target-uri"],
                         len(payload) if own else None, digest(payload) if own else None, headers["warc-payload-digest"].removeprefix("sha1:"), ident(headers.get("warc-refers-to")),
                     ))
                 columns = list(zip(*rows)) or [()] * 8

@@ -256,7 +256,7 @@ def test_arc_records(version):
     data = warc.arc_header(version) + b"".join(warc.arc_record(version, f"http://x/{i}", b) for i, b in enumerate(blocks))
     got = list(warc.parse_arc(data))
     assert [b for _, b in got] == blocks and [f["url"] for f, _ in got] == [f"http://x/{i}" for i in range(3)]
-    head, _, body = warc.to_warc(*got[2], None).encode().partition(b"\r\n\r\n")
+    head, _, body = warc.to_warc(*got[2], None).partition(b"\r\n\r\n")
     assert body == blocks[2] and f"Content-Length: {len(body)}".encode() in head and b"WARC-Date: 2024-01-01T00:00:00Z" in head
     with pytest.raises(ValueError):
         list(warc.parse_arc(warc.arc_header(version) + b"http://x 1 2\n"))
@@ -311,6 +311,54 @@ def test_files_are_cut_by_bytes(spark, monkeypatch):
     assert {r.page_id: r.payload_bytes for r in got} == {i: (i % 7) * 6000 for i in range(80)} | {900: 50_000_000}
 
 
+@pytest.mark.parametrize("broadcast", [300_000, 0])
+def test_page_ids_may_hold_anything(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST_ROWS", broadcast)
+    ids = [" a", "b ", "c", "d\r\ne", "", "é%20", "x: y", None]
+    pages = spark.createDataFrame([(i, "u", "same") for i in ids] + [("z", "u", "own")], "page_id string, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in by_page(spark, pages)[1]}
+    assert got == {i: (4, "revisit", "") for i in ids if i != ""} | {"": (4, "response", None), "z": (3, "response", None)}
+
+
+PNG = b"\x89PNG\r\n\x1a\n" + bytes(range(256)) * 3
+
+
+def legacy(version, extra=b""):
+    """An archive with an image, a page in Latin-1, a record that is no HTTP response, an url with spaces, and blank lines."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: x\r\n\r\n"
+    records = [("http://x/a.png", http + PNG), ("http://x/b c", http + "é".encode("latin-1")), ("dns:x", b"20240101 x. IN A 1.2.3.4\n"), ("http://x/again", http + PNG), ("http://x/none", http)]
+    return records, warc.arc_header(version) + b"".join(warc.arc_record(version, u, b) + extra for u, b in records)
+
+
+@pytest.mark.parametrize("version", [1, 2])
+@pytest.mark.parametrize("packed", ["plain", "gzip", "members"])
+def test_real_archives_are_converted(spark, tmp_path, version, packed):
+    records, data = legacy(version, b"\n")
+    name = "old.arc" + ("" if packed == "plain" else ".gz")
+    cut = data.index(b"http://x/b c")
+    (tmp_path / name).write_bytes({"plain": data + b"\n\n", "gzip": gzip.compress(data), "members": gzip.compress(data[:cut]) + gzip.compress(data[cut:])}[packed])
+    (tmp_path / "empty.arc").write_bytes(b"")
+    got = sorted(warc.read_arc(spark, f"file://{tmp_path}").collect(), key=lambda r: r.place)
+    assert [(r.url, bytes(r.block)) for r in got] == records and {r.version for r in got} == {version}
+    path = fresh_path(spark, "warc")
+    warc.convert_archives(spark, f"file://{tmp_path}", path, file_bytes=1)
+    back = {r.target_uri: r for r in warc.read_archives(spark, path).collect()}
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    whole = {u: warc._payload(b) for u, b in records}
+    assert {u: r.stored_digest for u, r in back.items()} == {u: sha(b) for u, b in whole.items()}
+    assert {u: r.record_type for u, r in back.items()} == {"http://x/a.png": "response", "http://x/b c": "response", "dns:x": "resource", "http://x/again": "revisit", "http://x/none": "response"}
+    assert back["http://x/again"].refers_to_id == back["http://x/a.png"].record_id and len({r.record_id for r in back.values()}) == 5
+    assert {u: (r.payload_bytes, r.payload_digest) for u, r in back.items() if r.record_type != "revisit"} == {u: (len(b), sha(b)) for u, b in whole.items() if u != "http://x/again"}
+
+
+def test_damaged_archives(tmp_path):
+    _, data = legacy(1)
+    assert [len(b) for _, b in warc.parse_arc(data[:-20])][:4] == [len(b) for _, b in warc.parse_arc(data)][:4]
+    assert list(warc.parse_arc(warc.arc_header(2))) == []
+    with pytest.raises(ValueError):
+        list(warc.parse_arc(data + b"http://x/ 0.0.0.0 20240101000000 text/html many\n"))
+
+
 def brute_allocate(token_ends, section_ends):
     out, a = [], 0
     for b in token_ends:
