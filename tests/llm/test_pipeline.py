@@ -77,3 +77,38 @@ def test_registration():
     for n in range(1, 11):
         assert len([q for q in names if q.startswith(f"op{n}_")]) == 1
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def table(spark, folder, n=60, **more):
+    rng = random.Random(5)
+    data = [(i, " ".join(prose(lang := rng.choice(list(SYLLABLES)), rng, rng.randrange(20, 60))), lang, f"s{i % 3}", 0) for i in range(n)]
+    made = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for k, name in enumerate(EXTRA if more.get("extra") else ()):
+        made = made.withColumn(name, (made["doc_id"] * 1000 + k).cast("string") if k % 2 else made["doc_id"] * 1000 + k)
+    made.write.parquet(f"{folder}/documents.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+EXTRA = ["score", "lang_pred", "k1", "k2", "n_words", "n_removed", "size", "copies", "row", "a.b c", "id", "removed_spans", "__d1"]
+
+
+def test_columns_of_the_input_are_kept(spark, tmp_path):
+    docs = table(spark, tmp_path, extra=True)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [t for _, t in out.dtypes] == [t for _, t in docs.dtypes]
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    got = docs.collect()
+    assert len(got) >= 60
+    for r in got:
+        assert [r[c] for c in EXTRA] == [str(r.doc_id * 1000 + k) if k % 2 else r.doc_id * 1000 + k for k in range(len(EXTRA))]
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table(spark, tmp_path)
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.map(lambda _: sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())), range(2))
+    assert a == b and len(a) > 30 and not corpus_pipeline._held.keys() - {k for k in corpus_pipeline._held if isinstance(k, tuple)}
