@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -41,14 +42,17 @@ from pyspark.taskcontext import TaskContext
 
 from ..operators.rowid import assign_row_id
 from .durable import durable, text_batches
-from .pairtiles import BLOBS, Gather, count_pairs, merged, n_buckets, pairs_in, rows
+from .pairtiles import BLOBS, Gather, bucket_of, count_pairs, merged, n_buckets, pairs_in, rows
 from .wordbytes import Words, mix64, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
+_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Rows of an id table that is broadcast (12 bytes each).
 MAX_LOOKUP = 4 << 20
 _SEQUENCE = 1 << 19
-_WORD = "id int, key long, lang string, word string"
+#: Names of words that a task holds before it sends them.
+_NAMES = 1 << 16
+_ROWS = "flush long, ids binary, bucket long, langs array<string>, words array<string>"
 
 
 def _masks() -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +143,57 @@ def _runs(ids: np.ndarray) -> np.ndarray:
     return ids[use]
 
 
-def _sequence_rows(serial: Iterator[int], ids: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array([next(serial)], pa.int64()), pa.array([ids.tobytes()], pa.binary())]
-    return pa.RecordBatch.from_arrays([*columns, *(pa.nulls(1, t) for t in (pa.int32(), pa.int64(), pa.string(), pa.string()))], names=["flush", "ids", "id", "key", "lang", "word"])
+def _row(flush: int | None, ids: np.ndarray, bucket: int | None = None, langs: list[str] | None = None, texts: list[str] | None = None) -> pa.RecordBatch:
+    """A sequence (``flush``), names of words by bucket, or the words of each language in all (``bucket`` -1)."""
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()))
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((flush, ids.tobytes(), bucket, langs, texts), kinds)], names=["flush", "ids", "bucket", "langs", "words"])
+
+
+class _Names:
+    """Language and text of the words that a task meets, sent to buckets by key."""
+
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
+        self.held: dict[int, tuple[str, str]] = {}
+
+    def add(self, keys: np.ndarray, langs: list[str], texts: list[str]) -> Iterator[pa.RecordBatch]:
+        self.held.update(zip(keys.tolist(), zip(langs, texts)))
+        if len(self.held) >= _NAMES:
+            yield from self.cut()
+
+    def cut(self) -> Iterator[pa.RecordBatch]:
+        keys = np.array(list(self.held), dtype=np.int64)
+        names = list(self.held.values())
+        self.held = {}
+        where = bucket_of(keys, self.buckets)
+        order = np.argsort(where, kind="stable")
+        edges = np.flatnonzero(np.diff(where[order], prepend=-1))
+        for lo, hi in zip(edges, [*edges[1:], len(order)]):
+            own = order[lo:hi]
+            yield _row(None, keys[own], int(where[own[0]]), [names[i][0] for i in own], [names[i][1].translate(_LOWER) for i in own])
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """``(key, lang, word)`` of every word, once."""
+
+    def once(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(k, np.int64) for k in table["ids"].to_pylist()])
+        first = np.unique(keys, return_index=True)[1]
+        langs, texts = (pc.list_flatten(table[c]) for c in ("langs", "words"))
+        return pa.table({"key": pa.array(keys[first]), "lang": langs.take(pa.array(first)), "word": texts.take(pa.array(first))})
+
+    return rows.where("bucket >= 0").select("bucket", "ids", "langs", "words").groupBy("bucket").applyInArrow(once, "key long, lang string, word string")
+
+
+def _totals(rows: DataFrame) -> DataFrame:
+    """``(lang, n)``: the words of each language in all."""
+
+    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob, langs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.frombuffer(blob, np.int64))], names=["lang", "n"])
+
+    return rows.where("bucket = -1").select("ids", "langs").mapInArrow(open_, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _serials() -> Iterator[int]:
@@ -156,36 +208,43 @@ def _key_gaps(keys: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     return np.insert(keys, np.flatnonzero(fresh), -1)
 
 
-def _encoded(docs: DataFrame, known) -> DataFrame:
-    """Sequences of word ids; and once per task and word its id, language and text; and per task and language the words in all (``word`` null)."""
+def _encoded(docs: DataFrame, known, buckets: int) -> DataFrame:
+    """Sequences of word ids; and once per task the names of its words and the words of each language in all."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
         seen = np.zeros(len(table[0]) + 1, dtype=bool)  # -1 is the last
         total: dict[str, int] = {}
         held: list[np.ndarray] = []
-        serial = _serials()
+        serial, names = _serials(), _Names(buckets)
         for langs, _, part, fresh, keys in _batches(batches):
-            for row, n in enumerate(np.diff(part.ptr).tolist(), part.first):
-                total[langs[row]] = total.get(langs[row], 0) + n
+            _add_up(total, langs, part)
             ids = _find(keys, table)
             new = np.flatnonzero((ids >= 0) & ~seen[ids])
-            first = np.unique(ids[new], return_index=True)[1] if len(new) else new
-            new = new[first]
+            new = new[np.unique(ids[new], return_index=True)[1]]
             seen[ids[new]] = True
-            if len(new):
-                of = np.searchsorted(part.ptr, new, side="right") - 1 + part.first
-                texts = [bytes(part.data[part.starts[i] : part.ends[i]]).decode() for i in new]
-                yield _named(ids[new], keys[new], [langs[r] for r in of], texts)
+            yield from names.add(keys[new], *_texts(part, new, langs))
             held.append(_runs(_key_gaps(ids, fresh)))
             if sum(map(len, held)) >= _SEQUENCE:
-                yield _sequence_rows(serial, _joined(held))
+                yield _row(next(serial), _joined(held))
                 held = []
         if held:
-            yield _sequence_rows(serial, _joined(held))
-        yield _named(np.zeros(len(total), np.int32), np.array(list(total.values()), np.int64), list(total), [None] * len(total))
+            yield _row(next(serial), _joined(held))
+        yield from names.cut()
+        yield _row(None, np.array(list(total.values()), np.int64), -1, list(total))
+
+    return docs.mapInArrow(task, _ROWS)
 
-    return docs.mapInArrow(task, f"flush long, ids binary, {_WORD}")
+
+def _add_up(total: dict[str, int], langs: list[str], part: Words) -> None:
+    for row, n in enumerate(np.diff(part.ptr).tolist(), part.first):
+        total[langs[row]] = total.get(langs[row], 0) + n
+
+
+def _texts(part: Words, at: np.ndarray, langs: list[str]) -> tuple[list[str], list[str]]:
+    """Language and text of some words of a slice."""
+    of = np.searchsorted(part.ptr, at, side="right") - 1 + part.first
+    return [langs[r] for r in of], [bytes(part.data[part.starts[i] : part.ends[i]]).decode() for i in at]
 
 
 def _joined(held: list[np.ndarray]) -> np.ndarray:
@@ -193,15 +252,6 @@ def _joined(held: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x for part in held for x in (part, gap)]).astype(np.int32)
 
 
-def _named(ids: np.ndarray, keys: np.ndarray, langs: list[str], texts: list[str | None]) -> pa.RecordBatch:
-    lower = [t and "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in texts]
-    n = len(langs)
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(ids, pa.int32()), pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(lower, pa.string())],
-        names=["flush", "ids", "id", "key", "lang", "word"],
-    )
-
-
 def _rewritten(sequences: DataFrame, known) -> DataFrame:
     """Sequences in the ids of adjacent pairs."""
 
@@ -266,38 +316,35 @@ def _asked(sequences: DataFrame, table: DataFrame, n: int) -> DataFrame:
     return sequences.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(back, "flush long, ids binary")
 
 
-def _keyed_texts(docs: DataFrame) -> DataFrame:
-    """Sequences of word keys; the words of each task's slices; and per task and language the words in all."""
+def _keyed_texts(docs: DataFrame, buckets: int) -> DataFrame:
+    """Sequences of word keys; the names of each task's words; and per task the words of each language in all."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
-        serial = _serials()
+        serial, names = _serials(), _Names(buckets)
         for langs, _, part, fresh, keys in _batches(batches):
-            for row, n in enumerate(np.diff(part.ptr).tolist(), part.first):
-                total[langs[row]] = total.get(langs[row], 0) + n
+            _add_up(total, langs, part)
             first = np.unique(keys, return_index=True)[1]
-            of = np.searchsorted(part.ptr, first, side="right") - 1 + part.first
-            if len(first):
-                yield _named(np.zeros(len(first), np.int32), keys[first], [langs[r] for r in of], [bytes(part.data[part.starts[i] : part.ends[i]]).decode() for i in first])
-            yield _sequence_rows(serial, _key_gaps(keys, fresh))
-        yield _named(np.zeros(len(total), np.int32), np.array(list(total.values()), np.int64), list(total), [None] * len(total))
+            yield from names.add(keys[first], *_texts(part, first, langs))
+            yield _row(next(serial), _key_gaps(keys, fresh))
+        yield from names.cut()
+        yield _row(None, np.array(list(total.values()), np.int64), -1, list(total))
 
-    return docs.mapInArrow(task, f"flush long, ids binary, {_WORD}")
+    return docs.mapInArrow(task, _ROWS)
 
 
 def _first_level(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sequences of word ids, ``(id, lang, word, n)`` of every word, and ``(lang, n)`` of every language."""
     n = table.count()
+    buckets = n_buckets(8 * n)  # several tasks name each word
     if n <= MAX_LOOKUP:
-        out = durable(_encoded(docs, _lookup(table, n)), "encoded")
-        sequences = out.where("ids is not null").select("flush", "ids")
+        out = durable(_encoded(docs, _lookup(table, n), buckets), "encoded")
+        sequences = out.where("flush is not null").select("flush", "ids")
     else:
-        out = durable(_keyed_texts(docs), "keyed")
-        sequences = durable(_asked(out.where("ids is not null").select("flush", F.col("ids").alias("keys")), table, n), "encoded")
-    named = out.where("ids is null")
-    once = named.where("word is not null").groupBy("key").agg(F.first(F.struct("lang", "word")).alias("w"))
-    known = durable(table.join(once, "key").select("id", "w.lang", "w.word", "n"), "words")
-    return sequences, known, named.where("word is null").groupBy("lang").agg(F.sum("key").alias("n"))
+        out = durable(_keyed_texts(docs, buckets), "keyed")
+        sequences = durable(_asked(out.where("flush is not null").select("flush", F.col("ids").alias("keys")), table, n), "encoded")
+    known = durable(table.join(_named(out), "key").select("id", "lang", "word", "n"), "words")
+    return sequences, known, _totals(out)
 
 
 def _next_level(sequences: DataFrame, table: DataFrame, n: int) -> DataFrame:
