@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import absent, col, require, user_columns
+from ..functions.numbers import fixed_text, grid_number, scientific_text
 from ..functions.types import convert, is_numeric, spark_type
 
 #: The texts that count as Boolean.
@@ -122,35 +124,31 @@ def validate(df: DataFrame, types: dict[str, str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("n_invalid"), F.col(f"s{i}").alias("sample")) for i, c in enumerate(types)])))
 
 
-def _scientific(x: Column) -> Column:
-    """Shortest digits and exponent, as in 1.2345678e+4, rebuilt from the double's own text."""
-    text = F.abs(x).cast("string")
-    mantissa, power = F.split(text, "E").getItem(0), F.coalesce(F.get(F.split(text, "E"), 1).try_cast("int"), F.lit(0))
-    whole, part = F.split(mantissa, r"\.").getItem(0), F.coalesce(F.get(F.split(mantissa, r"\."), 1), F.lit(""))
-    digits = F.concat(whole, part)
-    lead = F.length(digits) - F.length(F.ltrim(digits, F.lit("0")))
-    body = F.rtrim(F.substring(digits, lead + 1, F.lit(400)), F.lit("0"))
-    exponent = F.length(whole) - 1 - lead + power
-    sign = F.when(x < 0, "-").otherwise("")
-    out = F.concat(sign, F.substring(body, 1, 1), F.when(F.length(body) > 1, F.concat(F.lit("."), F.substring(body, F.lit(2), F.lit(400)))).otherwise(""), F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.abs(exponent).cast("string"))
-    return F.when(x == 0, F.lit("0e+0")).otherwise(out)
+def formatted(column: Column, kind: str = "asis", decimals: int | None = None, currency: str = "CNY", number: Column | None = None) -> Column:
+    """The display text of a value, as a grid shows it: null is empty, what is no number passes through.
 
-
-def formatted(column: Column, kind: str = "asis", decimals: int | None = None, currency: str = "CNY") -> Column:
-    """The display text of a value: null is empty, what is no number passes through."""
+    A text is a number by the rules of the grid (a blank is 0, no type suffix);
+    decimals are rounded from the exact binary value, ties away from zero; an
+    unknown currency has no symbol.
+    """
     text = F.coalesce(column.cast("string"), F.lit(""))
-    x = column.try_cast("double")
+    x = number if number is not None else grid_number(column.cast("string"))
     places = 2 if decimals is None else int(decimals)
     shown = {
-        "fixed": F.format_string(f"%.{places}f", x),
-        "percent": F.format_string(f"%.{places}f%%", x * 100),
-        "scientific": _scientific(x),
-        "currency": F.concat(F.lit(CURRENCIES.get(currency, currency)), F.format_string(f"%.{places}f", x)),
+        "fixed": lambda: fixed_text(x, places),
+        "percent": lambda: F.concat(fixed_text(x * 100, places), F.lit("%")),
+        "scientific": lambda: scientific_text(x),
+        "currency": lambda: F.concat(F.lit(CURRENCIES.get(currency, "")), fixed_text(x, places)),
     }.get(kind)
-    return text if shown is None else F.when(x.isNotNull() & ~F.isnan(x), shown).otherwise(text)
+    return text if shown is None else F.when(column.isNotNull() & x.isNotNull() & ~F.isnan(x), shown()).otherwise(text)
 
 
 def format_columns(df: DataFrame, formats: dict[str, dict]) -> DataFrame:
     require(df, *formats)
-    number = lambda c: col(c).cast("double") if is_numeric(df.schema[c].dataType) else col(c)
-    return df.select(*[formatted(number(c) if formats[c].get("kind", "asis") != "asis" else col(c), **formats[c]).alias(c) if c in formats else col(c) for c in df.columns])
+
+    def cell(c: str) -> Column:
+        kind = df.schema[c].dataType
+        number = col(c).cast("double") if is_numeric(kind) else col(c).cast("int").cast("double") if isinstance(kind, T.BooleanType) else None
+        return formatted(col(c), number=number, **formats[c]).alias(c)
+
+    return df.select(*[cell(c) if c in formats else col(c) for c in df.columns])

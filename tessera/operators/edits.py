@@ -22,16 +22,46 @@ def append_rows(df: DataFrame, count: int) -> DataFrame:
     return df.unionByName(new, allowMissingColumns=True)
 
 
-def apply_cell_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+def _judged(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits`` with ``reason``: null where a value can be written, else why it is refused."""
+    text = spark_type("VARCHAR")
+    kinds = {c: type_name(df.schema[c].dataType) for c in user_columns(df)}
+    fits = F.lit(False)
+    for kind in set(kinds.values()):
+        own = F.col("column").isin([c for c, k in kinds.items() if k == kind])
+        fits = fits | (own & convert(F.col("value"), text, kind).isNotNull())
+    known = F.col("column").isin(list(kinds))
+    kind_of = F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("column")) if kinds else F.lit(None)
+    reason = F.when(~F.coalesce(known, F.lit(False)), "no such column").when(F.coalesce(F.col("value"), F.lit("")) == "", F.lit(None)).when(~fits, F.concat(F.lit("no "), kind_of))
+    return edits.withColumn("reason", reason)
+
+
+def rejected_edits(df: DataFrame, edits: DataFrame) -> DataFrame:
+    """The edits that ``apply_cell_edits`` does not write, with ``reason``: no such row, no such column, or a value that is not of the column's type."""
+    judged = _judged(df, edits)
+    rows = df.select(col(ROW_ID).alias("__id"))
+    bad = judged.where("reason is not null")
+    lost = judged.where("reason is null").join(rows, F.col(ROW_ID) == F.col("__id"), "left_anti").withColumn("reason", F.lit("no such row"))
+    return bad.unionByName(lost)
+
+
+def apply_cell_edits(df: DataFrame, edits: DataFrame, all_or_nothing: bool = False) -> DataFrame:
     """``edits (_row_id, column, value[, seq])``: text values by cell; empty text clears; the last edit wins.
 
-    The last is the one with the largest ``seq`` (or text, without ``seq``).
-    Values that don't convert to the column's type become null; edits of
-    unknown rows or columns change nothing.
+    The last is the one with the largest ``seq`` (or text, without ``seq``) among
+    those whose value converts to the column's type; a cell keeps its value where
+    none does.  Edits of unknown rows or columns change nothing.
+    ``rejected_edits`` lists what is not written; with ``all_or_nothing`` a batch
+    that has any is refused (eager check).
     """
+    if all_or_nothing:
+        wrong = rejected_edits(df, edits).limit(5).collect()
+        if wrong:
+            raise ValueError("; ".join(f"row {r[ROW_ID]}, {r.column}: {r.reason}" for r in wrong))
     order = F.col("seq") if "seq" in edits.columns else F.col("value")
     names = user_columns(df)
-    last = edits.where(F.col("column").isin(names)).groupBy(ROW_ID, "column").agg(F.max_by(F.struct("value"), F.struct(order, "value")).alias("cell"))
+    good = _judged(df, edits).where("reason is null")
+    last = good.groupBy(ROW_ID, "column").agg(F.max_by(F.struct("value"), F.struct(order, "value")).alias("cell"))
     wide = last.groupBy(F.col(ROW_ID).alias("__id")).agg(*[F.first(F.when(F.col("column") == c, F.col("cell")), ignorenulls=True).alias(f"__e{i}") for i, c in enumerate(names)])
     both = df.join(wide, df[ROW_ID] == wide["__id"], "left")
     new = lambda i: F.nullif(F.col(f"__e{i}.value"), F.lit(""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import ROW_ID, col, require, user_columns
-from .rowid import assign_row_id
+from .places import by_id, ids_are_places
 
 
 def rendering(name: str) -> Column:
@@ -19,15 +20,53 @@ def rendering(name: str) -> Column:
     return F.coalesce(col(name).cast("string"), F.lit(""))
 
 
-def discrete(name: str, values: list[str]) -> Column:
-    """Rows whose text is one of ``values``."""
-    return rendering(name).isin(list(values))
+def _typed(text: str, kind: T.DataType):
+    """The one value that is shown as ``text``, or None."""
+    try:
+        if isinstance(kind, T.IntegralType):
+            value = int(text)
+            bits = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32}.get(type(kind), 64)
+            return value if str(value) == text and -(1 << bits - 1) <= value < 1 << bits - 1 else None
+        if isinstance(kind, T.DateType):
+            value = date.fromisoformat(text)
+            return value if value.isoformat() == text else None
+        if isinstance(kind, T.BooleanType):
+            return {"true": True, "false": False}.get(text)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            value = float(text)
+            return None if math.isnan(value) else value
+    except ValueError:
+        return None
+    return text
+
+
+def discrete(name: str, values: list[str], kind: T.DataType | None = None) -> Column:
+    """Rows whose text is one of ``values``.
+
+    With the column's type the texts become typed values and null tests, which
+    reach the scan; a text that no value is shown as finds nothing.
+    """
+    values = list(dict.fromkeys(values))
+    text = rendering(name).isin(values)
+    exact = (T.StringType, T.IntegralType, T.DateType, T.BooleanType)
+    if kind is None or not isinstance(kind, (*exact, T.DoubleType, T.FloatType)) or "NaN" in values:
+        return text
+    wanted = [v for v in (_typed(t, kind) for t in values if t or isinstance(kind, T.StringType)) if v is not None]
+    found = col(name).isin(wanted) if wanted else F.lit(False)
+    if not isinstance(kind, exact):
+        found = found & text  # several texts are one number
+    return found | col(name).isNull() if "" in values else found
 
 
 def discrete_rows(df: DataFrame, name: str, values: DataFrame) -> DataFrame:
-    """Rows whose text is in the first column of a (large) table of values."""
-    wanted = values.select(F.coalesce(values[0].cast("string"), F.lit("")).alias("__v")).distinct()
-    return df.join(wanted, rendering(name) == F.col("__v"), "left_semi")
+    """Rows whose text is in the first column of a (large) table of values; whole numbers and dates are joined as such."""
+    kind = df.schema[name].dataType
+    text = F.coalesce(values[0].cast("string"), F.lit(""))
+    if not isinstance(kind, (T.IntegralType, T.DateType, T.BooleanType)):
+        wanted = values.select(text.alias("__v")).distinct()
+        return df.join(wanted, rendering(name) == F.col("__v"), "left_semi")
+    typed = values.select(text.alias("__t"), text.try_cast(kind).alias("__v")).where((F.col("__t") == "") | (F.col("__v").cast("string") == F.col("__t"))).select("__v").distinct()
+    return df.join(typed, col(name).eqNullSafe(F.col("__v")), "left_semi")
 
 
 def _bound(value) -> float | None:
@@ -67,19 +106,17 @@ def distinct_values(df: DataFrame, name: str) -> DataFrame:
 
 
 def slice_block(df: DataFrame, row_a: int, row_b: int, column_a: int, column_b: int) -> DataFrame:
-    """The rectangle between two corners (1-based rows and columns, inclusive, any order)."""
+    """The rectangle between two corners (1-based, inclusive, any order).
+
+    Rows count by place in the order of their ids, whatever gaps those have: ids
+    without gaps are filtered as they are, else the rows are sorted once.  For
+    many rectangles of one table keep ``places.by_id`` of it.
+    """
     rows, columns = sorted((row_a, row_b)), sorted((column_a, column_b))
     names = user_columns(df)[columns[0] - 1 : columns[1]]
-    source = df
-    if ROW_ID not in df.columns:
-        source = assign_row_id(df)
-    return source.where(F.col(ROW_ID).between(*rows)).select(*map(col, names))
-
-
-def slice_ordinal(df: DataFrame, row_a: int, row_b: int, column_a: int, column_b: int) -> DataFrame:
-    """As ``slice_block``, but rows count by place in ``_row_id`` order, whatever gaps the ids have."""
-    numbered = assign_row_id(df.withColumnRenamed(ROW_ID, "__old"), F.col("__old").asc()).drop("__old") if ROW_ID in df.columns else df
-    return slice_block(numbered, row_a, row_b, column_a, column_b)
+    if ROW_ID in df.columns and ids_are_places(df):
+        return df.where(F.col(ROW_ID).between(*rows)).select(*map(col, names))
+    return by_id(df.select(*([ROW_ID] if ROW_ID in df.columns else []), *map(col, names))).between(*rows).select(*map(col, names))
 
 
 def is_floating(df: DataFrame, name: str) -> bool:

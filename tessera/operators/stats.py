@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import col, require, user_columns
+from ..functions.numbers import grid_number
 from ..functions.types import is_numeric, type_name
-from .quantiles import rank_quantiles
+from .quantiles import runs_of, statistics
 
 _CUTS = (0.25, 0.5, 0.75)
 
 
-def _measures(value: Column, whole: Column | None, approx: bool) -> list[Column]:
-    """The statistics of a double column but exact quantiles; ``whole`` holds integers exactly."""
-    exact = value if whole is None else F.struct(value, whole)
-    distinct = (F.approx_count_distinct if approx else F.count_distinct)(F.when(value.isNotNull(), exact))
-    cuts = F.percentile_approx(value, F.array(*map(F.lit, _CUTS))) if approx else F.lit(None)
-    return [
-        F.count(F.lit(1)).alias("count"), F.count_if(value.isNull()).alias("missing"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_dev"),
-        F.min(value).alias("min"), F.max(value).alias("max"), cuts.alias("cuts"), distinct.alias("unique_count"),
-    ]
-
-
 def column_stats(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
     """One row of statistics of a numeric column; ``count`` includes missing values."""
     require(df, column)
@@ -33,7 +23,11 @@ def column_stats(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
 
 
 def descriptive_stats(df: DataFrame, approx: bool = False) -> DataFrame:
-    """A row of statistics for every numeric column: one pass over the table, and one that ranks its values (none, if ``approx``)."""
+    """A row of statistics for every numeric column, from one pass over the table.
+
+    The pass counts runs of equal values, from which all else is told; with
+    ``approx``, one aggregation with sketches and no runs.
+    """
     names = [c for c in user_columns(df) if is_numeric(df.schema[c].dataType)]
     if not names:
         raise ValueError("no numeric column")
@@ -43,25 +37,37 @@ def descriptive_stats(df: DataFrame, approx: bool = False) -> DataFrame:
         for i, c in enumerate(names)
     ]
     long = df.select(F.inline(F.array(*cells)))
-    out = long.groupBy("p", "column_name").agg(*_measures(F.col("v"), F.col("w"), approx))
-    if not approx:
-        out = out.join(rank_quantiles(long.select("p", "v"), ["p"], list(_CUTS)), "p", "left").withColumn("cuts", F.col("q"))
-    cut = lambda i, name: F.get("cuts", F.lit(i)).alias(name)
-    return out.orderBy("p").select("column_name", "count", "missing", "mean", cut(1, "median"), "std_dev", "min", "max", cut(0, "q1"), cut(2, "q3"), "unique_count")
+    if approx:
+        v = F.col("v")
+        out = long.groupBy("p", "column_name").agg(
+            F.count(F.lit(1)).alias("rows"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"),
+            F.percentile_approx(v, F.array(*map(F.lit, _CUTS))).alias("q"), F.approx_count_distinct(v).alias("distinct"),
+        )
+    else:
+        out = statistics(runs_of(long, ["p", "column_name"]), ["p", "column_name"], list(_CUTS))
+    cut = lambda i, name: F.get("q", F.lit(i)).alias(name)
+    rows = F.col("rows")
+    return out.orderBy("p").select(
+        "column_name", rows.alias("count"), (rows - F.col("n")).alias("missing"), "mean", cut(1, "median"), F.col("std").alias("std_dev"), F.col("low").alias("min"), F.col("high").alias("max"),
+        cut(0, "q1"), cut(2, "q3"), F.col("distinct").alias("unique_count"),
+    )
 
 
 def selection_stats(block: DataFrame) -> DataFrame:
     """Count of the values of a block and, if all are numbers, their sum, mean, least and greatest.
 
-    True and false count as 1 and 0, empty text as 0.
+    Texts are numbers by the rules of the grid (``0x10`` is 16, blank text 0, no
+    type suffix); true and false count as 1 and 0.
     """
     names = user_columns(block)
-    text = lambda c: col(c).cast("int").cast("string") if isinstance(block.schema[c].dataType, T.BooleanType) else col(c).cast("string")
-    cells = block.select(F.explode(F.array(*map(text, names))).alias("v"))
-    value = F.when(F.trim("v") == "", F.lit(0.0)).otherwise(F.when(~F.lower(F.trim("v")).isin("nan", "inf", "-inf", "+inf"), F.col("v").try_cast("double")))
-    out = cells.select("v", value.alias("x")).agg(
-        F.count("v").alias("count"), F.count("x").alias("n"), F.sum("x").alias("sum"), F.avg("x").alias("avg"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
+
+    def cell(c: str) -> Column:
+        kind = block.schema[c].dataType
+        number = col(c).cast("double") if is_numeric(kind) else col(c).cast("int").cast("double") if isinstance(kind, T.BooleanType) else grid_number(col(c).cast("string"))
+        return F.struct(col(c).isNotNull().alias("met"), F.when(col(c).isNotNull() & ~F.isnan(number), number).alias("x"))
+
+    cells = block.select(F.inline(F.array(*map(cell, names)))) if names else block.select(F.lit(False).alias("met"), F.lit(None).cast("double").alias("x"))
+    out = cells.agg(F.count_if("met").alias("count"), F.count("x").alias("n"), F.sum("x").alias("sum"), F.avg("x").alias("avg"), F.min("x").alias("min"), F.max("x").alias("max"))
     return out.select("count", *[F.when(F.col("n") == F.col("count"), F.col(c)).alias(c) for c in ("sum", "avg", "min", "max")])
 
 

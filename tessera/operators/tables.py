@@ -7,11 +7,13 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.names import ROW_ID, col, distinct_names, require, user_columns
 from ..functions.types import common_type, convert, is_numeric, spark_type, type_name
-from .quantiles import rank_quantiles
+from .places import Ordered, ordered
+from .quantiles import rank_quantiles, runs_of, statistics
 from .rowid import assign_row_id
 
 #: Statistic -> (suffix of the result column, aggregate).
@@ -38,14 +40,33 @@ def sort(df: DataFrame, columns: list[str], orders: list[str]) -> DataFrame:
     return assign_row_id(df, *keys)
 
 
+#: Rows up to the end of a page that one task may hold; a page further back is read from a sorted copy.
+TOP_ROWS = 100_000
+
+
 def page(df: DataFrame, number: int, size: int, sort_column: str | None = None, order: str = "asc") -> DataFrame:
-    """Page ``number`` (from 0) of ``size`` rows, by a sort column if given, then by row id."""
-    keys = ordering([sort_column], [order]) if sort_column else []
+    """Page ``number`` (from 0) of ``size`` rows, by a sort column if given, then by row id.
+
+    Pages near the start are a top-k; others come from a sorted copy of which
+    only the parts with the page are read.  For many pages of one order keep
+    ``paged`` of the table.
+    """
+    if (number + 1) * size <= TOP_ROWS:
+        keys = _page_order(df, sort_column, order)
+        return (df.orderBy(*keys) if keys else df).offset(number * size).limit(size)
+    return paged(df, sort_column, order).page(number, size)
+
+
+def _page_order(df: DataFrame, sort_column: str | None, order: str) -> list[Column]:
     if sort_column:
         require(df, sort_column)
-    if ROW_ID in df.columns:
-        keys.append(col(ROW_ID).asc())
-    return (df.orderBy(*keys) if keys else df).offset(number * size).limit(size)
+    keys = ordering([sort_column], [order]) if sort_column else []
+    return keys + ([col(ROW_ID).asc()] if ROW_ID in df.columns else [])
+
+
+def paged(df: DataFrame, sort_column: str | None = None, order: str = "asc") -> Ordered:
+    """``df`` sorted and stored once, for any number of pages and blocks."""
+    return ordered(df, *_page_order(df, sort_column, order))
 
 
 def top_k(df: DataFrame, k: int, *keys: Column) -> DataFrame:
@@ -122,20 +143,50 @@ def split(df: DataFrame, split_column: str, value_column: str, ids: list[str] |
     return wide.select(*map(col, ids), *map(col, labels))
 
 
-def transpose(df: DataFrame) -> DataFrame:
-    """``Label`` and ``Row1..RowN``: a row per column of ``df``, a text column per row."""
+#: Rows that are turned together, and columns of a group of the result.
+TILE = 1000
+
+
+def transpose_tiles(df: DataFrame, tile: int = TILE) -> DataFrame:
+    """``position, Label, block, cells``: for each column of ``df`` and each block of ``tile`` rows the texts of its cells.
+
+    Rows go to their block by place, a block is turned by the task that has it,
+    and no task holds more than a block of rows.
+    """
     names = user_columns(df)
     if not names:
         raise ValueError("no columns to transpose")
+    placed = assign_row_id(df.withColumnRenamed(ROW_ID, "__old"), F.col("__old").asc()) if ROW_ID in df.columns else assign_row_id(df)
+    place = F.col(ROW_ID) - 1
+    rows = placed.select(F.floor(place / tile).alias("block"), F.struct((place % tile).alias("slot"), *[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]).alias("row"))
+    turned = rows.groupBy("block").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    cells = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("Label"), F.transform("rows", lambda r: r[f"c{i}"]).alias("cells")) for i, c in enumerate(names)]
+    return turned.select("block", F.inline(F.array(*cells))).select("position", "Label", "block", "cells")
+
+
+def transpose_group(tiles: DataFrame, block: int, rows: int, tile: int = TILE) -> DataFrame:
+    """Of ``transpose_tiles`` one group of the result's columns: ``Label`` and ``RowI`` for the rows of a block; ``rows`` is the count of all."""
+    first = block * tile
+    return tiles.where(F.col("block") == block).orderBy("position").select("Label", *[F.get("cells", F.lit(i)).alias(f"Row{first + i + 1}") for i in range(min(tile, rows - first))])
+
+
+def transpose(df: DataFrame) -> DataFrame:
+    """``Label`` and ``Row1..RowN``: a row per column of ``df``, a text column per row.
+
+    For tables of more rows than a plan should have columns
+    (``spark.sql.pivotMaxValues``) take ``transpose_tiles`` and its groups of columns.
+    """
+    rows = df.count()
     most = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-    source = df if ROW_ID in df.columns else assign_row_id(df)
-    found = sorted(r[0] for r in source.select(ROW_ID).limit(most + 1).collect())
-    if len(found) > most:
-        raise ValueError(f"more than {most} rows can't become columns")
-    cells = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(c).alias("Label"), col(c).cast("string").alias("v")) for i, c in enumerate(names)])
-    long = source.select(F.col(ROW_ID).alias("__r"), F.inline(cells))
-    wide = long.groupBy("p", "Label").pivot("__r", found).agg(F.first("v"))
-    return wide.orderBy("p").select("Label", *[F.col(f"`{r}`").alias(f"Row{i}") for i, r in enumerate(found, 1)])
+    if rows > most:
+        raise ValueError(f"more than {most} rows can't become columns of one table; use transpose_tiles and transpose_group")
+    tiles = transpose_tiles(df)
+    blocks = range(-(-rows // TILE)) or range(1)
+    if not rows:
+        names = df.sparkSession.createDataFrame(list(enumerate(user_columns(df))), "position int, Label string")
+        return names.orderBy("position").select("Label")
+    wide = tiles.groupBy("position", "Label").agg(*[F.first(F.when(F.col("block") == b, F.col("cells")), ignorenulls=True).alias(f"b{b}") for b in blocks])
+    return wide.orderBy("position").select("Label", *[F.get(f"b{i // TILE}", F.lit(i % TILE)).alias(f"Row{i + 1}") for i in range(rows)])
 
 
 def summary(df: DataFrame, stat_columns: list[str], group_columns: list[str] = (), statistics: list[str] = tuple(STATISTICS)) -> DataFrame:
@@ -154,6 +205,8 @@ def summary(df: DataFrame, stat_columns: list[str], group_columns: list[str] = (
     keys = [f"g{i}" for i in range(len(group_columns))]
     keyed = df.select(*[col(c).alias(k) for c, k in zip(group_columns, keys)], *[col(c).alias(f"c{i}") for i, c in enumerate(stat_columns)])
     own = {c: f"c{i}" for i, c in enumerate(stat_columns)}
+    if "median" in chosen and all(isinstance(df.schema[c].dataType, (T.IntegralType, T.DoubleType, T.FloatType)) for c in stat_columns):
+        return _summary_of_runs(keyed, keys, group_columns, own, named, df.schema)
     exprs = [STATISTICS[s][1](F.col(own[c])).alias(f"s{i}") for i, (c, s, _) in enumerate(named) if s != "median"] or [F.count(F.lit(1)).alias("rows")]
     out = keyed.groupBy(*keys).agg(*exprs)
     if "median" in chosen:
@@ -165,6 +218,24 @@ def summary(df: DataFrame, stat_columns: list[str], group_columns: list[str] = (
     return out.select(*[F.col(k).alias(c) for c, k in zip(group_columns, keys)], *[F.col(f"s{i}").alias(n) for i, (_, _, n) in enumerate(named)])
 
 
+def _summary_of_runs(keyed: DataFrame, keys: list[str], group_columns: list[str], own: dict[str, str], named: list[tuple[str, str, str]], schema: T.StructType) -> DataFrame:
+    """A summary with medians of whole numbers and doubles: one pass that counts runs of equal values, all statistics from these."""
+    columns = list(own)
+    whole = lambda c: isinstance(schema[c].dataType, T.IntegralType)
+    cells = [F.struct(F.lit(i).alias("p"), F.col(own[c]).cast("double").alias("v"), (F.col(own[c]).cast("long") if whole(c) else F.lit(None).cast("long")).alias("w")) for i, c in enumerate(columns)]
+    found = statistics(runs_of(keyed.select(*keys, F.inline(F.array(*cells))), [*keys, "p"]), [*keys, "p"], [0.5])
+
+    def value(c: str, s: str) -> Column:
+        bound = {"min": "low", "max": "high"}.get(s)
+        column = F.col(f"{bound}_w" if bound and whole(c) else bound or {"n": "n", "mean": "mean", "std": "std", "sum": "sum"}.get(s, "n"))
+        column = F.get("q", F.lit(0)) if s == "median" else column.cast(schema[c].dataType) if bound else column
+        out = F.max(F.when(F.col("p") == columns.index(c), column))
+        return F.coalesce(out, F.lit(0).cast("long")) if s == "n" else out
+
+    wide = found.groupBy(*keys).agg(*[value(c, s).alias(f"s{i}") for i, (c, s, _) in enumerate(named)])
+    return wide.select(*[F.col(k).alias(c) for c, k in zip(group_columns, keys)], *[F.col(f"s{i}").alias(n) for i, (_, _, n) in enumerate(named)])
+
+
 def join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
     """Equi-join that keeps both keys; right names that clash get ``_r``; an unknown kind is inner."""
     require(left, left_key), require(right, right_key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.names import ROW_ID
 from ..functions.storage import fresh_path
 from ..functions.types import convert, spark_type
-from ..operators import columns, edits, explore, filters, stats, tables
+from ..operators import columns, edits, explore, filters, places, stats, tables
 from ..operators.catalog import Catalog
 from ..sources import readers, sqlite, writers
 
@@ -135,6 +135,13 @@ def _(spark, d):
     return tables.page(table(spark, d, "orders").select(F.col("o_orderkey").alias(ROW_ID), "o_totalprice", "o_custkey"), 2, 50, "o_totalprice", "desc")
 
 
+@query("page_deep", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 40 OFFSET (SELECT COUNT(*) // 2 // 40 * 40 FROM lineitem)")
+def _(spark, d):
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    whole = places.ordered(df, F.col("l_extendedprice").desc_nulls_last(), F.col("l_orderkey"), F.col("l_linenumber"))
+    return whole.page(whole.rows // 2 // 40, 40)
+
+
 @query("top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def _(spark, d):
     return tables.top_k(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 20, F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey"))
@@ -151,6 +158,15 @@ def _(spark, d):
     return df.where(filters.discrete("s", ["", "F"])).select("o_orderkey", "o_orderstatus")
 
 
+@query("filter_discrete_typed", "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE (l_linenumber IN (2, 5)) AND l_returnflag IN ('A', 'R') AND l_shipdate::DATE IN (DATE '1995-03-05', DATE '1996-02-12', DATE '1997-07-01')")
+def _(spark, d):
+    df = table(spark, d, "lineitem")
+    wanted = {"l_linenumber": ["2", "05", "5", ""], "l_returnflag": ["A", "R"], "l_shipdate": ["1995-03-05", "1996-02-12", "1997-7-1", "1997-07-01"]}
+    dates = df.withColumns({"moment": F.col("l_shipdate"), "l_shipdate": F.col("l_shipdate").cast("date")})
+    found = dates.where(filters.all_of([filters.discrete(c, v, dates.schema[c].dataType) for c, v in wanted.items()]))
+    return found.select("l_orderkey", "l_linenumber", F.col("moment").alias("l_shipdate"))
+
+
 @query("filter_discrete_large", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE CAST(l_orderkey AS VARCHAR) IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_totalprice > 200000)")
 def _(spark, d):
     wanted = table(spark, d, "orders").where("o_totalprice > 200000").select("o_orderkey")
@@ -183,6 +199,12 @@ def _(spark, d):
     return filters.slice_block(readers.numbered(table(spark, d, "part").select("p_partkey", "p_name", "p_size"), "p_partkey"), 108, 3, 1, 2)
 
 
+@query("slice_block_gaps", "SELECT o_custkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderkey % 3 = 1) WHERE k BETWEEN 11 AND 120")
+def _(spark, d):
+    df = table(spark, d, "orders").where("o_orderkey % 3 = 1").select(F.col("o_orderkey").alias(ROW_ID), "o_orderstatus", "o_custkey", "o_totalprice")
+    return filters.slice_block(df, 120, 11, 3, 2)
+
+
 # --- joins and updates ------------------------------------------------------------
 
 
@@ -290,6 +312,12 @@ def _(spark, d):
     return tables.transpose(readers.numbered(counted, "o_orderpriority"))
 
 
+@query("transpose_tiles", "SELECT label AS \"Label\", k // 1000 AS block, string_agg(v, '|' ORDER BY k) AS cells FROM (SELECT 'o_orderkey' AS label, CAST(o_orderkey AS VARCHAR) AS v, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders UNION ALL SELECT 'o_orderstatus', o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 FROM orders) GROUP BY 1, 2")
+def _(spark, d):
+    df = table(spark, d, "orders").select(F.col("o_orderkey").alias(ROW_ID), "o_orderkey", "o_orderstatus")
+    return tables.transpose_tiles(df).select("Label", "block", F.array_join("cells", "|").alias("cells"))
+
+
 # --- column operations --------------------------------------------------------------
 
 
@@ -311,6 +339,18 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", convert(F.col("o_totalprice"), dbl, "INTEGER").alias("a"), convert(half, dbl, "INTEGER").alias("b"), convert(half.cast("string"), text, "BIGINT").alias("c"))
 
 
+_TEXTS = {"1d": None, "1f": None, " 5 ": 5.0, "+5": 5.0, "1_000": 1000.0, "0x10": 16.0, "0b11": 3.0, "5.5": 6.0, "-2.5": -3.0, "1e3": 1000.0, "": None, "1 2": None}
+
+
+@query("convert_texts", "SELECT p_partkey, TRY_CAST(t AS INTEGER) AS i, TRY_CAST(t AS BIGINT) AS b, TRY_CAST(t AS DOUBLE) AS x, CAST(TRY_CAST(u AS DATE) AS VARCHAR) AS d, TRY_CAST(u AS TIMESTAMP) AS ts FROM (SELECT p_partkey, [" + ", ".join(f"'{t}'" for t in _TEXTS) + "][1 + p_partkey % 12] AS t, ['2024', '2024-1', '2024-1-5', '2024/01/05', '2024-02-30', '01/02/2024', '2024-01-05 10:00:00', 'x'][1 + p_partkey % 8] AS u FROM part)")
+def _(spark, d):
+    k, text = F.col("p_partkey"), spark_type("VARCHAR")
+    t = F.element_at(F.array(*map(F.lit, _TEXTS)), (k % 12 + 1).cast("int"))
+    u = F.element_at(F.array(*map(F.lit, ("2024", "2024-1", "2024-1-5", "2024/01/05", "2024-02-30", "01/02/2024", "2024-01-05 10:00:00", "x"))), (k % 8 + 1).cast("int"))
+    kinds = {"i": (t, "INTEGER"), "b": (t, "BIGINT"), "x": (t, "DOUBLE"), "d": (u, "DATE"), "ts": (u, "TIMESTAMP")}
+    return table(spark, d, "part").select("p_partkey", *[(convert(c, text, kind).cast("string") if kind == "DATE" else convert(c, text, kind)).alias(n) for n, (c, kind) in kinds.items()])
+
+
 @query("detect_types", "SELECT unnest(['event_id', 'value', 'event_type', 'flag', 'day', 'blank']) AS column_name, unnest(['INTEGER', 'DOUBLE', 'VARCHAR', 'BOOLEAN', 'DATE', 'VARCHAR']) AS detected")
 def _(spark, d):
     df = table(spark, d, "events")
@@ -329,11 +369,18 @@ def _(spark, d):
     return columns.format_columns(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), {"l_quantity": {"kind": "fixed", "decimals": 3}})
 
 
+@query("format_fractions", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN x * 8 = floor(x * 8) AND floor(x * 8)::BIGINT % 2 = 1 THEN printf('%.2f', x + 0.001) ELSE printf('%.2f', x) END AS x FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice::DOUBLE * 0.37::DOUBLE AS x FROM lineitem)")
+def _(spark, d):
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_extendedprice").cast("double") * F.lit(0.37)).alias("x"))
+    return columns.format_columns(df, {"x": {"kind": "fixed"}})
+
+
 @query("format_percent", "SELECT p_partkey, printf('%.1f', p_size * 100.0) || '%' AS p_size FROM part")
 def _(spark, d):
     return columns.format_columns(table(spark, d, "part").select("p_partkey", "p_size"), {"p_size": {"kind": "percent", "decimals": 1}})
 
 
+#: Currency code -> symbol, for the SQL.
 _SYMBOLS = {"CNY": "¥", "USD": "$", "EUR": "€", "GBP": "£", "JPY": "¥", "KRW": "₩", "HKD": "HK$", "TWD": "NT$"}
 
 
@@ -378,17 +425,28 @@ def _(spark, d):
     return edits.append_rows(_customers(spark, d), 3)
 
 
-@query("apply_edits", f"SELECT _row_id, CASE WHEN _row_id % 10 = 0 THEN NULL WHEN _row_id % 10 = 1 THEN 'new' ELSE c_name END AS c_name, CASE WHEN _row_id % 10 = 2 THEN _row_id + 0.5 ELSE c_acctbal END AS c_acctbal, CASE WHEN _row_id % 10 = 3 THEN NULL ELSE c_nationkey END AS c_nationkey FROM {_CUSTOMERS}")
-def _(spark, d):
+_APPLIED = f"SELECT _row_id, CASE WHEN _row_id % 10 = 0 THEN NULL WHEN _row_id % 10 = 1 THEN 'new' ELSE c_name END AS c_name, CASE WHEN _row_id % 10 = 2 THEN _row_id + 0.5 ELSE c_acctbal END AS c_acctbal, CASE WHEN _row_id % 10 = 4 THEN NULL ELSE c_nationkey END AS c_nationkey FROM {_CUSTOMERS}"
+
+
+def _cell_edits(spark, d) -> tuple[DataFrame, DataFrame]:
     c = _customers(spark, d)
     k = F.col(ROW_ID)
     edit = lambda m, column, value, seq: F.struct(F.lit(m).alias("m"), F.lit(column).alias("column"), value.alias("value"), F.lit(seq).alias("seq"))
     cells = F.array(
         edit(0, "c_name", F.lit(""), 1), edit(1, "c_name", F.lit("old"), 1), edit(1, "c_name", F.lit("new"), 2), edit(2, "c_acctbal", (k + 0.5).cast("string"), 1),
-        edit(3, "c_nationkey", F.lit("no number"), 1), edit(4, "no column", F.lit("x"), 1),
+        edit(3, "c_nationkey", F.lit("no number"), 1), edit(4, "no column", F.lit("x"), 1), edit(4, "c_nationkey", F.lit(""), 1), edit(5, "c_acctbal", F.lit("1d"), 1),
     )
-    new = c.select(ROW_ID, F.inline(cells)).where(k % 10 == F.col("m")).select(ROW_ID, "column", "value", "seq")
-    return edits.apply_cell_edits(c, new)
+    return c, c.select(ROW_ID, F.inline(cells)).where(k % 10 == F.col("m")).select(ROW_ID, "column", "value", "seq")
+
+
+@query("apply_edits", _APPLIED)
+def _(spark, d):
+    return edits.apply_cell_edits(*_cell_edits(spark, d))
+
+
+@query("rejected_edits", f"SELECT _row_id, CASE _row_id % 10 WHEN 3 THEN 'c_nationkey' WHEN 4 THEN 'no column' ELSE 'c_acctbal' END AS \"column\", CASE _row_id % 10 WHEN 3 THEN 'no number' WHEN 4 THEN 'x' ELSE '1d' END AS value, CASE _row_id % 10 WHEN 4 THEN 'no such column' WHEN 3 THEN 'no INTEGER' ELSE 'no DOUBLE' END AS reason FROM {_CUSTOMERS} WHERE _row_id % 10 IN (3, 4, 5)")
+def _(spark, d):
+    return edits.rejected_edits(*_cell_edits(spark, d)).drop("seq")
 
 
 @query("delete_rows", f"SELECT * FROM {_CUSTOMERS} WHERE _row_id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
@@ -403,11 +461,14 @@ def _(spark, d):
     return edits.patch_block(base, patch, 23, 1, ["VARCHAR", "BIGINT"], ["name", ""])
 
 
-@query("check_patch", "SELECT 'n_name' AS column_name, TRUE AS compatible, 3::BIGINT AS conflicts UNION ALL SELECT 'n_regionkey', FALSE, 3")
+_INSIDE = "(SELECT *, row_number() OVER (ORDER BY o_orderkey) BETWEEN 11 AND 10 + (SELECT COUNT(*) FROM customer) AS inside FROM orders)"
+
+
+@query("check_patch", f"SELECT 'o_orderstatus' AS column_name, TRUE AS compatible, COUNT_IF(inside AND o_orderstatus <> 'F')::BIGINT AS conflicts FROM {_INSIDE} UNION ALL SELECT 'o_custkey', COUNT(o_custkey) = 0, COUNT_IF(inside)::BIGINT FROM {_INSIDE} UNION ALL SELECT 'empty', COUNT(*) >= 0, 0 FROM {_INSIDE}")
 def _(spark, d):
-    base = table(spark, d, "nation").select(F.col("n_nationkey").alias(ROW_ID), "n_name", "n_regionkey")
-    patch = table(spark, d, "region").select(F.col("r_regionkey").alias(ROW_ID), F.lit("x").alias("a"), F.lit("1.5").alias("b"))
-    return edits.check_patch(base, patch, 23, 1, ["VARCHAR", "DOUBLE"])
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias(ROW_ID), F.nullif("o_orderstatus", F.lit("F")).alias("o_orderstatus"), "o_custkey", F.lit(None).cast("double").alias("empty"))
+    patch = table(spark, d, "customer").select(F.col("c_custkey").alias(ROW_ID), F.lit("x").alias("a"), F.lit("1.5").alias("b"), F.lit("y").alias("c"))
+    return edits.check_patch(base, patch, 11, 1, ["VARCHAR", "DOUBLE", "VARCHAR"])
 
 
 # --- round trips ---------------------------------------------------------------------------
@@ -470,6 +531,23 @@ def _(spark, d):
     return catalog.get("c")
 
 
+@query("version_deltas", "SELECT o_orderkey AS _row_id, CASE WHEN o_orderkey % 50 = 1 THEN 'changed' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 70 = 1 THEN 0.5 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 90 <> 2")
+def _(spark, d):
+    catalog = Catalog(spark)
+    base = table(spark, d, "orders").select(F.col("o_orderkey").alias(ROW_ID), "o_orderstatus", "o_totalprice")
+    catalog.materialize(base, "orders")
+    catalog.record("import")
+    cell = lambda m, column, value: base.where(F.col(ROW_ID) % m == 1).select(ROW_ID, F.lit(column).alias("column"), F.lit(value).alias("value"))
+    catalog.edit("orders", cell(50, "o_orderstatus", "changed").unionAll(cell(90, "o_totalprice", "no number")))
+    catalog.record("status")
+    catalog.edit("orders", cell(70, "o_totalprice", "0.5"))
+    catalog.delete_rows("orders", base.where(F.col(ROW_ID) % 90 == 2).select(ROW_ID))
+    catalog.record("prices")
+    catalog.jump(0)
+    catalog.jump(2)
+    return catalog.get("orders")
+
+
 @query("restore_one_table", "SELECT 'customer' AS of, COUNT(*) AS n FROM customer UNION ALL SELECT 'orders', 0")
 def _(spark, d):
     catalog = Catalog(spark)
@@ -511,13 +589,42 @@ def _(spark, d):
     return readers.read_csv(spark, f"{path}/all_orders", schema=orders.drop(ROW_ID).schema).drop(ROW_ID)
 
 
-@query("import_csv_infer", "SELECT row_number() OVER (ORDER BY p_partkey) AS _row_id, p_partkey::INTEGER AS p_partkey, p_name, p_size, p_retailprice FROM part")
+@query("import_csv_infer", "SELECT row_number() OVER (ORDER BY p_partkey) AS _row_id, p_partkey::BIGINT AS p_partkey, p_name, p_size::BIGINT AS p_size, p_retailprice FROM part")
 def _(spark, d):
     path = fresh_path(spark, "csv")
-    writers.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").orderBy("p_partkey").coalesce(1), path)
+    writers.write_csv(table(spark, d, "part").select("p_partkey", "p_name", "p_size", "p_retailprice").orderBy("p_partkey"), path)
     return readers.read_csv(spark, path)
 
 
+def _as_text(df: DataFrame, path: str, delimiter: str, header: str) -> str:
+    """``df`` as lines of cells joined by ``delimiter``, in parts of its own order with a header each."""
+    line = F.concat_ws(delimiter, *[F.col(c).cast("string") for c in df.columns])
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    df.select(F.when(first, F.concat(F.lit(f"{header}\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("import_csv_semicolon", "SELECT o_orderkey::BIGINT AS o_orderkey, replace(CAST(o_custkey AS VARCHAR) || '.5', '.', ',') AS amount, o_orderstatus FROM orders")
+def _(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.concat(F.col("o_custkey").cast("string"), F.lit(",5")).alias("amount"), "o_orderstatus")
+    return readers.read_csv(spark, _as_text(df, fresh_path(spark, "csv"), ";", "o_orderkey;amount;o_orderstatus")).drop(ROW_ID)
+
+
+@query("import_csv_times", "SELECT event_id::BIGINT AS event_id, strftime(ts::TIMESTAMP, '%H:%M:%S') AS at, strftime(ts::TIMESTAMP, '%Y-%m-%d') AS day, date_trunc('second', ts::TIMESTAMP) AS moment FROM events")
+def _(spark, d):
+    ts = F.col("ts").cast("timestamp_ntz")
+    df = table(spark, d, "events").select("event_id", F.date_format(ts, "HH:mm:ss").alias("at"), F.date_format(ts, "dd/MM/yyyy").alias("day"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("moment"))
+    return readers.read_csv(spark, _as_text(df, fresh_path(spark, "csv"), "\t", "event_id\tat\tday\tmoment")).drop(ROW_ID).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("import_csv_breaks", "SELECT p_partkey::BIGINT AS p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_name || chr(10) || '\"' || p_brand ELSE p_name END AS p_name FROM part")
+def _(spark, d):
+    path = fresh_path(spark, "csv")
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat("p_name", F.lit('\n"'), "p_brand")).otherwise(F.col("p_name"))
+    writers.write_csv(table(spark, d, "part").select("p_partkey", name.alias("p_name")), path)
+    return readers.read_csv(spark, path).drop(ROW_ID)
+
+
 # --- exploration -------------------------------------------------------------------------------
 
 

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from ..functions.names import ROW_ID, col, distinct_names
+from ..functions.names import ROW_ID, col, distinct_names, quoted
+from ..functions.storage import durable
+from ..functions.textkinds import as_kind, kind_of, kinds_met
 from ..functions.types import convert, spark_type
-from ..operators.columns import detect_types
 from ..operators.rowid import assign_row_id
+from .dialect import Dialect, detect_dialect
 
 
 def in_file_order(df: DataFrame) -> DataFrame:
@@ -18,52 +21,99 @@ def in_file_order(df: DataFrame) -> DataFrame:
     return assign_row_id(kept, F.col("__f"), F.col("__b"), F.col("__i")).drop("__f", "__b", "__i")
 
 
-_SAMPLE = 1000
-_PLAIN = {"nullValue": "\u0001", "emptyValue": "", "escape": '"'}
+#: Splits of files (a path and a few numbers each) that are broadcast; more are joined by shuffle.
+MOST_BROADCAST_SPLITS = 50_000
 
 
-def has_header(spark: SparkSession, path: str, multi_line: bool = False, **options) -> bool:
-    """Whether the first row of a CSV file names its columns.
+def _csv_options(delimiter: str, quote: str) -> dict[str, str]:
+    # A null value that no file holds tells an empty cell (null) from a quoted empty text.
+    return {"sep": delimiter, "quote": quote, "escape": quote, "nullValue": "\u0001", "emptyValue": ""}
+
+
+def _with_breaks(lines: DataFrame) -> DataFrame:
+    """Records of files in which quoted cells hold line breaks: ``file, block, id, value``, with ``id`` the number of the record in its file.
 
-    It does if all columns are text, or if it doesn't fit the types of the rows
-    below (of the first ``_SAMPLE`` rows; with one row, its own types).
+    A line begins a record if the quotes before it, in its split and the splits
+    before, are even; so each split can tell by itself once the quotes of all
+    splits are counted, and the lines of a record meet by its number.  A file
+    with an odd number of quotes in all is taken line by line.
     """
-    head = spark.read.options(**_PLAIN).option("header", False).option("multiLine", multi_line).options(**options).csv(path)
-    rows = head.limit(_SAMPLE).collect()
-    if not rows or not head.columns:
-        return True
-    # The sample goes back as one literal; the column rules are those of whole tables.
-    cells = lambda rs: spark.createDataFrame([tuple(r) for r in rs], head.schema)
-    kinds = [r.detected for r in detect_types(cells(rows[1:] or rows)).collect()]
-    own = [r.detected for r in detect_types(cells(rows[:1])).collect()]
-    if all(k == "VARCHAR" for k in kinds):
-        return True
-    fits = lambda k, o, v: k == "VARCHAR" or v is None or o == k or (k in ("BIGINT", "DOUBLE") and o in ("INTEGER", "BIGINT"))
-    return not all(map(fits, kinds, own, rows[0]))
-
-
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell holds a line break: some line has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
-def read_csv(spark: SparkSession, path: str, header: bool | None = None, schema: T.StructType | None = None, multi_line: bool | None = None, **options) -> DataFrame:
+    totals = lines.groupBy("file", "block").agg(F.sum("quotes").alias("q"))
+    in_file = W.partitionBy("file").orderBy("block")
+    totals = totals.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.sum("q").over(in_file) - F.col("q")).alias("before"), (F.sum("q").over(W.partitionBy("file")) % 2 == 1).alias("odd"))
+    in_split = W.partitionBy("file", "block").orderBy("id")
+    ahead = F.sum("quotes").over(in_split) - F.col("quotes")
+    marked = lines.withColumn("ahead", ahead).join(totals, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    begins = F.col("odd") | ((F.col("before") + F.col("ahead")) % 2 == 0)
+    marked = marked.select("file", "block", "id", "value", begins.cast("long").alias("begins"))
+    starts = marked.groupBy("file", "block").agg(F.sum("begins").alias("n"))
+    starts = starts.select(F.col("file").alias("f"), F.col("block").alias("b"), (F.sum("n").over(in_file) - F.col("n")).alias("before"))
+    numbered = marked.withColumn("own", F.sum("begins").over(in_split)).join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    joined = numbered.groupBy("file", (F.col("before") + F.col("own")).alias("id")).agg(F.sort_array(F.collect_list(F.struct("block", F.col("id").alias("i"), "value"))).alias("lines"))
+    return joined.select("file", F.lit(0).cast("long").alias("block"), "id", F.array_join(F.transform("lines", lambda x: x["value"]), "\n").alias("value"))
+
+
+def read_csv(spark: SparkSession, path: str, header: bool | None = None, schema: T.StructType | None = None, delimiter: str | None = None, quote: str | None = None, **options) -> DataFrame:
     """A CSV file or folder with inferred (or given) types and row ids in file order.
 
-    Unless told, it looks whether there is a header (``column0`` and so on name
-    the columns of a file without one) and whether quoted cells hold line breaks:
-    only then is a file read by one task.
+    Delimiter, quote and header are told from a sample of the first lines unless
+    given; names that repeat get a number, a file without names has ``column0``
+    and so on.  The lines are read once, split, and stored with their place; the
+    types are those that all cells of a column fit (see ``textkinds``: whole
+    numbers are BIGINT, a time of day stays text).  Row ids come from a count per
+    split of a file, without a sort.  Quoted cells may hold line breaks (which
+    come out as line feeds); their files are read in splits, too.  Blank lines are
+    passed over, missing cells are null, cells beyond the columns are ignored.
     """
-    multi_line = spans_lines(spark, path) if multi_line is None else multi_line
-    header = has_header(spark, path, multi_line, **options) if header is None else header
-    # A null value that no file holds tells an empty cell (null) from a quoted empty text.
-    reader = spark.read.options(**_PLAIN).option("header", header).option("multiLine", multi_line).options(**options)
-    df = reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).option("preferDate", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path)
-    if not header and not schema:
-        df = df.withColumnsRenamed({c: f"column{i}" for i, c in enumerate(df.columns)})
-    distinct_names(df.columns)
-    return in_file_order(df)
+    given = delimiter is not None and quote is not None and header is not None and schema is not None
+    how = Dialect(delimiter, quote, header) if given else detect_dialect(spark, path, header, delimiter or options.pop("sep", None), quote)
+    kept = _csv_options(how.delimiter, how.quote) | {k: str(v) for k, v in options.items()}
+    names = list(schema.names if schema else how.names)
+    if not names:
+        return assign_row_id(spark.createDataFrame([], T.StructType([])))
+    distinct_names(names)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(how.quote), F.lit("")))
+    clean = F.when((F.col("_metadata.file_block_start") == 0) & F.col("value").startswith("\ufeff"), F.substring("value", F.lit(2), F.lit(2**31 - 1))).otherwise(F.col("value"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), clean.alias("value"), quotes.cast("long").alias("quotes")
+    )
+    kinds = schema or T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    cells = F.from_csv("value", _ddl(kinds), kept)
+    filled = lines.where(F.trim("value") != "")
+    stored = durable(filled.select("file", "block", "id", (F.col("quotes") % 2 == 1).alias("broken"), cells.alias("cells")), "csv")
+    if not stored.where("broken").isEmpty():
+        records = _with_breaks(lines).where(F.trim("value") != "")
+        stored = durable(records.select("file", "block", "id", cells.alias("cells")), "csv")
+    rows = _placed(stored, how.header)
+    if schema:
+        return rows.select(ROW_ID, *[F.col(f"cells.{quoted(f.name)}").cast(f.dataType).alias(f.name) for f in schema.fields])
+    texts = [F.col(f"cells.c{i}") for i in range(len(names))]
+    met = rows.agg(*[kinds_met(t).alias(f"k{i}") for i, t in enumerate(texts)]).first()
+    return rows.select(ROW_ID, *[as_kind(t, *kind_of(k)).alias(n) for t, k, n in zip(texts, met, names)])
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def _placed(stored: DataFrame, header: bool) -> DataFrame:
+    """``stored`` with row ids in the order of files and lines, without the first line of each file if that is a header.
+
+    The place of a line in its split of a file comes from its id and the least
+    id there (ranked, if blank lines left gaps); one row per split is ordered to
+    number the splits.
+    """
+    splits = durable(stored.groupBy("file", "block").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")), "splits")
+    gaps, n = splits.agg(F.count_if(F.col("most") - F.col("least") + 1 != F.col("n")), F.count(F.lit(1))).first()
+    first = F.row_number().over(W.partitionBy("file").orderBy("block")) == 1
+    splits = splits.select("*", (first & F.lit(header)).cast("long").alias("head"))
+    base = F.sum(F.col("n") - F.col("head")).over(W.orderBy("file", "block")) - (F.col("n") - F.col("head"))
+    splits = splits.select(F.col("file").alias("f"), F.col("block").alias("b"), "head", "least", base.alias("base"))
+    side = F.broadcast(splits) if n <= MOST_BROADCAST_SPLITS else splits
+    both = stored.join(side, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
+    place = F.row_number().over(W.partitionBy("file", "block").orderBy("id")) if gaps else F.col("id") - F.col("least") + 1
+    both = both.withColumn("place", place).where("place > head")
+    return both.select((F.col("base") + F.col("place") - F.col("head")).cast("long").alias(ROW_ID), "cells")
 
 
 def read_tsv(spark: SparkSession, path: str, header: bool = False) -> DataFrame:

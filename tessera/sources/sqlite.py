@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import os
 import pickle
 import sqlite3
@@ -43,6 +44,20 @@ def tables(path: str) -> dict[str, list[tuple[str, str]]]:
     return {n: c for n, c in found.items() if c}
 
 
+def _together(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Neighbouring ranges joined while their ids are so few that they can't have more than ``SPLIT_ROWS`` rows."""
+    held: tuple[int, int] | None = None
+    for low, high in ranges:
+        if held and high - held[0] < SPLIT_ROWS:
+            held = (held[0], high)
+            continue
+        if held:
+            yield held
+        held = (low, high)
+    if held:
+        yield held
+
+
 @dataclass
 class _Range(InputPartition):
     low: int | None
@@ -54,15 +69,43 @@ class _Reader(DataSourceReader):
         self.path, self.table, self.names = options["path"], options["dbtable"], schema.names[1:]
 
     def partitions(self) -> list[InputPartition]:
-        try:
-            with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
-                low, high = db.execute(f"SELECT min(rowid), max(rowid) FROM {_quoted(self.table)}").fetchone()
-        except sqlite3.OperationalError:  # WITHOUT ROWID
-            return [_Range(None, None)]
-        if low is None:
-            return [_Range(0, 0)]
-        step = max(SPLIT_ROWS, -(-(high + 1 - low) // MOST_SPLITS))  # row ids may be far apart
-        return [_Range(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+        """Ranges of row ids with about as many rows each, wherever the ids lie.
+
+        A range is drawn in to the ids that it really has, then halved while it
+        has more than ``SPLIT_ROWS`` rows, the widest first, up to ``MOST_SPLITS``
+        ranges.  Counting a range stops after ``SPLIT_ROWS`` rows.
+        """
+        name = _quoted(self.table)
+        with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as db:
+            try:
+                db.execute(f"SELECT rowid FROM {name} LIMIT 1")
+            except sqlite3.OperationalError:  # WITHOUT ROWID
+                return [_Range(None, None)]
+
+            def drawn_in(low: int, high: int) -> tuple[int, int] | None:
+                one = lambda of, order: db.execute(f"SELECT {of}(rowid) FROM {name} WHERE rowid BETWEEN ? AND ?", order).fetchone()[0]
+                first = one("min", (low, high))
+                return None if first is None else (first, one("max", (low, high)))
+
+            def full(low: int, high: int) -> bool:
+                if high - low < SPLIT_ROWS:
+                    return False
+                return db.execute(f"SELECT rowid FROM {name} WHERE rowid BETWEEN ? AND ? ORDER BY rowid LIMIT 1 OFFSET ?", (low, high, SPLIT_ROWS)).fetchone() is not None
+
+            every = drawn_in(-(2**63), 2**63 - 1)
+            done: list[tuple[int, int]] = []
+            wide = [(every[0] - every[1], *every)] if every and full(*every) else []
+            done += [every] if every and not wide else []
+            while wide and len(done) + len(wide) < MOST_SPLITS:
+                _, low, high = heapq.heappop(wide)
+                middle = low + (high - low) // 2
+                for part in (drawn_in(low, middle), drawn_in(middle + 1, high)):
+                    if part and full(*part):
+                        heapq.heappush(wide, (part[0] - part[1], *part))
+                    elif part:
+                        done.append(part)
+        ranges = sorted(done + [(low, high) for _, low, high in wide])
+        return [_Range(low, high) for low, high in _together(ranges)] or [_Range(0, -1)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
         def text(value):
@@ -76,7 +119,7 @@ class _Reader(DataSourceReader):
                 rows = db.execute(f"SELECT 0, {names} FROM {_quoted(self.table)}")
                 yield from ((i, *map(text, r[1:])) for i, r in enumerate(rows))
             else:
-                rows = db.execute(f"SELECT rowid, {names} FROM {_quoted(self.table)} WHERE rowid >= ? AND rowid < ?", (partition.low, partition.high))
+                rows = db.execute(f"SELECT rowid, {names} FROM {_quoted(self.table)} WHERE rowid BETWEEN ? AND ?", (partition.low, partition.high))
                 yield from ((r[0], *map(text, r[1:])) for r in rows)
 
 
