@@ -42,7 +42,7 @@ from pyspark.taskcontext import TaskContext
 
 from ..operators.rowid import assign_row_id
 from .durable import durable, text_batches
-from .pairtiles import BLOBS, Gather, bucket_of, count_pairs, merged, n_buckets, pairs_in, rows
+from .pairtiles import BLOBS, Gather, bucket_of, count_pairs, merged, n_buckets, pairs_in
 from .wordbytes import Words, mix64, words
 
 LEAST, LONGEST, TOP = 100, 5, 2000
@@ -107,7 +107,7 @@ def _word_counts(docs: DataFrame, least: int) -> DataFrame:
             yield from gather.add(keys)
         yield from gather.cut()
 
-    return rows(merged(docs.mapInArrow(task, BLOBS), least))
+    return merged(docs.mapInArrow(task, BLOBS), least, as_rows=True)
 
 
 def _ranked(counted: DataFrame, name: str) -> DataFrame:
@@ -376,7 +376,7 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     level = known.select("id", "lang", F.array("word").alias("words"), none.alias("pre"), none.alias("suf"), F.col("n").alias("a"))
     levels = []
     for length in range(2, longest + 1):
-        pairs = _ranked(durable(rows(count_pairs(sequences.select("ids"), least)), "pairs"), "ranks")
+        pairs = _ranked(durable(count_pairs(sequences.select("ids"), least, as_rows=True), "pairs"), "ranks")
         n = pairs.count()
         left, right = (level.select(*[F.col(c).alias(f"{side}_{c}") for c in level.columns]) for side in "lr")
         ends = pairs.select("id", F.shiftright("key", 32).cast("int").alias("x"), F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("y"), F.col("n").alias("a"))

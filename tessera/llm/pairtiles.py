@@ -115,29 +115,26 @@ def n_buckets(keys: int) -> int:
     return max(1, -(-keys // BUCKET_KEYS))
 
 
-def merged(sent: DataFrame, least: int = 1) -> DataFrame:
-    """One row per bucket: its distinct keys with a total of ``least`` or more, ascending, and the totals."""
+def merged(sent: DataFrame, least: int = 1, as_rows: bool = False) -> DataFrame:
+    """The distinct keys with a total of ``least`` or more, and the totals: one row per bucket, ascending, or ``(key, n)`` rows.
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys, n = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("keys", "n"))
-        keys, n = run_counts(keys, n)
-        kept = n >= least
-        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int64()), "keys": pa.array([keys[kept].tobytes()], pa.binary()), "n": pa.array([n[kept].tobytes()], pa.binary())})
-
-    return sent.groupBy("bucket").applyInArrow(merge, BLOBS)
+    Rows come from the merging task itself: a second Python step in its stage
+    would be a second worker for each core.
+    """
 
+    def total(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = run_counts(*(np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("keys", "n")))
+        return keys[n >= least], n[n >= least]
 
-def rows(found: DataFrame) -> DataFrame:
-    """``(key long, n long)`` of every key in blobs."""
+    def blob(table: pa.Table) -> pa.Table:
+        keys, n = total(table)
+        return pa.table({"bucket": pa.array([table["bucket"][0].as_py()], pa.int64()), "keys": pa.array([keys.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
 
-    def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
-                for at in range(0, len(keys), 65536):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 65536]), pa.array(n[at : at + 65536])], names=["key", "n"])
+    def rows(table: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("key", "n"), map(pa.array, total(table)))))
 
-    return found.select("keys", "n").mapInArrow(open_, "key long, n long")
+    groups = sent.groupBy("bucket")
+    return groups.applyInArrow(rows, "key long, n long") if as_rows else groups.applyInArrow(blob, BLOBS)
 
 
 def pairs_in(ids: np.ndarray) -> np.ndarray:
@@ -150,8 +147,8 @@ def _read_first(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     return (np.frombuffer(blob, np.int32) for blob in batch.column(0).to_pylist())
 
 
-def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _read_first, most: int = FLUSH_KEYS) -> DataFrame:
-    """Adjacent pairs met ``least`` times or more in sequences of ids, as blobs by bucket.
+def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Callable[[pa.RecordBatch], Iterator[np.ndarray]] = _read_first, most: int = FLUSH_KEYS, as_rows: bool = False) -> DataFrame:
+    """Adjacent pairs met ``least`` times or more in sequences of ids, as ``merged`` gives them.
 
     ``read`` takes the sequences from a batch; ``column`` has about four bytes for each id; ``most`` keys are gathered.
     """
@@ -165,4 +162,4 @@ def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Cal
                 yield from gather.add(pairs_in(ids))
         yield from gather.cut()
 
-    return merged(sequences.mapInArrow(task, BLOBS), least)
+    return merged(sequences.mapInArrow(task, BLOBS), least, as_rows)
