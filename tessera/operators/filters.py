@@ -53,9 +53,8 @@ def discrete(name: str, values: list[str], kind: T.DataType | None = None) -> Co
         return text
     wanted = [v for v in (_typed(t, kind) for t in values if t or isinstance(kind, T.StringType)) if v is not None]
     found = col(name).isin(wanted) if wanted else F.lit(False)
-    if not isinstance(kind, exact):
-        found = found & text  # several texts are one number
-    return found | col(name).isNull() if "" in values else found
+    found = found | col(name).isNull() if "" in values else found
+    return found if isinstance(kind, exact) else found & text  # several texts are one number
 
 
 def discrete_rows(df: DataFrame, name: str, values: DataFrame) -> DataFrame:
