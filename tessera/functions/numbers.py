@@ -6,6 +6,8 @@ where a blank is 0 and ``0x``, ``0o`` and ``0b`` begin a number in another base.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -80,20 +82,43 @@ def _infinity(x: Column) -> Column:
     return F.concat(_sign(x), F.lit("Infinity"))
 
 
+#: Decimals up to which a text is exact whatever the size of the number.
+MOST_PLACES = 14
+
+
+def _exact(size: Column, places: int) -> Column:
+    """A double from 0 to 1e21 with ``places`` decimals, from its exact binary digits, a tie rounded up."""
+    big = lambda c, digits=38: c.cast(f"decimal({digits},0)")
+    whole = size - size % 1
+    rest, part = size - whole, []
+    for _ in range(3):  # 26 binary digits at a time; a power of two changes no digit
+        rest = rest * float(1 << 26)
+        part.append(rest - rest % 1)
+        rest = rest % 1
+    fixed = lambda n, digits: F.lit(Decimal(n)).cast(f"decimal({digits},0)")
+    one = fixed(1 << 78, 24)
+    binary = (big(part[0], 8) * fixed(1 << 52, 16) + big(part[1], 8) * fixed(1 << 26, 8) + big(part[2], 8)).cast("decimal(24,0)")
+    scaled = (binary * fixed(10**places, 15)).cast("decimal(38,0)")
+    down = F.call_function("div", scaled, one)
+    left = scaled - (big(down, 15) * one).cast("decimal(38,0)")
+    part_up = down + F.when(left * 2 >= one, 1).otherwise(0)
+    high = whole / float(1 << 40) - (whole / float(1 << 40)) % 1
+    units = big(high, 16) * fixed(1 << 40, 14) + big(whole - high * float(1 << 40), 16) + F.when(part_up == 10**places, 1).otherwise(0)
+    units = units.cast("decimal(38,0)").cast("string")
+    return F.concat(units, F.lit("."), F.lpad((part_up % 10**places).cast("string"), places, "0")) if places else units
+
+
 def fixed_text(x: Column, places: int) -> Column:
     """A double with ``places`` decimals, rounded from its exact binary value; a tie goes away from zero.
 
-    From 1e21 on it is the shortest digits with an exponent.
+    From 1e21 on it is the shortest digits with an exponent.  Beyond
+    ``MOST_PLACES`` decimals, digits after the seventeenth are zeros.
     """
     size = F.abs(x)
-    near = F.call_function("format_number", size, F.lit("0" + ("." + "0" * places if places else "")))  # exact, but ties go to the even digit
-    # A double lies midway between two such decimals only if times 2 ** (places + 1) it is odd.
-    odd = size * float(2 ** (places + 1))
-    tie = (odd == F.floor(odd)) & (odd < float(2**53)) & (odd % 2 == 1)
-    whole = ((odd.cast("decimal(16,0)") * F.lit(5**places).cast("decimal(20,0)") + 1) / 2).cast("decimal(38,0)").cast("string") if places <= 20 else None
-    if whole is not None:
-        digits = F.lpad(whole, F.greatest(F.length(whole), F.lit(places + 1)), "0")
-        cut = F.length(digits) - places
-        up = F.concat(F.substring(digits, F.lit(1), cut), F.lit("."), F.substring(digits, cut + 1, F.lit(places))) if places else whole
-        near = F.when(tie, up).otherwise(near)
+    near = F.call_function("format_number", size, F.lit("0" + ("." + "0" * places if places else "")))
+    if places <= MOST_PLACES:
+        # With few digits in all the shorter way is exact, but for ties: a double lies midway only if times 2 ** (places + 1) it is odd.
+        odd = size * float(2 ** (places + 1))
+        plain = (size * float(10**places) < 1e15) & ~((odd % 1 == 0) & (odd % 2 == 1))
+        near = F.when(plain, near).when(size < 1e21, _exact(size, places)).otherwise(near)
     return F.when(_infinite(x), _infinity(x)).when(size >= 1e21, scientific_text(x)).otherwise(F.concat(_sign(x), near))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -39,16 +40,35 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and its shuffle files go once it is written."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was)
     note_table(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: For each session with intermediate writes under way: how many, and the user's setting.
+_writing: dict[int, list] = {}
+_lock = threading.Lock()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Turns the cleanup on while any thread writes with this session, and back when the last has written."""
+    key = id(spark._jsparkSession)
+    with _lock:
+        if key not in _writing:
+            _writing[key] = [0, spark.conf.get(_CLEANUP, "false")]
+            spark.conf.set(_CLEANUP, "true")
+        _writing[key][0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[key][0] -= 1
+            if not _writing[key][0]:
+                spark.conf.set(_CLEANUP, _writing.pop(key)[1])
+
+
 def note_table(path: str) -> None:
     """Let the surrounding ``noted_tables``, if any, know of a table."""
     if (paths := _noted.get()) is not None:

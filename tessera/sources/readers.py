@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,18 +141,49 @@ def create_table(spark: SparkSession, names: list[str], types: list[str]) -> Dat
     return spark.createDataFrame([], T.StructType([T.StructField(ROW_ID, T.LongType()), *(T.StructField(n, spark_type(t)) for n, t in zip(names, types))]))
 
 
-_PROJECT = "name string, version string, createdAt string, datasets array<struct<id: string, name: string, sourceType: string, columns: array<struct<name: string, colType: string>>, rows: array<array<string>>>>"
+_SET = "struct<id: string, name: string, sourceType: string, columns: array<struct<name: string, colType: string>>, rows: array<array<string>>>"
+_PROJECT = f"name string, version string, createdAt string, datasets array<{_SET}>, snapshots array<struct<id: string, name: string, timestamp: string, snapshot: struct<datasets: array<{_SET}>>, datasets: array<{_SET}>>>"
+
+
+@dataclass(frozen=True)
+class ProjectFile:
+    """What a project file holds: ``(id, name, table)`` of its datasets, and of those of each snapshot."""
+
+    datasets: list[tuple[str, str, DataFrame]]
+    snapshots: dict[str, list[tuple[str, str, DataFrame]]]
+
+
+def read_project_file(spark: SparkSession, path: str) -> ProjectFile:
+    """All datasets of a project file, with those of its snapshots.
+
+    The file is read once, by one task, since it is one JSON value; its rows are
+    stored, one each, and every table comes from there.
+    """
+    whole = spark.read.schema(_PROJECT).option("multiLine", True).json(path)
+    own = whole.select(F.lit(None).cast("string").alias("snapshot"), F.lit(-1).alias("s"), F.posexplode("datasets").alias("d", "set"))
+    held = whole.select(F.posexplode("snapshots").alias("s", "x")).select(F.coalesce("x.name", F.col("x.id")).alias("snapshot"), "s", F.posexplode(F.coalesce("x.snapshot.datasets", "x.datasets")).alias("d", "set"))
+    sets = own.unionByName(held)
+    head = ["snapshot", "s", "d", F.col("set.id").alias("id"), F.col("set.name").alias("name"), F.col("set.columns").alias("columns")]
+    stored = durable(sets.select(*head, F.posexplode_outer("set.rows").alias("place", "row")), "project")
+    metas = stored.where("coalesce(place, 0) = 0").select("snapshot", "s", "d", "id", "name", "columns").distinct().orderBy("s", "d").collect()
+    text = spark_type("VARCHAR")
+
+    def table(m) -> tuple[str, str, DataFrame]:
+        cells = [convert(F.get("row", F.lit(i + 1)), text, c.colType).cast(spark_type(c.colType)).alias(c.name) for i, c in enumerate(m["columns"] or [])]
+        rows = stored.where((F.col("s") == m.s) & (F.col("d") == m.d) & F.col("row").isNotNull())
+        return m.id, m.name, rows.select(F.get("row", F.lit(0)).cast("long").alias(ROW_ID), *cells)
+
+    out = ProjectFile([], {})
+    for m in metas:
+        (out.datasets if m.s < 0 else out.snapshots.setdefault(m.snapshot, [])).append(table(m))
+    return out
 
 
 def read_project(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The datasets of a project file, by name.  One JSON file is one task: for interchange only."""
-    sets = spark.read.schema(_PROJECT).option("multiLine", True).json(path).select(F.explode("datasets").alias("d"))
-    out = {}
-    for meta in sets.select("d.id", "d.name", "d.columns").collect():
-        rows = sets.where(F.col("d.id") == meta.id).select(F.explode("d.rows").alias("r"))
-        text = spark_type("VARCHAR")
-        cells = [convert(F.get("r", F.lit(i + 1)), text, c.colType).cast(spark_type(c.colType)).alias(c.name) for i, c in enumerate(meta["columns"])]
-        out[meta.name] = rows.select(F.get("r", F.lit(0)).cast("long").alias(ROW_ID), *cells)
+    """The datasets of a project file, by name; where a name repeats, the later ones have their id behind it."""
+    out: dict[str, DataFrame] = {}
+    for key, name, df in read_project_file(spark, path).datasets:
+        out[name if name not in out else f"{name} ({key})"] = df
     return out
 
 

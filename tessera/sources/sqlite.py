@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import heapq
 import os
-import pickle
 import sqlite3
 import tempfile
 from collections.abc import Iterator
+from contextlib import closing
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from ..functions.names import ROW_ID, col, user_columns
 from ..functions.types import convert, spark_type
 from ..operators.rowid import assign_row_id
+from .writers import file_name
 
 SPLIT_ROWS, MOST_SPLITS = 100_000, 10_000
 
@@ -125,35 +128,59 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Part(WriterCommitMessage):
-    file: str | None
+    file: str
     rows: int
 
 
+_KINDS = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.BooleanType: "BOOLEAN", T.DoubleType: "DOUBLE", T.DateType: "DATE", T.TimestampNTZType: "TIMESTAMP"}
+_BATCH = 10_000
+
+
 class _Writer(DataSourceWriter):
-    """Tasks write part files beside the target; the commit appends them to it in one transaction."""
+    """Every task writes a database of its own beside the target.
+
+    The commit of a folder gives them their names.  That of a single file copies
+    them into it table by table, within SQLite, in one transaction each.
+    """
 
     def __init__(self, schema: T.StructType, options: dict) -> None:
         self.path, self.table, self.schema = options["path"], options["dbtable"], schema
+        self.shards = options.get("shards", "false").lower() == "true"
+
+    def _create(self, db: sqlite3.Connection) -> None:
+        fields = ", ".join(f"{_quoted(f.name)} {_KINDS.get(type(f.dataType), 'TEXT')}" for f in self.schema.fields)
+        db.execute(f"CREATE TABLE {_quoted(self.table)} ({fields})")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        handle, name = tempfile.mkstemp(prefix=".part-", dir=os.path.dirname(self.path) or ".")
-        n = 0
-        with os.fdopen(handle, "wb") as out:
-            for row in rows:
-                pickle.dump(tuple(v if isinstance(v, (int, float, str, type(None))) else str(v) for v in row), out)
-                n += 1
+        folder = self.path if self.shards else os.path.dirname(self.path) or "."
+        os.makedirs(folder, exist_ok=True)
+        handle, name = tempfile.mkstemp(prefix=".part-", dir=folder)
+        os.close(handle)
+        marks, n = ", ".join("?" * len(self.schema.fields)), 0
+        plain = (tuple(v if isinstance(v, (int, float, str, type(None))) else str(v) for v in row) for row in rows)
+        with closing(sqlite3.connect(name)) as db, db:
+            db.execute("PRAGMA journal_mode = OFF")
+            self._create(db)
+            while batch := list(islice(plain, _BATCH)):
+                db.executemany(f"INSERT INTO {_quoted(self.table)} VALUES ({marks})", batch)
+                n += len(batch)
         return _Part(name, n)
 
     def commit(self, messages: list) -> None:
-        kinds = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.BooleanType: "BOOLEAN", T.DoubleType: "DOUBLE", T.DateType: "DATE", T.TimestampNTZType: "TIMESTAMP"}
-        with sqlite3.connect(self.path) as db:
-            fields = ", ".join(f"{_quoted(f.name)} {kinds.get(type(f.dataType), 'TEXT')}" for f in self.schema.fields)
-            db.execute(f"DROP TABLE IF EXISTS {_quoted(self.table)}")
-            db.execute(f"CREATE TABLE {_quoted(self.table)} ({fields})")
-            marks = ", ".join("?" * len(self.schema.fields))
-            for m in messages:
-                with open(m.file, "rb") as part:
-                    db.executemany(f"INSERT INTO {_quoted(self.table)} VALUES ({marks})", (pickle.load(part) for _ in range(m.rows)))
+        parts = [m for m in messages if m]
+        if self.shards:
+            for i, m in enumerate(parts):
+                os.replace(m.file, f"{self.path}/{file_name(self.table)}-{i:05d}.db")
+            return
+        with closing(sqlite3.connect(self.path)) as db:
+            with db:
+                db.execute(f"DROP TABLE IF EXISTS {_quoted(self.table)}")
+                self._create(db)
+            for m in parts:
+                db.execute("ATTACH DATABASE ? AS part", (m.file,))
+                with db:
+                    db.execute(f"INSERT INTO {_quoted(self.table)} SELECT * FROM part.{_quoted(self.table)} ORDER BY rowid")
+                db.execute("DETACH DATABASE part")
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
@@ -181,22 +208,37 @@ class SQLiteSource(DataSource):
 
 
 def read_sqlite(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Every user table of a SQLite file, typed; values that don't fit their type are null."""
+    """Every user table of a SQLite file, typed; values that don't fit their type are null.
+
+    Of a folder, the tables of all its ``.db`` files; those of one name are one
+    table (with the columns that the first of its files has), in the order of the files.
+    """
     spark.dataSource.register(SQLiteSource)
-    out = {}
-    for name, columns in tables(path).items():
-        raw = spark.read.format("sqlite_file").option("path", path).option("dbtable", name).load()
-        text = spark_type("VARCHAR")
-        typed = raw.select("__rowid", *[convert(col(c), text, k).alias(c) if k != "VARCHAR" else col(c) for c, k in columns])
-        out[name] = assign_row_id(typed, F.col("__rowid")).drop("__rowid")
+    files = sorted(f"{path}/{f}" for f in os.listdir(path) if f.endswith(".db")) if os.path.isdir(path) else [path]
+    found: dict[str, tuple[list[tuple[str, str]], list[DataFrame]]] = {}
+    for at, file in enumerate(files):
+        for name, columns in tables(file).items():
+            columns, reads = found.setdefault(name, (columns, []))
+            raw = spark.read.format("sqlite_file").option("path", file).option("dbtable", name).load()
+            reads.append(raw.select(F.lit(at).alias("__file"), "__rowid", *[col(c) for c, _ in columns]))
+    out, text = {}, spark_type("VARCHAR")
+    for name, (columns, reads) in found.items():
+        whole = reduce(DataFrame.unionAll, reads)
+        typed = whole.select("__file", "__rowid", *[convert(col(c), text, k).alias(c) if k != "VARCHAR" else col(c) for c, k in columns])
+        out[name] = assign_row_id(typed, F.col("__file"), F.col("__rowid")).drop("__file", "__rowid")
     return out
 
 
-def export_sqlite(tables_by_name: dict[str, DataFrame], path: str) -> None:
-    """Each dataset as a table of its name, user columns only."""
+def export_sqlite(tables_by_name: dict[str, DataFrame], path: str, shards: bool = False) -> None:
+    """Each dataset as a table of its name, user columns only.
+
+    ``path`` is a file, or with ``shards`` a folder that gets a file per dataset
+    and partition: then rows pass no other process than the tasks'.
+    """
     for name, df in tables_by_name.items():
         df.sparkSession.dataSource.register(SQLiteSource)
-        df.select(*map(col, user_columns(df))).write.format("sqlite_file").option("path", path).option("dbtable", name).mode("append").save()
+        out = df.select(*map(col, user_columns(df))).write.format("sqlite_file").option("path", path).option("dbtable", name)
+        out.option("shards", str(shards).lower()).mode("append").save()
 
 
 __all__ = ["ROW_ID", "SQLiteSource", "export_sqlite", "mapped_type", "read_sqlite", "tables"]
