@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -213,20 +213,52 @@ def _vote(margins: np.ndarray, members: list[int], pairs: list[tuple[int, int, i
     return np.array(members)[best], least
 
 
-def decide(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Language number and score (0 to 1) of each row of pair margins."""
-    squash = lambda m: 1 / (1 + np.exp(-np.clip(SLOPE * m, -40, 40)))
+def _squash(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(SLOPE * margins, -40, 40)))
+
+
+def decide(margins: Callable[[list[int], np.ndarray], np.ndarray], n: int, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Language number and score (0 to 1) of ``n`` rows.
+
+    ``margins`` gives those of some pairs (by number) for some rows: those of the
+    families for all rows, then those of a family's languages for its rows only.
+    """
     of = [(i, a, b) for i, (kind, a, b) in enumerate(model.pairs) if kind == "family"]
-    family, least = _vote(margins, list(range(len(model.families))), of)
-    lang, score = np.zeros(len(margins), dtype=np.int64), squash(least)
+    every = np.arange(n)
+    local = lambda pairs: [(at, a, b) for at, (_, a, b) in enumerate(pairs)]
+    family, least = _vote(margins([i for i, _, _ in of], every), list(range(len(model.families))), local(of))
+    lang, score = np.zeros(n, dtype=np.int64), _squash(least)
     for k, members in enumerate(model.families):
         rows = np.flatnonzero(family == k)
+        if not len(rows):
+            continue
         own = [(i, a, b) for i, (kind, a, b) in enumerate(model.pairs) if kind == "lang" and a in members]
-        lang[rows], least = _vote(margins[rows], members, own)
-        score[rows] *= squash(least)
+        lang[rows], least = _vote(margins([i for i, _, _ in own], rows), members, local(own))
+        score[rows] *= _squash(least)
     return lang, score
 
 
+def _margins(model: Model, grams: list[np.ndarray], bounds: list[tuple[np.ndarray, np.ndarray]]) -> Callable[[list[int], np.ndarray], np.ndarray]:
+    """The margins of pairs for rows whose n-grams lie within ``bounds``; only the bytes of the rows asked for are looked at."""
+
+    def of(pairs: list[int], rows: np.ndarray) -> np.ndarray:
+        sums = np.zeros((len(rows), len(pairs)))
+        if not pairs:
+            return sums
+        for own, (lo, hi) in zip(grams, bounds):
+            lo, size = lo[rows], (hi - lo)[rows]
+            if len(rows) < len(hi):
+                ends = np.cumsum(size)
+                own = own[np.arange(ends[-1]) + np.repeat(lo - (ends - size), size)]
+                lo = ends - size
+            for k, pair in enumerate(pairs):
+                run = np.concatenate([[0.0], np.cumsum(model.weights[pair][own], dtype=np.float64)])
+                sums[:, k] += (run[lo + size] - run[lo]) * 10.0 / np.maximum(size, 1)
+        return sums + model.weights[pairs, -1]
+
+    return of
+
+
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``."""
     text_batches(docs.sparkSession)
@@ -243,15 +275,11 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             pred, score = np.full(batch.num_rows, "und", dtype=object), np.zeros(batch.num_rows)
             for part in words(batch.column(at), ink_table=letters) if model else ():
                 n = part.last - part.first
-                sums = np.zeros((n, len(model.pairs)))
-                for grams in _grams(part.data):
-                    lo = np.minimum(part.row_at[:-1], len(grams))
-                    hi = np.clip(part.row_at[1:] - (len(part.data) - len(grams)), lo, len(grams))
-                    for k, w in enumerate(model.weights):
-                        run_sum = np.concatenate([[0.0], np.cumsum(w[grams], dtype=np.float64)])
-                        sums[:, k] += (run_sum[hi] - run_sum[lo]) * 10.0 / np.maximum(hi - lo, 1)
-                sums += model.weights[:, -1]
-                lang, how = decide(sums, model)
+                grams, bounds = _grams(part.data), []
+                for own in grams:
+                    lo = np.minimum(part.row_at[:-1], len(own))
+                    bounds.append((lo, np.clip(part.row_at[1:] - (len(part.data) - len(own)), lo, len(own))))
+                lang, how = decide(_margins(model, grams, bounds), n, model)
                 plain = np.concatenate([[0], np.cumsum(ascii_letters[part.data])])
                 has = plain[part.row_at[1:]] > plain[part.row_at[:-1]]
                 for row in np.flatnonzero(~has & (np.diff(part.ptr) > 0)):
