@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .durable import text_batches
+from .durable import durable, text_batches
 from .wordbytes import SpanHashes, Words, latin_lower, letter_bytes, mix64, windows, words
 
 MAX_TOXIC, MAX_CLEAN, LONG_BYTES, MAX_BYTES = 600, 1600, 16 << 10, 8 << 20
@@ -229,8 +229,9 @@ def _chosen(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
     """``(id, toxic, bytes, hash)`` of the texts to learn from, at most ``MAX_TOXIC + MAX_CLEAN``."""
     known = labels.where(labels[f"`{label_col}`"].isin(0, 1)).groupBy(labels[f"`{id_col}`"].alias("id")).agg(F.max(f"`{label_col}`").alias("toxic"))
     text = docs[f"`{text_col}`"]
-    shortest = docs.where(text.isNotNull()).groupBy(docs[f"`{id_col}`"].alias("id")).agg(F.min(F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash"))).alias("t"))
-    known = known.join(shortest, "id").select("id", "toxic", "t.bytes", "t.hash")
+    # Texts are looked at once, and what is kept of the labelled ones is stored; others don't reach the grouping.
+    sized = docs.where(text.isNotNull()).select(docs[f"`{id_col}`"].alias("id"), F.struct(F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash")).alias("t"))
+    known = durable(sized.join(known, "id").groupBy("id", "toxic").agg(F.min("t").alias("t")).select("id", "toxic", "t.bytes", "t.hash"), "labelled")
     order = (F.col("bytes") > LONG_BYTES), F.xxhash64(F.col("id").cast("string")), F.col("id").cast("string")
     out = []
     for kind, most in ((1, MAX_TOXIC), (0, MAX_CLEAN)):
