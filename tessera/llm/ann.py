@@ -37,6 +37,8 @@ from pyspark.sql.window import Window as W
 from .durable import durable
 
 SHARD_NODES, MOST_NODES, SHARDS, QUERY_BLOCK = 4096, 32_768, 256, 16_384
+#: Bytes of the vectors of a shard, which are one cell.
+MOST_BYTES = 128 << 20
 M, EF_BUILD, EF_SEARCH = 12, 80, 120
 #: Unit components are equal if they round to the same multiple of this.
 GRAIN = 1e-7
@@ -142,10 +144,10 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.where(F.col("id").isNotNull() & (F.col("dim") > 0) & whole & F.exists("v", lambda x: x != 0))
 
 
-def shard_count(nodes: int) -> int:
-    """Shards of ``SHARD_NODES`` nodes, beyond ``SHARDS`` of them larger ones, up to ``MOST_NODES``."""
+def shard_count(nodes: int, size: int = 0) -> int:
+    """Shards of ``SHARD_NODES`` nodes, beyond ``SHARDS`` of them larger ones, up to ``MOST_NODES`` nodes or about ``MOST_BYTES`` of the ``size`` of all vectors."""
     each = min(max(SHARD_NODES, -(-nodes // SHARDS)), MOST_NODES)
-    return max(1, -(-nodes // each))
+    return max(1, -(-nodes // each), -(-size // MOST_BYTES))
 
 
 def build_index(rows: DataFrame, k: int) -> DataFrame:
@@ -156,7 +158,8 @@ def build_index(rows: DataFrame, k: int) -> DataFrame:
     keyed = rows.distinct().withColumn("d", direction).select("id", "v", "dim", F.xxhash64("d").alias("d1"), F.xxhash64(F.lit("2"), "d").alias("d2"))
     few = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     nodes = durable(few.groupBy("d1", "d2", "dim").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("held")), "nodes")
-    counts = {r.dim: shard_count(r["count"]) for r in nodes.groupBy("dim").count().collect()}
+    sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.size("held").cast("long")).alias("rows")).collect()
+    counts = {r.dim: shard_count(r.nodes, 8 * r.dim * r.rows) for r in sizes}
     if not counts:
         counts = {0: 1}
     shards = F.element_at(F.create_map(*[F.lit(x) for pair in counts.items() for x in pair]), F.col("dim"))

@@ -250,6 +250,23 @@ def test_shards_grow_with_the_nodes():
     assert ann.shard_count(10**7) == -(-(10**7) // ann.MOST_NODES) and ann.shard_count(2 * 10**6) == ann.SHARDS
 
 
+def test_shards_are_bounded_in_bytes(spark, monkeypatch):
+    assert ann.shard_count(1000, 1000 * 6 * 1536 * 8) == 1 and ann.shard_count(30_000, 30_000 * 6 * 4096 * 8) == -(-30_000 * 6 * 4096 * 8 // ann.MOST_BYTES)
+    monkeypatch.setattr(ann, "MOST_BYTES", 6000)
+    rng = np.random.default_rng(3)
+    data = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 40)))]
+    rows = ann.valid_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    index = ann.build_index(rows, 3).collect()
+    assert len(index) >= 3 and max(len(r.vectors) for r in index) < 4 * 6000
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(ann.build_index(rows, 3), rows.where("id < 10"), 3).collect()}
+    x = np.array([v for _, v in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(10):
+        sims = x @ x[q]
+        sims[q] = -2
+        assert [got[q, r] for r in (1, 2, 3)] == np.argsort(-sims)[:3].tolist()
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     blocks = [b"HTTP/1.0 200 OK\r\nX-Page-Id: 4\r\n\r\n" + p for p in (b"", b"a\n\nb\r\n\r\nc", "é".encode() * 9)]
