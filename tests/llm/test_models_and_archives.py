@@ -8,6 +8,7 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,69 @@ def test_marginals_are_exact_across_documents():
     assert np.allclose(got, np.concatenate([brute_marginals(d, model) for d in docs]))
 
 
+def log_partition(score, trans, start):
+    n = len(score)
+    every = [start[t[0]] + sum(trans[a, b] for a, b in zip(t, t[1:])) + sum(s for s, x in zip(score, t) if x) for t in itertools.product((0, 1), repeat=n)]
+    return float(np.logaddexp.reduce(every))
+
+
+def test_gradient_of_the_field_is_that_of_its_partition_function():
+    """Expected transitions, starts and tags are the derivatives of log Z, taken numerically over all tag sequences."""
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2), np.zeros(3))
+    docs = [rng.normal(size=n) for n in (4, 1, 6, 2)]
+    begin = np.concatenate([[True] + [False] * (len(d) - 1) for d in docs])
+    p, alpha, beta, mats = toxicity.forward_backward(np.concatenate(docs), begin, model)
+    whole = lambda trans, start, docs=docs: sum(log_partition(d, trans, start) for d in docs)
+    step = 1e-5
+    for a, b in itertools.product((0, 1), repeat=2):
+        up, down = model.trans.copy(), model.trans.copy()
+        up[a, b] += step
+        down[a, b] -= step
+        assert abs((whole(up, model.start) - whole(down, model.start)) / (2 * step) - toxicity._pairs(alpha, beta, mats, begin)[a, b]) < 1e-6
+    one = np.array([0.0, step])
+    assert abs((whole(model.trans, model.start + one) - whole(model.trans, model.start - one)) / (2 * step) - p[begin].sum()) < 1e-6
+    for i in range(len(docs[2])):
+        up, down = docs[2].copy(), docs[2].copy()
+        up[i] += step
+        down[i] -= step
+        slope = (log_partition(up, model.trans, model.start) - log_partition(down, model.trans, model.start)) / (2 * step)
+        assert abs(slope - p[5 + i]) < 1e-6
+
+
+def test_token_labels_match_counting():
+    """Tokens of toxic texts are marked by words and prefixes that toxic texts have far beyond chance."""
+    rng = random.Random(9)
+    plain, bad = ["alpha", "beta", "gamma", "delta", "omega"], ["vilest", "vileness"]
+    toxic = np.array([i % 3 == 0 for i in range(60)])
+    texts = [" ".join(rng.choices(plain, k=6) + ([rng.choice(bad)] if t else [])) for t in toxic]
+    part = next(toxicity.words(pa.array(texts), ink_table=toxicity.letter_bytes()))
+    doc = np.repeat(np.arange(60), np.diff(part.ptr))
+    got = toxicity._token_labels(toxicity._features(part), doc, toxic)
+    tokens = [w for t in texts for w in t.split()]
+    assert [bool(x) for x in got] == [bool(toxic[d]) and w in bad for w, d in zip(tokens, doc)]
+
+
+def test_document_inputs_and_scores():
+    rng = np.random.default_rng(2)
+    p, doc = rng.random(50), np.sort(rng.integers(0, 8, 50))
+    got = toxicity._doc_inputs(p, doc, 9)
+    for d in range(9):
+        own = p[doc == d]
+        assert np.allclose(got[d], [1, np.log1p(own[own >= 0.1].sum()), own.max(initial=0)])
+    pool = ["".join(chr(97 + int(x)) for x in rng.integers(0, 26, 6)) for _ in range(300)]
+    texts = [" ".join([pool[int(x)] for x in rng.integers(0, 300, 8)] + (["vilest"] if i % 4 == 0 else [])) for i in range(120)]
+    toxic = np.array([i % 4 == 0 for i in range(120)])
+    model = toxicity.train(texts, toxic)
+    part = next(toxicity.words(pa.array(texts), ink_table=toxicity.letter_bytes()))
+    begin = np.zeros(len(part.starts), dtype=bool)
+    begin[part.ptr[:-1]] = True
+    emit = sum(model.weights[i] for i in toxicity._index(toxicity._features(part)))
+    marginals = toxicity.forward_backward(emit, begin, model)[0]
+    z = [1 / (1 + np.exp(-float(toxicity._doc_inputs(marginals[a:b], np.zeros(b - a, int), 1)[0] @ model.doc))) for a, b in zip(part.ptr[:-1], part.ptr[1:])]
+    assert [x >= 0.5 for x in z] == toxic.tolist()
+
+
 def test_block_scan_matches_steps():
     rng = np.random.default_rng(1)
     mats = rng.random((1000, 2, 2)) + 0.01
