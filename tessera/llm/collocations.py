@@ -49,7 +49,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 #: Rows of an id table that is broadcast (12 bytes each).
 MAX_LOOKUP = 4 << 20
-_SEQUENCE = 1 << 19
+_SEQUENCE = 1 << 16
 #: Names of words that a task holds before it sends them.
 _NAMES = 1 << 16
 _ROWS = "flush long, ids binary, bucket long, langs array<string>, words array<string>"
