@@ -54,7 +54,7 @@ _lock = threading.Lock()
 @contextmanager
 def _cleaning(spark: SparkSession) -> Iterator[None]:
     """Turns the cleanup on while any thread writes with this session, and back when the last has written."""
-    key = id(spark._jsparkSession)
+    key = spark._jsparkSession.hashCode()  # the same for every Python object of a session
     with _lock:
         if key not in _writing:
             _writing[key] = [0, spark.conf.get(_CLEANUP, "false")]

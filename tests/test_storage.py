@@ -58,3 +58,14 @@ def test_a_durable_table_leaves_no_setting_changed_and_reads_after_its_shuffles_
     assert spark.conf.get(key) == was
     assert sorted(table.collect()) == sorted(grouped.collect())
     assert sorted(storage.durable(grouped, "again").collect()) == sorted(grouped.collect())
+
+
+def test_writes_of_many_threads_leave_the_session_as_it_was(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from tessera.functions import storage
+
+    was = spark.conf.get(storage._CLEANUP, "false")
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda i: storage.durable(spark.range(i + 1).toDF("x"), "many").count(), range(12)))
+    assert counts == list(range(1, 13)) and spark.conf.get(storage._CLEANUP) == was and storage._writing == {}
