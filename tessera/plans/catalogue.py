@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from urllib.parse import urlparse
 
@@ -503,9 +502,9 @@ def _(spark, d):
 
 @query("sqlite_roundtrip", "SELECT row_number() OVER () AS _row_id, s_suppkey, s_name, s_nationkey::BIGINT AS s_nationkey, s_acctbal FROM (SELECT * FROM supplier ORDER BY s_suppkey)")
 def _(spark, d):
-    folder = tempfile.mkdtemp(dir=urlparse(fresh_path(spark, "x").rpartition("/")[0]).path)
-    sqlite.export_sqlite({"supplier": table(spark, d, "supplier").orderBy("s_suppkey").coalesce(1)}, f"{folder}/a.db")
-    return sqlite.read_sqlite(spark, f"{folder}/a.db")["supplier"]
+    folder = urlparse(fresh_path(spark, "sqlite")).path  # SQLite itself opens the files, one for each partition
+    sqlite.export_sqlite({"supplier": table(spark, d, "supplier").orderBy("s_suppkey")}, folder, shards=True)
+    return sqlite.read_sqlite(spark, folder)["supplier"]
 
 
 @query("snapshot_restore", "SELECT s_suppkey AS _row_id, s_name FROM supplier")
