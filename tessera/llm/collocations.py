@@ -44,6 +44,7 @@ from ..operators.rowid import assign_row_id
 from .durable import durable, text_batches
 from .pairtiles import BLOBS, Gather, bucket_of, count_pairs, merged, n_buckets, pairs_in
 from .wordbytes import Words, mix64, words
+from .workers import freeing, freeing_group
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -107,7 +108,7 @@ def _word_counts(docs: DataFrame, least: int) -> DataFrame:
             yield from gather.add(keys)
         yield from gather.cut()
 
-    return merged(docs.mapInArrow(task, BLOBS), least, as_rows=True)
+    return merged(docs.mapInArrow(freeing(task), BLOBS), least, as_rows=True)
 
 
 def _ranked(counted: DataFrame, name: str) -> DataFrame:
@@ -182,7 +183,7 @@ def _named(rows: DataFrame) -> DataFrame:
         langs, texts = (pc.list_flatten(table[c]) for c in ("langs", "words"))
         return pa.table({"key": pa.array(keys[first]), "lang": langs.take(pa.array(first)), "word": texts.take(pa.array(first))})
 
-    return rows.where("bucket >= 0").select("bucket", "ids", "langs", "words").groupBy("bucket").applyInArrow(once, "key long, lang string, word string")
+    return rows.where("bucket >= 0").select("bucket", "ids", "langs", "words").groupBy("bucket").applyInArrow(freeing_group(once), "key long, lang string, word string")
 
 
 def _totals(rows: DataFrame) -> DataFrame:
@@ -233,7 +234,7 @@ def _encoded(docs: DataFrame, known, buckets: int) -> DataFrame:
         yield from names.cut()
         yield _row(None, np.array(list(total.values()), np.int64), -1, list(total))
 
-    return docs.mapInArrow(task, _ROWS)
+    return docs.mapInArrow(freeing(task), _ROWS)
 
 
 def _add_up(total: dict[str, int], langs: list[str], part: Words) -> None:
@@ -261,7 +262,7 @@ def _rewritten(sequences: DataFrame, known) -> DataFrame:
                 out = _runs(_find(_adjacent(np.frombuffer(blob, np.int32)), known.value))
                 yield pa.RecordBatch.from_arrays([pa.array([flush], pa.int64()), pa.array([out.tobytes()], pa.binary())], names=["flush", "ids"])
 
-    return sequences.select("flush", "ids").mapInArrow(task, "flush long, ids binary")
+    return sequences.select("flush", "ids").mapInArrow(freeing(task), "flush long, ids binary")
 
 
 def _adjacent(ids: np.ndarray) -> np.ndarray:
@@ -311,7 +312,7 @@ def _asked(sequences: DataFrame, table: DataFrame, n: int) -> DataFrame:
         return pa.table({"flush": own["flush"], "ids": pa.array(out, pa.binary())})
 
     kept = table.select((F.pmod(F.pmod("key", F.lit(1_000_003)), F.lit(buckets))).alias("bucket"), "key", "id")
-    asked = sequences.mapInArrow(ask, _ASK)
+    asked = sequences.mapInArrow(freeing(ask), _ASK)
     answers = asked.groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(answer, _ASK)
     return sequences.groupBy("flush").cogroup(answers.groupBy("flush")).applyInArrow(back, "flush long, ids binary")
 
@@ -330,7 +331,7 @@ def _keyed_texts(docs: DataFrame, buckets: int) -> DataFrame:
         yield from names.cut()
         yield _row(None, np.array(list(total.values()), np.int64), -1, list(total))
 
-    return docs.mapInArrow(task, _ROWS)
+    return docs.mapInArrow(freeing(task), _ROWS)
 
 
 def _first_level(docs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordbytes import mix64
+from .workers import freeing, freeing_group
 
 SIDE, HEAD, DENSE_PAIRS = 256, 4096, 8192
 FLUSH_KEYS = 1 << 19
@@ -134,7 +135,7 @@ def merged(sent: DataFrame, least: int = 1, as_rows: bool = False) -> DataFrame:
         return pa.table(dict(zip(("key", "n"), map(pa.array, total(table)))))
 
     groups = sent.groupBy("bucket")
-    return groups.applyInArrow(rows, "key long, n long") if as_rows else groups.applyInArrow(blob, BLOBS)
+    return groups.applyInArrow(freeing_group(rows), "key long, n long") if as_rows else groups.applyInArrow(freeing_group(blob), BLOBS)
 
 
 def pairs_in(ids: np.ndarray) -> np.ndarray:
@@ -162,4 +163,4 @@ def count_pairs(sequences: DataFrame, least: int, column: str = "ids", read: Cal
                 yield from gather.add(pairs_in(ids))
         yield from gather.cut()
 
-    return merged(sequences.mapInArrow(task, BLOBS), least, as_rows)
+    return merged(sequences.mapInArrow(freeing(task), BLOBS), least, as_rows)

@@ -104,7 +104,7 @@ def letter_bytes() -> np.ndarray:
     return table
 
 
-def words(column: pa.Array, slice_bytes: int = 1 << 20, ink_table: np.ndarray | None = None) -> Iterator[Words]:
+def words(column: pa.Array, slice_bytes: int = 1 << 18, ink_table: np.ndarray | None = None) -> Iterator[Words]:
     """The words of every row; a null row has none.  ``ink_table``: the bytes that make words, if others."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
