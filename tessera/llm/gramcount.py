@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.taskcontext import TaskContext
 
 from .durable import text_batches
+from .workers import freeing, freeing_group
 
 #: Hashes per bucket aimed at, and bytes of text gathered before blobs are cut.
 BUCKET_ITEMS = 256 << 10
@@ -206,9 +207,9 @@ def repeats(blobs: DataFrame, width: int, with_counts: bool) -> DataFrame:
             }
         )
 
-    return blobs.groupBy("bucket").applyInArrow(find, "bucket long, flush long, kind byte, refs binary, hashes binary")
+    return blobs.groupBy("bucket").applyInArrow(freeing_group(find), "bucket long, flush long, kind byte, refs binary, hashes binary")
 
 
 def scan(docs: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     text_batches(docs.sparkSession)
-    return docs.mapInArrow(task, BLOBS_DDL)
+    return docs.mapInArrow(freeing(task), BLOBS_DDL)

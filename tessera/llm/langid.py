@@ -38,6 +38,7 @@ from pyspark.sql.window import Window as W
 
 from .durable import durable, text_batches
 from .wordbytes import latin_lower, letter_bytes, words
+from .workers import freeing
 
 PER_LANG, MAX_LANGS = 400, 200
 #: Parts in which the rows of a language are ranked before they are ranked together.
@@ -290,7 +291,7 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in where), pa.array(pred, pa.string()), pa.array(score)], names=[*(f"c{i}" for i in range(len(names))), "lang_pred", "score"])
 
     kinds = ", ".join([f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names)] + ["lang_pred string", "score double"])
-    return docs.mapInArrow(run, kinds).toDF(*names, "lang_pred", "score")
+    return docs.mapInArrow(freeing(run), kinds).toDF(*names, "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -53,6 +53,7 @@ from .components import connected_components
 from .durable import delete_tables, durable, note_table, noted_tables
 from .gramcount import FLUSH_BYTES, Flusher, bucket_of, gram_ids, n_buckets, repeats, scan, unpack_counted, unpack_refs
 from .wordbytes import mix64, windows, words
+from .workers import freeing, freeing_group
 
 NGRAM, PERCENT = 5, 75
 _HASH_BYTES = 6
@@ -172,7 +173,7 @@ def _sets(docs: DataFrame, ngram: int, percent: int) -> DataFrame:
 
     found = repeats(scan(docs, task), _HASH_BYTES, with_counts=True)
     schema = T.StructType([T.StructField("id", id_type), *(T.StructField(k, T.LongType()) for k in ("n", "c1", "c2")), T.StructField("shared", T.BinaryType()), T.StructField("prefix", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    return found.groupBy("flush").applyInArrow(settle, schema)
+    return found.groupBy("flush").applyInArrow(freeing_group(settle), schema)
 
 
 def _unpack_prefix(with_before: bool):
@@ -200,7 +201,7 @@ def _unpack_prefix(with_before: bool):
 
 def _prefix_rows(sets: DataFrame, with_before: bool = False) -> DataFrame:
     kinds = "c1 long, c2 long, n long, h long, pos int, " + ", ".join(f"s{k} int" for k in range(_RANGES)) + ", before array<long>" * with_before
-    return sets.select("c1", "c2", "n", "prefix").mapInArrow(_unpack_prefix(with_before), kinds).withColumn("key", F.struct("c1", "c2"))
+    return sets.select("c1", "c2", "n", "prefix").mapInArrow(freeing(_unpack_prefix(with_before)), kinds).withColumn("key", F.struct("c1", "c2"))
 
 
 def _can_link(percent: int, first: bool = False):
@@ -244,7 +245,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     key = "struct<c1: long, c2: long>"
-    return both.mapInArrow(verify, f"a {key}, b {key}")
+    return both.mapInArrow(freeing(verify), f"a {key}, b {key}")
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:

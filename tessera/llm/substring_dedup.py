@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from .gramcount import FLUSH_BYTES, Flusher, n_buckets, pack_refs, repeats, scan, unpack_refs
 from .wordbytes import inside, windows, words
+from .workers import freeing, freeing_group
 
 #: Words in a window of the production query.
 WIDTH = 35
@@ -82,7 +83,7 @@ def _marks(keyed: DataFrame, width: int) -> DataFrame:
         return pa.table({"k1": pa.array(k1[rows], pa.int64()), "k2": pa.array(k2[rows], pa.int64()), "spans": pa.array(out, pa.binary())})
 
     found = repeats(scan(keyed.select("k1", "k2", "text"), task), _HASH_BYTES, with_counts=False)
-    return found.groupBy("flush").applyInArrow(spans, "k1 long, k2 long, spans binary").groupBy("k1", "k2").agg(F.first("spans").alias("spans"))
+    return found.groupBy("flush").applyInArrow(freeing_group(spans), "k1 long, k2 long, spans binary").groupBy("k1", "k2").agg(F.first("spans").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
@@ -136,7 +137,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         [T.StructField(n, f.dataType) for n, f in zip(names, own)]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed_spans", T.ArrayType(span))]
     )
-    return joined.mapInArrow(cut, schema).toDF(*docs.columns, *added)
+    return joined.mapInArrow(freeing(cut), schema).toDF(*docs.columns, *added)
 
 
 def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
