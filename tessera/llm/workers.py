@@ -9,25 +9,17 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import pyarrow as pa
 
 
-@cache
-def _trim() -> Callable[[int], int] | None:
-    """``malloc_trim``, where the C library has it."""
-    try:
-        return ctypes.CDLL(None).malloc_trim
-    except (AttributeError, OSError):
-        return None
-
-
 def give_back() -> None:
-    """Return freed memory of this process to the system."""
+    """Return freed memory of this process to the system, as far as the C library can."""
     pa.default_memory_pool().release_unused()
-    if trim := _trim():
-        trim(0)
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def freeing(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

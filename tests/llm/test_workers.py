@@ -43,3 +43,15 @@ def test_memory_goes_back_at_the_end_of_a_task():
 
     assert held_by(freeing(task)) < 60 << 20 < held_by(task)
     assert freeing_group(lambda x: x + 1)(1) == 2
+
+
+def test_tasks_travel_without_the_package(tmp_path):
+    """A worker on a cluster has no install of the package."""
+    import subprocess
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "task").write_bytes(cloudpickle.dumps(freeing(lambda batches: batches)))
+    read = f"import pickle; print(list(pickle.load(open({str(tmp_path / 'task')!r}, 'rb'))(iter([1]))))"
+    out = subprocess.run([sys.executable, "-c", read], cwd=tmp_path, capture_output=True, text=True)
+    assert out.stdout.strip() == "[1]", out.stderr
