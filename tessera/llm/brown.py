@@ -7,17 +7,22 @@ the end stands before the first word.
 1. A scan turns texts into sequences of slots, a slot being one distinct word of
    a flush (about 6 MB of text).  Exact training counts of all words are summed in
    hash buckets and return to their flush; a word costs one entry per flush.
-2. Words with at least one in ``SHARE`` of the training tokens (and ``RARE``
-   occurrences) are clustered; there are at most ``SHARE`` of them, however large
-   the corpus.  All other words are in classes by the power of two of their
-   count; an unknown word is one more word of the rarest of these.
+2. Words met fewer than ``RARE`` times are in classes by the power of two of their
+   count; an unknown word is one more word of the rarest of these.  All others are
+   clustered: those with at least one in ``SHARE`` of the training tokens (at most
+   ``SHARE`` of them, however large the corpus) as in 3 and 4, the rest as in 5.
 3. Counts of adjacent pairs (``pairtiles``) are grouped by word, in blocks.
 4. The ``CLASSES`` most frequent words begin a class each.  In every round each
    block takes its words out of their class one by one and puts each where the
    likelihood of the class bigrams is greatest, exactly for its own moves, with
    the counts of the round before for those of other blocks.  Moves are applied
    together, or the better half of them if that lowers the likelihood.
-5. ``P(class | before) = (n(before, class) + K * P(class)) / (n(before) + K)`` with
+5. Each of the rest is placed where the likelihood is greatest, exactly for its own
+   neighbours, with the classes of 4 for all others (the rest count as of the power
+   of two of their count).  Their neighbours are counted in flushes and merged in
+   hash buckets; the classes return to the flushes, and the bigrams of all classes
+   are counted again.
+6. ``P(class | before) = (n(before, class) + K * P(class)) / (n(before) + K)`` with
    ``K = 5``, and ``P(word | class) = (n(word) + 1) / (N(class) + V(class))``, with one
    more in the rarest class for the unknown word: over all known words, the end and
    one unknown word they sum to 1.
@@ -45,9 +50,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
-from .durable import delete_tables, durable, noted_tables, text_batches
-from .pairtiles import FLUSH_KEYS, count_pairs, n_buckets, run_counts
+from .durable import delete_tables, durable, note_table, noted_tables, text_batches
+from .pairtiles import FLUSH_KEYS, bucket_of, count_pairs, n_buckets, run_counts
 from .wordbytes import words
+from .workers import freeing, freeing_group
 
 CLASSES, ROUNDS, RARE, SHARE = 64, 5, 5, 1 << 19
 SMOOTHING = 5.0
@@ -99,7 +105,7 @@ def _flushes(docs: DataFrame, id_type: T.DataType) -> DataFrame:
         if held:
             yield cut()
 
-    return durable(docs.mapInArrow(task, schema), "flushes")
+    return durable(docs.mapInArrow(freeing(task), schema), "flushes")
 
 
 def _answers(flushes: DataFrame, frequent: int, slots: int) -> DataFrame:
@@ -133,8 +139,8 @@ def _answers(flushes: DataFrame, frequent: int, slots: int) -> DataFrame:
         rows += [(1, bucket, None, known[0][many].tobytes(), known[1][many].tobytes()), (2, bucket, None, b"", band.tobytes())]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "bucket", "flush", "keys", "n"])
 
-    asked = flushes.select("flush", "hashes", "n").mapInArrow(ask, kinds)
-    return durable(asked.groupBy("bucket").applyInArrow(total, kinds), "answers")
+    asked = flushes.select("flush", "hashes", "n").mapInArrow(freeing(ask), kinds)
+    return durable(asked.groupBy("bucket").applyInArrow(freeing_group(total), kinds), "answers")
 
 
 @dataclass
@@ -198,20 +204,29 @@ def _summed(blobs: DataFrame, part: slice) -> np.ndarray:
 
 
 def _coded(flushes: DataFrame, answers: DataFrame, vocabulary) -> DataFrame:
-    """Flushes with the training count and the unit of each slot."""
-    schema = T.StructType([f for f in flushes.schema.fields if f.name not in ("hashes", "n")] + [T.StructField(c, T.BinaryType()) for c in ("count", "unit")])
+    """Flushes with the training count and the unit of each slot, and the hashes of the slots of the rest."""
+    schema = T.StructType([f for f in flushes.schema.fields if f.name not in ("hashes", "n")] + [T.StructField(c, T.BinaryType()) for c in ("count", "unit", "rest")])
 
     def join(own: pa.Table, found: pa.Table) -> pa.Table:
         found = found.sort_by("bucket")
         count = np.frombuffer(b"".join(found["n"].to_pylist()), np.int64)
-        unit = vocabulary.value.units(np.frombuffer(own["hashes"][0].as_py(), np.uint64), count)
+        hashes = np.frombuffer(own["hashes"][0].as_py(), np.uint64)
+        unit = vocabulary.value.units(hashes, count)
+        rest = hashes[_is_rest(count, vocabulary.value.frequent)]
         kept = own.drop(["hashes", "n"])
-        return kept.append_column("count", pa.array([count.tobytes()], pa.binary())).append_column("unit", pa.array([unit.tobytes()], pa.binary()))
+        for name, x in (("count", count), ("unit", unit), ("rest", rest)):
+            kept = kept.append_column(name, pa.array([x.tobytes()], pa.binary()))
+        return kept
 
     found = answers.where("kind = 0").select("flush", "bucket", "n")
     return durable(flushes.groupBy("flush").cogroup(found.groupBy("flush")).applyInArrow(join, schema), "coded")
 
 
+def _is_rest(count: np.ndarray, frequent: int) -> np.ndarray:
+    """The words that are clustered, but not among the frequent ones."""
+    return (count >= RARE) & (count < frequent)
+
+
 def _with_ends(values: np.ndarray, ptr: np.ndarray, end: int) -> np.ndarray:
     """The values of all rows, each followed by ``end``."""
     return np.insert(values, ptr[1:], end)
@@ -258,8 +273,8 @@ def _blocks(pairs: DataFrame, n_words: int) -> DataFrame:
             out |= {f"keys{side}": pa.array([keys.tobytes()], pa.binary()), f"n{side}": pa.array([n.tobytes()], pa.binary())}
         return pa.table(out)
 
-    dealt = pairs.select("keys", "n").mapInArrow(deal, "bucket long, side int, keys binary, n binary")
-    return durable(dealt.groupBy("bucket").applyInArrow(gather, "bucket long, keys0 binary, n0 binary, keys1 binary, n1 binary"), "blocks")
+    dealt = pairs.select("keys", "n").mapInArrow(freeing(deal), "bucket long, side int, keys binary, n binary")
+    return durable(dealt.groupBy("bucket").applyInArrow(freeing_group(gather), "bucket long, keys0 binary, n0 binary, keys1 binary, n1 binary"), "blocks")
 
 
 def _h(x: np.ndarray) -> np.ndarray:
@@ -365,6 +380,26 @@ def _class_bigrams(pairs: DataFrame, of: np.ndarray, width: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
+def _sequence_bigrams(coded: DataFrame, of: np.ndarray, end: int, width: int) -> np.ndarray:
+    """Bigrams of the classes in the training rows."""
+    shared = coded.sparkSession.sparkContext.broadcast(of)
+    read = _trained(end)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * width, dtype=np.int64)
+        for batch in batches:
+            for units in read(batch):
+                classes = shared.value[units].astype(np.int64)
+                total += np.bincount(classes[:-1] * width + classes[1:], minlength=width * width)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(width * width, dtype=np.int64)
+    for at, n in coded.select("train", "ptr", "seq", "unit").mapInArrow(freeing(task), "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        out[at] = n
+    return out.reshape(width, width)
+
+
 def cluster(pairs: DataFrame, vocabulary: Vocabulary, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """The class of every unit, the class bigrams, and the likelihood after each round.
 
@@ -396,6 +431,132 @@ def cluster(pairs: DataFrame, vocabulary: Vocabulary, classes: int = CLASSES, ro
     return of, table, told
 
 
+def _neighbours(coded: DataFrame, shared, frequent: int, end: int, width: int, buckets: int) -> DataFrame:
+    """The slots of the rest by hash bucket: their hashes, and how often the classes are met after them (codes from 0), before them (from ``width``), and themselves (the last code)."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value[0]
+        for batch in batches:
+            for flush, train, ptr, seq, count, unit, rest in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                hashes = np.frombuffer(rest, np.uint64)
+                if not len(hashes):
+                    continue
+                train, ptr = np.frombuffer(train, np.uint8).astype(bool), np.frombuffer(ptr, np.int64)
+                slots = np.flatnonzero(_is_rest(np.frombuffer(count, np.int64), frequent))
+                known = len(count) // 8
+                place = np.full(known + 1, -1, np.int64)  # the end is one more slot
+                place[slots] = np.arange(len(slots))
+                classes = of[np.append(np.frombuffer(unit, np.int32), end)].astype(np.int64)
+                lengths = np.diff(ptr)
+                seq = _wide(seq, int(ptr[-1]))[np.repeat(train, lengths)]
+                seq = np.concatenate([[known], _with_ends(seq, np.cumsum(np.concatenate([[0], lengths[train]])), known)])
+                a, b = seq[:-1], seq[1:]
+                keys = []
+                for own, other, base in ((a, b, 0), (b, a, width)):
+                    at = np.flatnonzero((place[own] >= 0) & (own != other))
+                    keys.append(place[own[at]] * (2 * width + 1) + base + classes[other[at]])
+                at = np.flatnonzero((place[a] >= 0) & (a == b))
+                keys.append(place[a[at]] * (2 * width + 1) + 2 * width)
+                keys, n = run_counts(np.concatenate(keys))
+                where = bucket_of(hashes, buckets)
+                order = np.argsort(where, kind="stable")
+                edges = np.flatnonzero(np.diff(where[order], prepend=-1))
+                owner = keys // (2 * width + 1)
+                rows = []
+                for lo, hi in zip(edges, [*edges[1:], len(order)]):
+                    mine = order[lo:hi]  # ascending, as are the owners of the keys
+                    first, last = np.searchsorted(owner, mine), np.searchsorted(owner, mine, side="right")
+                    size = last - first
+                    take = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    own = np.repeat(np.arange(len(mine)), size) * (2 * width + 1) + keys[take] % (2 * width + 1)
+                    rows.append((int(where[mine[0]]), flush, hashes[mine].tobytes(), own.astype(np.int64).tobytes(), n[take].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["bucket", "flush", "hashes", "keys", "n"])
+
+    return coded.select("flush", "train", "ptr", "seq", "count", "unit", "rest").mapInArrow(freeing(task), "bucket long, flush long, hashes binary, keys binary, n binary")
+
+
+def best_classes(table: np.ndarray, classes: int, band: np.ndarray, after: np.ndarray, before: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """The class of the greatest likelihood for each word, the others staying where they are.
+
+    ``after`` and ``before`` count each word's neighbours by class (without itself, which follows itself ``twice`` times), and
+    ``table`` holds the word as one of its ``band``.
+    """
+    k, out = classes, np.empty(len(band), np.int32)
+    row, col = table.sum(axis=1)[:k], table.sum(axis=0)[:k]
+    own = np.arange(k)
+    for i in range(len(band)):
+        a, b = np.flatnonzero(after[i]), np.flatnonzero(before[i])
+        right, left = table[:k, a].astype(np.float64), table[b, :k].T.astype(np.float64)
+        # The word leaves its band: where that is a neighbour's class, the cells hold the word's own bigrams.
+        right[:, a == band[i]] -= before[i, :k, None]
+        left[:, b == band[i]] -= after[i, :k, None]
+        gain = np.zeros(k)
+        for cells, at, n in ((right, a, after[i, a]), (left, b, before[i, b])):
+            more = _h(cells + n) - _h(cells)
+            gain += more.sum(axis=1)
+            inner = np.flatnonzero(at < k)
+            gain[at[inner]] -= more[at[inner], inner]
+        gain += _h(table[own, own] + after[i, :k] + before[i, :k] + twice[i]) - _h(table[own, own])
+        gain -= _h(row + after[i].sum() + twice[i]) - _h(row)
+        gain -= _h(col + before[i].sum() + twice[i]) - _h(col)
+        out[i] = gain.argmax()
+    return out
+
+
+_PLACED = "kind int, flush long, bucket long, unit binary, n binary"
+
+
+def _placed(asked: DataFrame, shared, classes: int, first_band: int) -> DataFrame:
+    """The classes of the rest, by flush and bucket (``kind`` 0), and their types and tokens by class, out of their bands (1)."""
+
+    def place(table: pa.Table) -> pa.Table:
+        cells = shared.value[1]
+        width = len(cells)
+        codes = 2 * width + 1
+        own = [np.frombuffer(x, np.uint64) for x in table["hashes"].to_pylist()]
+        words_, slot = np.unique(np.concatenate(own), return_inverse=True)
+        starts = np.cumsum([0, *map(len, own)])
+        met = [np.frombuffer(x, np.int64) for x in table["keys"].to_pylist()]
+        keys = np.concatenate([slot[at + k // codes] * codes + k % codes for at, k in zip(starts, met)])
+        keys, n = run_counts(keys, np.frombuffer(b"".join(table["n"].to_pylist()), np.int64))
+        to, moved = np.empty(len(words_), np.int32), np.zeros((2, width), np.int64)
+        for lo in range(0, len(words_), 512):
+            hi = min(lo + 512, len(words_))
+            part = slice(*np.searchsorted(keys, [lo * codes, hi * codes]))
+            counts = np.bincount(keys[part] - lo * codes, weights=n[part], minlength=(hi - lo) * codes).reshape(-1, codes)
+            after, before, twice = counts[:, :width], counts[:, width:-1], counts[:, -1]
+            times = (after.sum(axis=1) + twice).astype(np.int64)  # the end follows the last word
+            band = first_band + np.floor(np.log2(np.maximum(times, 1))).astype(np.int64)
+            to[lo:hi] = best_classes(cells, classes, band, after, before, twice)
+            for at, sign in ((to[lo:hi], 1), (band, -1)):
+                np.add.at(moved[0], at, sign)
+                np.add.at(moved[1], at, sign * times)
+        bucket = table["bucket"][0].as_py()
+        rows = [(0, f, bucket, to[slot[a:b]].tobytes(), b"") for f, a, b in zip(table["flush"].to_pylist(), starts, starts[1:])]
+        rows.append((1, None, bucket, b"", moved.tobytes()))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["kind", "flush", "bucket", "unit", "n"])
+
+    return durable(asked.groupBy("bucket").applyInArrow(freeing_group(place), _PLACED), "placed")
+
+
+def _with_rest(coded: DataFrame, placed: DataFrame, buckets: int, frequent: int, end: int) -> DataFrame:
+    """``coded`` with the unit of each of the rest behind the end: ``end + 1`` and its class."""
+
+    def join(own: pa.Table, found: pa.Table) -> pa.Table:
+        hashes = np.frombuffer(own["rest"][0].as_py(), np.uint64)
+        if not len(hashes):
+            return own
+        to = np.frombuffer(b"".join(found.sort_by("bucket")["unit"].to_pylist()), np.int32)
+        unit = np.frombuffer(own["unit"][0].as_py(), np.int32).copy()
+        count = np.frombuffer(own["count"][0].as_py(), np.int64)
+        mine = np.flatnonzero(_is_rest(count, frequent))
+        unit[mine[np.argsort(bucket_of(hashes, buckets), kind="stable")]] = end + 1 + to
+        return own.set_column(own.schema.get_field_index("unit"), "unit", pa.array([unit.tobytes()], pa.binary()))
+
+    found = placed.where("kind = 0").select("flush", "bucket", "unit")
+    return durable(coded.groupBy("flush").cogroup(found.groupBy("flush")).applyInArrow(join, coded.schema), "classed")
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -405,8 +566,8 @@ class Model:
     likelihoods: list[float]
 
 
-def _model(pairs: DataFrame, vocabulary: Vocabulary, classes: int, rounds: int) -> Model:
-    of, table, told = cluster(pairs, vocabulary, classes, rounds)
+def _model(vocabulary: Vocabulary, classes: int, of: np.ndarray, table: np.ndarray, moved: np.ndarray, told: list[float]) -> Model:
+    """The model of the classes of all units; ``moved``: types and tokens that the rest brings to each class, or takes from a band."""
     table = table[:-1, :-1].astype(np.float64)
     width = len(table)
     tokens, types = np.zeros(width), np.zeros(width)
@@ -415,11 +576,12 @@ def _model(pairs: DataFrame, vocabulary: Vocabulary, classes: int, rounds: int)
     bands = slice(classes, classes + vocabulary.bands.shape[1])
     types[bands], tokens[bands] = vocabulary.bands
     tokens[-1], types[-1] = vocabulary.ends, 1
+    types, tokens = types + moved[0, :width], tokens + moved[1, :width]
     share = (tokens + 1) / (tokens.sum() + width)
     step = np.log10((table + SMOOTHING * share) / (table.sum(axis=1, keepdims=True) + SMOOTHING))
     room = tokens + types
     room[classes] += 1  # the unknown word
-    return Model(vocabulary, of, step, room, told)
+    return Model(vocabulary, np.append(of, np.arange(classes)).astype(np.int32), step, room, told)
 
 
 def fit_and_code(docs: DataFrame, train: Column, id_col: str, text_col: str, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
@@ -435,13 +597,31 @@ def fit_and_code(docs: DataFrame, train: Column, id_col: str, text_col: str, cla
         answers = _answers(flushes, frequent, slots // 8)
         vocabulary = _vocabulary(answers, frequent, ends)
         shared = spark.sparkContext.broadcast(vocabulary)
-    coded = _coded(flushes, answers, shared)
+    with noted_tables() as own:
+        coded = _coded(flushes, answers, shared)
+    for path in own:
+        note_table(path)
     delete_tables(spark, early)
     with noted_tables() as late:
         pairs = durable(count_pairs(coded.select("train", "ptr", "seq", "unit"), 1, "seq", _trained(vocabulary.end), 2 * FLUSH_KEYS), "pairs")
-        model = _model(pairs, vocabulary, classes, rounds)
+        of, table, told = cluster(pairs, vocabulary, classes, rounds)
     delete_tables(spark, late)
-    return model, coded
+    moved = np.zeros((2, len(table)), np.int64)
+    rest = coded.select(F.sum(F.octet_length("rest"))).first()[0] or 0
+    if rest:
+        width, buckets = len(table), n_buckets(rest)  # an entry is a slot; its neighbours are a few more numbers
+        state = spark.sparkContext.broadcast((of, table))
+        with noted_tables() as late:
+            placed = _placed(_neighbours(coded, state, frequent, vocabulary.end, width, buckets), state, classes, classes)
+            classed = _with_rest(coded, placed, buckets, frequent, vocabulary.end)
+            moved = _summed(placed.where("kind = 1").select("n"), slice(0, 2 * width)).reshape(2, width)
+        used, path = late[-1], late[:-1]
+        delete_tables(spark, path + own)
+        note_table(used)
+        coded = classed
+        table = _sequence_bigrams(coded, np.append(of, np.arange(classes)).astype(np.int32), vocabulary.end, width)
+        told.append(likelihood(table))
+    return _model(vocabulary, classes, of, table, moved, told), coded
 
 
 def _training_size(flushes: DataFrame) -> tuple[int, int]:
