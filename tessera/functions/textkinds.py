@@ -1,12 +1,16 @@
 """What a column of texts holds: whole numbers, decimals, words for true and false, times, dates in several orders, timestamps.
 
 Every text gets a bit mask of the kinds it fits; the kinds of a column are the
-bits that all its texts share, one ``bit_and`` per column.
+bits that all its texts share, one ``bit_and`` per column.  What a text is taken
+apart into is worked out once: Spark would repeat an expression at each of its
+uses within a ``CASE``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Orders of a date, the first that fits all is taken: year, month, day with four or two digits of the year, and so on.
@@ -22,83 +26,102 @@ TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes"), ("false", "f", "no")
 _WHOLE = r"^-?(0|[1-9][0-9]*)$"
 _DECIMAL = r"^-?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _HEXADECIMAL = r"^0[xX][0-9a-fA-F]{1,15}$"
-_CLOCK = r"([0-9]{1,2}):([0-9]{2})(:([0-9]{2})(\.[0-9]{1,9})?)?"
 _CLOCK_24 = r"([01]?[0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)?"
 _CLOCK_12 = r"(0?[1-9]|1[0-2]):[0-5][0-9](:[0-5][0-9](\.[0-9]{1,9})?)? ?[aApP][mM]"
 _DAY = r"^([0-9]{1,4})([-/. ])([0-9]{1,2})\2([0-9]{1,4})"
-_DATE_ONLY, _TIME_ONLY, _MOMENT_ONLY = _DAY + "$", f"^{_CLOCK_24}$", f"{_DAY}[ T]({_CLOCK_24}|{_CLOCK_12})$"
-_CLOCK_ALONE = f"^{_CLOCK}$"
-_MOMENT = _DAY + f"[ T]{_CLOCK}( ?([aApP][mM]))?$"
+_TIME_ONLY, _DATED = f"^{_CLOCK_24}$", f"{_DAY}($|[ T]({_CLOCK_24}|{_CLOCK_12})$)"
+#: What may follow the last character of a text that a pattern with ``$`` finds.
+_ENDS = "\n\r\u0085\u2028\u2029"
+#: Years of two digits (or one) and what goes before them.
+_SHORT_YEARS = (("[0-5][0-9]|6[0-8]", "20"), ("[0-9]", "200"), ("69|[7-9][0-9]", "19"))
 
 
-def _parts(text: Column) -> tuple[Column, Column, Column]:
-    return tuple(F.regexp_extract(text, _DAY, i) for i in (1, 3, 4))
+def _iso(text: Column, order: str) -> Column:
+    """``text``, which begins with a date in this order, with that date as year, month and day; what follows the date stays."""
+    place = {k: "134"[i] for i, k in enumerate(order[:3])}
+    for years, before in (("[0-9]{4}", ""),) if order.endswith("4") else _SHORT_YEARS:
+        first, second, third = (f"({years if k == 'y' else '[0-9]{1,2}'})" for k in order[:3])
+        # A year of four digits is no longer met by the patterns of short ones.
+        text = F.regexp_replace(text, rf"^{first}([-/. ]){second}\2{third}(?![0-9])", f"{before}${place['y']}-${place['m']}-${place['d']}")
+    return text
 
 
-def date_text(text: Column, order: str) -> Column:
-    """The date at the start of a text in ISO form, null if there is none in this order."""
-    parts = dict(zip(order[:3], _parts(text)))
-    year, month, day = (parts[k] for k in "ymd")
-    short = order.endswith("2")
-    whole = F.when(year.try_cast("int") <= 68, F.concat(F.lit("20"), F.lpad(year, 2, "0"))).otherwise(F.concat(F.lit("19"), F.lpad(year, 2, "0"))) if short else year
-    iso = F.concat_ws("-", whole, F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    fits = (F.length(year) <= 2 if short else F.length(year) == 4) & (F.length(month) <= 2) & (F.length(day) <= 2)
-    return F.when(fits & iso.try_cast("date").isNotNull(), iso)
+def _moment(text: Column, order: str) -> Column:
+    """The timestamp of a date with or without a time of day, of 24 hours or of twice twelve."""
+    iso = _iso(text, order)
+    morning = F.regexp_replace(F.regexp_replace(iso, "[ T]12:", " 0:"), " ?[aApP][mM]$", "")
+    half = F.when(text.rlike("[pP][mM]$"), F.expr("INTERVAL '12' HOUR")).otherwise(F.expr("INTERVAL '0' HOUR"))
+    return F.when(text.rlike("[mM]$"), morning.try_cast("timestamp_ntz") + half).otherwise(iso.try_cast("timestamp_ntz"))
 
 
-def clock_text(text: Column, pattern: str, first: int) -> Column:
-    """A time of day as ``HH:MM:SS`` and fractions; null if there is none."""
-    part = lambda i: F.regexp_extract(text, pattern, first + i)
-    half = F.upper(part(6)) if pattern == _MOMENT else F.lit("")
-    hour = part(0).try_cast("int")
-    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    second = F.when(part(3) == "", "00").otherwise(part(3))
-    good = hour.between(0, 23) & (part(1).try_cast("int") < 60) & (second.try_cast("int") < 60)
-    return F.when(good, F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), part(1), F.lit(":"), second, part(4)))
+def _even(text: Column) -> Column:
+    """A text that begins with a date, with one separator for all."""
+    return F.rtrim(reduce(lambda t, sep: F.replace(t, F.lit(sep), F.lit("-")), "/. ", text), F.lit(_ENDS))
 
 
-def _dates(text: Column) -> Column:
-    """The bits of all orders in which a text begins with a date; its shape is known."""
+def _numbers(even: Column) -> list[Column]:
+    """The three numbers of the date that a text of ``_even`` begins with, as texts."""
+    first = lambda n: F.substring_index(even, "-", n)
+    return [first(1), F.substring_index(first(2), "-", -1), F.substring_index(F.substring_index(first(3), "-", -1), "T", 1)]
 
-    def bits(parts: Column) -> Column:
-        out = F.lit(0)
-        number, width = [F.get(parts, F.lit(i)).try_cast("int") for i in range(3)], [F.length(F.get(parts, F.lit(i))) for i in range(3)]
-        for order, bit in _ORDER.items():
-            y, m, d = (order.index(k) for k in "ymd")
-            year = number[y]
-            leap = (year % 4 == 0) & ((width[y] <= 2) | (year % 100 != 0) | (year % 400 == 0))
-            most = F.when(number[m].isin(4, 6, 9, 11), 30).when(number[m] == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-            shape = (width[y] <= 2 if order.endswith("2") else width[y] == 4) & (width[m] <= 2) & (width[d] <= 2)
-            out = out + F.when(shape & number[m].between(1, 12) & (number[d] >= 1) & (number[d] <= most) & ((year >= 1) | (width[y] <= 2)), bit).otherwise(0)
-        return out
 
-    parts = F.split(F.regexp_extract(text, _DAY, 0), "[-/. ]")
-    return F.get(F.transform(F.array(parts), bits), F.lit(0))  # the parts are taken once
+def _orders(numbers: list[Column]) -> Column:
+    """The bits of all orders in which three numbers are a date of the calendar."""
+    out = F.lit(0)
+    for order in ("ymd", "dmy", "mdy"):
+        year, month, day = (numbers[order.index(k)] for k in "ymd")
+        # A cast to date takes four digits of a year, one or two of a month and a day; which century a short year is in doesn't matter for leap days.
+        century = F.when(year == "0000", F.lit(None)).when(F.length(year) == 4, "").when(F.length(year) == 2, "20").when(F.length(year) == 1, "200")
+        known = F.concat(century, year, F.lit("-"), month, F.lit("-"), day).try_cast("date").isNotNull()
+        out = out + F.when(known, F.when(F.length(year) == 4, _ORDER[f"{order}4"]).otherwise(_ORDER[f"{order}2"])).otherwise(0)
+    return out
 
 
-def kind_mask(text: Column) -> Column:
-    """The kinds of one text; null where it is null or blank, which fits all."""
-    t = F.trim(text)
+def _mask(t: Column, dated: Column, orders: Column) -> Column:
+    """The kinds of a trimmed text, of which is known whether it has the shape of a date or timestamp, and in which orders."""
     whole = F.when((F.length(t) < 19) | t.try_cast("long").isNotNull(), _BIGINT | _DOUBLE).otherwise(_DOUBLE)
-    orders = _dates(t)
-    dated = F.when(orders == 0, 0).otherwise(orders + F.when(t.rlike(_DATE_ONLY), _DATE | _TIMESTAMP).otherwise(_TIMESTAMP))
     return (
-        F.when(text.isNull() | (t == ""), F.lit(None).cast("int"))
+        F.when(t.isNull() | (t == ""), F.lit(None).cast("int"))
+        .when(dated, F.when(orders == 0, 0).otherwise(orders + F.when(F.instr(t, ":") == 0, _DATE | _TIMESTAMP).otherwise(_TIMESTAMP)))
         .when(t.rlike(_WHOLE), whole)
         .when(t.rlike(_DECIMAL), F.lit(_DOUBLE))
         .when(F.lower(t).isin(*TRUE_WORDS, *FALSE_WORDS), F.lit(_BOOLEAN))
-        .when(t.rlike(_DATE_ONLY) | t.rlike(_MOMENT_ONLY), dated)
         .when(t.rlike(_TIME_ONLY), F.lit(_TIME))
         .when(t.rlike(_HEXADECIMAL), F.lit(_BIGINT | _HEX))
         .otherwise(0)
     )
 
 
+def kind_mask(text: Column) -> Column:
+    """The kinds of one text; null where it is null or blank, which fits all."""
+    t = F.trim(text)
+    return _mask(t, t.rlike(_DATED), _orders(_numbers(_even(t))))
+
+
 def kinds_met(text: Column) -> Column:
     """An aggregate: the kinds that all texts fit; null without texts."""
     return F.bit_and(kind_mask(text))
 
 
+def kinds_in(df: DataFrame, texts: list[Column]) -> list[int | None]:
+    """``kinds_met`` of many columns of texts, in one pass.
+
+    Each cell becomes a row, so that the code doesn't grow with the columns, and
+    each step (trimmed text, shape, numbers of a date, orders, kinds) is taken
+    once per cell.
+    """
+    if not texts:
+        return []
+    cells = df.select(F.posexplode(F.array(*texts)).alias("i", "t")).select("i", F.trim("t").alias("t"))
+    shaped = cells.select("i", "t", F.coalesce(F.col("t").rlike(_DATED), F.lit(False)).alias("dated"))
+    parted = shaped.select("*", F.when(F.col("dated"), _even(F.col("t"))).alias("even"))
+    parted = parted.select("i", "t", "dated", *[n.alias(f"n{k}") for k, n in enumerate(_numbers(F.col("even")))])
+    ordered = parted.select("i", "t", "dated", F.when(F.col("dated"), _orders([F.col(f"n{k}") for k in range(3)])).alias("orders"))
+    met = ordered.groupBy("i").agg(F.bit_and(_mask(F.col("t"), F.col("dated"), F.col("orders"))).alias("met"))
+    found = {r.i: r.met for r in met.collect()}
+    return [found.get(i) for i in range(len(texts))]
+
+
 def kind_of(met: int | None) -> tuple[str, str | None]:
     """The kind of a column and the order of its dates; VARCHAR without texts or a common kind."""
     if met is None or not met:
@@ -120,8 +143,10 @@ def as_kind(text: Column, kind: str, order: str | None = None) -> Column:
     if kind == "DOUBLE":
         return t.try_cast("double")
     if kind == "DATE":
-        return date_text(t, order).try_cast("date")
+        return F.when(t.rlike(_DATED), _iso(t, order).try_cast("date"))
     if kind == "TIMESTAMP":
-        clock = F.when(t.rlike(_DATE_ONLY), "00:00:00").otherwise(clock_text(t, _MOMENT, 5))
-        return F.concat(date_text(t, order), F.lit(" "), clock).try_cast("timestamp_ntz")
-    return clock_text(t, _CLOCK_ALONE, 1) if kind == "TIME" else text
+        return F.when(t.rlike(_DATED), _moment(t, order))
+    if kind == "TIME":
+        whole = F.regexp_replace(F.regexp_extract(t, _TIME_ONLY, 0), "^([0-9]:)", "0$1")
+        return F.nullif(F.regexp_replace(whole, "^([0-9]{2}:[0-9]{2})$", "$1:00"), F.lit(""))
+    return text

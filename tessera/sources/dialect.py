@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import col
-from ..functions.textkinds import kind_of, kinds_met
+from ..functions.textkinds import kind_of, kinds_in
 
 #: Tried in this order; the first of equal ones wins.
 DELIMITERS = (",", "|", ";", "\t")
@@ -115,8 +115,7 @@ def _kinds(spark: SparkSession, rows: list[list[str]], width: int) -> list[str]:
 
 def kinds_of_columns(df: DataFrame) -> list[str]:
     """The kinds of text columns, in one aggregation."""
-    met = df.agg(*[kinds_met(col(c)).alias(f"k{i}") for i, c in enumerate(df.columns)]).first()
-    return [kind_of(k)[0] for k in met]
+    return [kind_of(k)[0] for k in kinds_in(df, [col(c) for c in df.columns])]
 
 
 def detect_dialect(spark: SparkSession, path: str, header: bool | None = None, delimiter: str | None = None, quote: str | None = None) -> Dialect:

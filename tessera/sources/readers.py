@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.names import ROW_ID, col, distinct_names, quoted
 from ..functions.storage import durable
-from ..functions.textkinds import as_kind, kind_of, kinds_met
+from ..functions.textkinds import as_kind, kind_of, kinds_in
 from ..functions.types import convert, spark_type
 from ..operators.rowid import assign_row_id
 from .dialect import Dialect, detect_dialect
@@ -90,7 +90,7 @@ def read_csv(spark: SparkSession, path: str, header: bool | None = None, schema:
     if schema:
         return rows.select(ROW_ID, *[F.col(f"cells.{quoted(f.name)}").cast(f.dataType).alias(f.name) for f in schema.fields])
     texts = [F.col(f"cells.c{i}") for i in range(len(names))]
-    met = rows.agg(*[kinds_met(t).alias(f"k{i}") for i, t in enumerate(texts)]).first()
+    met = kinds_in(rows, texts)
     return rows.select(ROW_ID, *[as_kind(t, *kind_of(k)).alias(n) for t, k, n in zip(texts, met, names)])
 
 
